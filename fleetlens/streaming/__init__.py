@@ -1,0 +1,6 @@
+"""Intentionally empty: every operator in scope is a batch operator.
+
+The workload has no unbounded source, watermark, event-time window or keyed
+state, so no streaming job is offered.  All report functions are plain
+DataFrame transformations.
+"""
