@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -98,20 +98,29 @@ DERIVED_TOTALS: tuple[tuple[str, str, str, str, str], ...] = (
 )
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The tables every report reads.  quote_lines feeds no report and may be absent."""
-
-    account_managers: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    machines: DataFrame
-    service_contracts: DataFrame
-    orders: DataFrame
-    order_lines: DataFrame
-    quotes: DataFrame
-    quote_lines: DataFrame | None = None
+    """The tables every report reads, by name as attributes.
+
+    A table may be given as a function of no arguments, which is called when the table
+    is first used.  quote_lines feeds no report and may be absent.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        unknown = set(tables) - set(SCHEMAS)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._given = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        given = self.__dict__.get("_given", {})
+        if name not in given:
+            raise AttributeError(f"no table {name}")
+        if not isinstance(given[name], DataFrame):
+            given[name] = given[name]()
+        return given[name]
+
+    def names(self) -> list[str]:
+        return [name for name in SCHEMAS if name in self._given]
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        pairs = [(f.name, getattr(self, f.name)) for f in fields(self)]
-        return [(name, df) for name, df in pairs if df is not None]
+        return [(name, getattr(self, name)) for name in self.names()]

@@ -7,12 +7,14 @@ region.  `bind` derives the business tables from it as lazy DataFrames, and
 
 from __future__ import annotations
 
+import json
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.functions.text import padded_label
 from fleetlens.model import Tables
 
 # The date at which the warehouse is looked at, and the first day on
@@ -32,170 +34,183 @@ CONTRACT_DAYS = 365
 CONTRACT_RATE = 0.1
 
 
+@lru_cache(maxsize=256)
+def _stored_schema(path: str) -> str:
+    return SparkSession.active().read.parquet(path).schema.json()
+
+
+def read_warehouse(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A warehouse table.  Its schema is read from the files once per process, which
+    saves a footer job each time the table is opened."""
+    path = f"{directory}/{name}.parquet"
+    schema = T.StructType.fromJson(json.loads(_stored_schema(path)))
+    return spark.read.schema(schema).parquet(path)
+
+
 def bind(spark: SparkSession, directory: str) -> Tables:
+    """The business tables over a warehouse directory; each is built when first used.
+
+    Status and type columns are nested two-way choices over null-safe tests, because a
+    filter on the chosen value then simplifies to a plain predicate for the scan.
+    """
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return read_warehouse(spark, directory, name)
 
-    # nation and region have 25 and 5 rows at any scale; the joins below leave the
-    # choice of strategy to their file sizes.
-    nation = raw("nation")
-    managers = (
-        raw("supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("id"),
-            F.col("s_name").alias("name"),
-            F.concat("s_name", F.lit("@example.com")).alias("email"),
-            F.col("r_name").alias("region"),
+    def quoted(codes: tuple[str, ...]) -> str:
+        return ", ".join(f"'{code}'" for code in codes)
+
+    def account_managers() -> DataFrame:
+        # nation and region hold 25 and 5 rows at any scale; the strategy of their
+        # joins is left to their file sizes.
+        return (
+            raw("supplier")
+            .join(raw("nation"), F.expr("s_nationkey = n_nationkey"))
+            .join(raw("region"), F.expr("n_regionkey = r_regionkey"))
+            .selectExpr(
+                "s_suppkey AS id",
+                "s_name AS name",
+                "concat(s_name, '@example.com') AS email",
+                "r_name AS region",
+            )
         )
-    )
 
-    first_order = (
-        raw("orders").groupBy(F.col("o_custkey").alias("buyer")).agg(
+    def customers() -> DataFrame:
+        # Both right sides have one row per join key, so the optimizer drops a join
+        # whose column (country, acquisition_date) is not read.
+        nation = raw("nation").dropDuplicates(["n_nationkey"])
+        first_order = raw("orders").groupBy("o_custkey").agg(
             F.min("o_orderdate").alias("first_ts")
         )
-    )
-    balance = F.col("c_acctbal")
-    customers = (
-        raw("customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        # The optimizer drops this join when acquisition_date is not read.
-        .join(first_order, F.col("c_custkey") == F.col("buyer"), "left")
-        .select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_name").alias("name"),
-            F.col("n_name").alias("country"),
-            F.when(F.col("c_mktsegment").isin(*ENTERPRISE_SEGMENTS), "enterprise")
-            .when(F.col("c_mktsegment").isin(*MID_MARKET_SEGMENTS), "mid_market")
-            .otherwise("smb")
-            .alias("segment"),
-            (F.col("c_custkey") % MANAGERS).alias("account_manager_id"),
-            F.col("first_ts").cast("date").alias("acquisition_date"),
-            F.when(balance < 0, "churned")
-            .when(balance < 500, "inactive")
-            .otherwise("active")
-            .alias("status"),
+        return (
+            raw("customer")
+            .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+            .join(first_order, F.expr("c_custkey = o_custkey"), "left")
+            .selectExpr(
+                "c_custkey AS id",
+                "c_name AS name",
+                "n_name AS country",
+                f"IF(c_mktsegment IN ({quoted(ENTERPRISE_SEGMENTS)}), 'enterprise', "
+                f"IF(c_mktsegment IN ({quoted(MID_MARKET_SEGMENTS)}), 'mid_market', 'smb')) "
+                "AS segment",
+                f"c_custkey % {MANAGERS} AS account_manager_id",
+                "CAST(first_ts AS DATE) AS acquisition_date",
+                "IF(c_acctbal < 0, 'churned', IF(c_acctbal < 500, 'inactive', 'active')) "
+                "AS status",
+            )
         )
-    )
 
-    products = raw("part").select(
-        F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("category"),
-        F.col("p_retailprice").alias("list_price"),
-        F.when(F.col("p_type").isin(*EQUIPMENT_TYPES), "equipment")
-        .when(F.col("p_type").isin(*SPARE_PART_TYPES), "spare_part")
-        .otherwise("service_package")
-        .alias("product_type"),
-    )
-
-    orders = raw("orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("customer_id"),
-        (F.col("o_custkey") % MANAGERS).alias("account_manager_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        F.col("o_totalprice").alias("total_value"),
-        F.when(F.col("o_orderstatus") == "F", "completed")
-        .when(F.col("o_orderstatus") == "O", "pending")
-        .otherwise("cancelled")
-        .alias("status"),
-    )
-
-    order_lines = raw("lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0))).alias("unit_price"),
-        F.col("l_extendedprice").alias("line_value"),
-    )
-
-    installed = _installed_lines(raw)
-    machines = installed.select(
-        "id",
-        "customer_id",
-        "product_id",
-        padded_label("SN-", 1, F.col("id")).alias("serial_number"),
-        "installation_date",
-        F.when(F.col("line_status") == "O", "active")
-        .otherwise("decommissioned")
-        .alias("status"),
-    )
-
-    contract_kind = F.col("id") % 4
-    service_contracts = installed.filter(contract_kind < 3).select(
-        "id",
-        "customer_id",
-        F.col("id").alias("machine_id"),
-        F.col("installation_date").alias("start_date"),
-        F.date_add("installation_date", CONTRACT_DAYS).alias("end_date"),
-        (F.col("list_price") * CONTRACT_RATE).alias("annual_value"),
-        F.when(contract_kind == 0, "active")
-        .when(contract_kind == 1, "expired")
-        .otherwise("cancelled")
-        .alias("status"),
-    )
-
-    day = F.dayofmonth("ts") - 1
-    kind = F.col("event_type")
-    quotes = raw("events").select(
-        F.col("event_id").alias("id"),
-        F.col("user_id").alias("customer_id"),
-        (F.col("user_id") % MANAGERS).alias("account_manager_id"),
-        F.date_add(F.lit(QUOTE_CREATED_FROM), day).alias("created_date"),
-        F.when(kind != "signup", F.date_add(F.lit(QUOTE_SENT_FROM), day)).alias("sent_date"),
-        F.lit(None).cast("date").alias("expiry_date"),
-        F.col("value").alias("total_value"),
-        F.when(kind == "signup", "draft")
-        .when(kind == "click", "sent")
-        .when(kind == "purchase", "won")
-        .when(kind == "error", "lost")
-        .otherwise("expired")
-        .alias("status"),
-    )
+    def products() -> DataFrame:
+        return raw("part").selectExpr(
+            "p_partkey AS id",
+            "p_name AS name",
+            "p_brand AS category",
+            "p_retailprice AS list_price",
+            f"IF(p_type IN ({quoted(EQUIPMENT_TYPES)}), 'equipment', "
+            f"IF(p_type IN ({quoted(SPARE_PART_TYPES)}), 'spare_part', 'service_package')) "
+            "AS product_type",
+        )
 
-    return Tables(
-        account_managers=managers,
-        customers=customers,
-        products=products,
-        machines=machines,
-        service_contracts=service_contracts,
-        orders=orders,
-        order_lines=order_lines,
-        quotes=quotes,
-    )
+    def orders() -> DataFrame:
+        return raw("orders").selectExpr(
+            "o_orderkey AS id",
+            "o_custkey AS customer_id",
+            f"o_custkey % {MANAGERS} AS account_manager_id",
+            "CAST(o_orderdate AS DATE) AS order_date",
+            "o_totalprice AS total_value",
+            "IF(o_orderstatus <=> 'F', 'completed', "
+            "IF(o_orderstatus <=> 'O', 'pending', 'cancelled')) AS status",
+        )
 
+    def order_lines() -> DataFrame:
+        return raw("lineitem").selectExpr(
+            "l_orderkey * 10 + l_linenumber AS id",
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "l_quantity AS quantity",
+            "l_extendedprice / NULLIF(l_quantity, 0) AS unit_price",
+            "l_extendedprice AS line_value",
+        )
 
-def _installed_lines(raw) -> DataFrame:
-    """One row per (order, line number) of urgent equipment lines.
+    def installed() -> DataFrame:
+        """One row per (order, line number) of urgent equipment lines.
 
-    The list price travels with its part key through the same aggregate, so that
-    contracts need no second join to part.  All buffers are primitive, which keeps
-    the aggregate hash-based with a map-side combine.
-    """
-    urgent = raw("orders").filter(F.col("o_orderpriority") == URGENT)
-    equipment = raw("part").filter(F.col("p_type").isin(*EQUIPMENT_TYPES))
-    return (
-        raw("lineitem")
-        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(equipment, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.min("o_custkey").alias("customer_id"),
-            F.min("l_partkey").alias("product_id"),
-            F.min_by("p_retailprice", "l_partkey").alias("list_price"),
-            F.min("l_shipdate").cast("date").alias("installation_date"),
-            F.max("l_linestatus").alias("line_status"),
+        The list price travels with its part key through the same aggregate, so that
+        contracts need no second join to part.  The greatest line status is kept as
+        flags: all buffers are primitive, which keeps the aggregate hash-based with a
+        map-side combine.
+        """
+        urgent = raw("orders").filter(F.col("o_orderpriority") == URGENT)
+        equipment = raw("part").filter(F.col("p_type").isin(*EQUIPMENT_TYPES))
+        return (
+            raw("lineitem")
+            .join(urgent, F.expr("l_orderkey = o_orderkey"))
+            .join(equipment, F.expr("l_partkey = p_partkey"))
+            .groupBy("l_orderkey", "l_linenumber")
+            .agg(
+                F.expr("min(o_custkey) AS customer_id"),
+                F.expr("min(l_partkey) AS product_id"),
+                F.expr("min_by(p_retailprice, l_partkey) AS list_price"),
+                F.expr("CAST(min(l_shipdate) AS DATE) AS installation_date"),
+                F.expr(
+                    "max(l_linestatus <=> 'O') AND NOT coalesce(max(l_linestatus > 'O'), false) "
+                    "AS is_open"
+                ),
+            )
+            .withColumn("id", F.expr("l_orderkey * 10 + l_linenumber"))
         )
-        .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+
+    def machines() -> DataFrame:
+        return installed().selectExpr(
+            "id",
             "customer_id",
             "product_id",
-            "list_price",
+            "concat('SN-', id) AS serial_number",
             "installation_date",
-            "line_status",
+            "IF(is_open, 'active', 'decommissioned') AS status",
+        )
+
+    def service_contracts() -> DataFrame:
+        return (
+            installed()
+            .filter("id % 4 < 3")
+            .selectExpr(
+                "id",
+                "customer_id",
+                "id AS machine_id",
+                "installation_date AS start_date",
+                f"date_add(installation_date, {CONTRACT_DAYS}) AS end_date",
+                f"list_price * CAST({CONTRACT_RATE} AS DOUBLE) AS annual_value",
+                "IF(id % 4 = 0, 'active', IF(id % 4 = 1, 'expired', 'cancelled')) AS status",
+            )
         )
+
+    def quotes() -> DataFrame:
+        return raw("events").selectExpr(
+            "event_id AS id",
+            "user_id AS customer_id",
+            f"user_id % {MANAGERS} AS account_manager_id",
+            f"date_add(DATE '{QUOTE_CREATED_FROM}', dayofmonth(ts) - 1) AS created_date",
+            f"IF(event_type <> 'signup', date_add(DATE '{QUOTE_SENT_FROM}', "
+            "dayofmonth(ts) - 1), NULL) AS sent_date",
+            "CAST(NULL AS DATE) AS expiry_date",
+            "value AS total_value",
+            "IF(event_type <=> 'signup', 'draft', IF(event_type <=> 'click', 'sent', "
+            "IF(event_type <=> 'purchase', 'won', IF(event_type <=> 'error', 'lost', "
+            "'expired')))) AS status",
+        )
+
+    return Tables(
+        {
+            "account_managers": account_managers,
+            "customers": customers,
+            "products": products,
+            "machines": machines,
+            "service_contracts": service_contracts,
+            "orders": orders,
+            "order_lines": order_lines,
+            "quotes": quotes,
+        }
     )
 
 

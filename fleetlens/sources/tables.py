@@ -14,7 +14,7 @@ from fleetlens.model import SCHEMAS, Tables
 def read_tables(spark: SparkSession, directory: str) -> Tables:
     """Open the Parquet tables of a directory with their declared schemas."""
     return Tables(
-        **{
+        {
             name: spark.read.schema(schema).parquet(f"{directory}/{name}")
             for name, schema in SCHEMAS.items()
         }
