@@ -22,7 +22,7 @@ from fleetlens.sources.checkpoints import reliable_checkpoint
 _PLACE_BITS = 33
 
 
-def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with __range and __place (from 0), fixed on reliable storage."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -57,7 +57,7 @@ def global_row_number(
     df: DataFrame, value: str, key: str, out: str, descending: bool = False
 ) -> DataFrame:
     """Row number over the whole table by (value, key); key must be unique."""
-    rows = _in_ranges(df, _order(value, key, descending))
+    rows = in_ranges(df, _order(value, key, descending))
     offsets = F.broadcast(_by_range(rows).select("__range", "__offset"))
     return rows.join(offsets, "__range").select(
         *df.columns, (F.col("__offset") + F.col("__place") + 1).alias(out)
@@ -70,7 +70,7 @@ def global_ntile(
     """NTILE(tiles) over the whole table by (value, key); key must be unique.
 
     With r rows left over after equal division, the first r tiles hold one more."""
-    rows = _in_ranges(df, _order(value, key, descending))
+    rows = in_ranges(df, _order(value, key, descending))
     offsets = F.broadcast(_by_range(rows).select("__range", "__offset", "__total"))
     place = F.col("__offset") + F.col("__place")
     size = F.expr(f"__total div {tiles}")
@@ -86,7 +86,7 @@ def global_rank(
     df: DataFrame, value: str, key: str, out: str, descending: bool = True
 ) -> DataFrame:
     """RANK over the whole table by value: equal values share the lowest number."""
-    rows = _in_ranges(df, _order(value, key, descending)).withColumn(
+    rows = in_ranges(df, _order(value, key, descending)).withColumn(
         "__tie_place", F.min("__place").over(W.partitionBy("__range", value))
     )
     summary = _by_range(
