@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The tolerance, relative to the larger magnitude but at least to FLOOR.
 TOLERANCE = 0.02
@@ -17,6 +18,12 @@ FLOOR = 1.0
 # the magnitude it also bounds the distance of larger close values.
 LINEAR_BIN = 0.0205
 
+MATCHES = T.ArrayType(
+    T.StructType(
+        [T.StructField("truth_row", T.LongType()), T.StructField("generated_row", T.LongType())]
+    )
+)
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -49,7 +56,7 @@ def _rows_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.asarray(values, dtype=float).reshape(-1, width)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def matched_count(truth: pd.Series, generated: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -60,7 +67,7 @@ def matched_count(truth: pd.Series, generated: pd.Series, width: pd.Series) -> p
     )
 
 
-@F.pandas_udf("array<struct<truth_row:bigint,generated_row:bigint>>")
+@F.pandas_udf(MATCHES)
 def matched_rows(
     truth_no: pd.Series,
     truth: pd.Series,

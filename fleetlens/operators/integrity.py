@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -95,24 +96,33 @@ def total_violations(
     )
 
 
-def all_violations(t: Tables) -> DataFrame:
-    """Every declared constraint of the tables at hand, as one result."""
+CHECKS = ("not_null", "allowed_values", "unique", "foreign_key", "derived_total")
+
+
+def all_violations(t: Tables, kinds: Sequence[str] = CHECKS) -> DataFrame:
+    """Every declared constraint of the given kinds on the tables at hand."""
     have = set(t.names())
-    checks: list[DataFrame] = []
-    for name, df in t.items():
-        checks.append(null_violations(df, name))
-        values = value_violations(df, name)
-        if values is not None:
-            checks.append(values)
-    for name, column in UNIQUE_KEYS:
-        if name in have:
-            checks.append(duplicate_keys(getattr(t, name), name, column))
-    for child, column, parent in FOREIGN_KEYS:
-        if child in have and parent in have:
-            checks.append(orphan_keys(getattr(t, child), getattr(t, parent), child, column))
-    for header, lines, key, amount, total in DERIVED_TOTALS:
-        if header in have and lines in have:
-            checks.append(
-                total_violations(getattr(t, header), getattr(t, lines), header, key, amount, total)
-            )
-    return reduce(DataFrame.unionByName, checks)
+    checks: list[DataFrame | None] = []
+    if "not_null" in kinds:
+        checks += [null_violations(df, name) for name, df in t.items()]
+    if "allowed_values" in kinds:
+        checks += [value_violations(df, name) for name, df in t.items()]
+    if "unique" in kinds:
+        checks += [
+            duplicate_keys(getattr(t, name), name, column)
+            for name, column in UNIQUE_KEYS
+            if name in have
+        ]
+    if "foreign_key" in kinds:
+        checks += [
+            orphan_keys(getattr(t, child), getattr(t, parent), child, column)
+            for child, column, parent in FOREIGN_KEYS
+            if child in have and parent in have
+        ]
+    if "derived_total" in kinds:
+        checks += [
+            total_violations(getattr(t, header), getattr(t, lines), header, key, amount, total)
+            for header, lines, key, amount, total in DERIVED_TOTALS
+            if header in have and lines in have
+        ]
+    return reduce(DataFrame.unionByName, [c for c in checks if c is not None])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.first_fit import (
     FLOOR,
     LINEAR_BIN,
+    TOLERANCE,
     matched_count,
     matched_rows,
 )
@@ -43,6 +44,14 @@ CHUNK_ROWS = 20_000  # rows per side of a cell of a larger block
 _BLOCK = ["pair", "signature", "component"]
 
 
+def _all_close(left: str, right: str) -> Column:
+    def close(a: Column, b: Column) -> Column:
+        limit = F.greatest(F.abs(a), F.abs(b), F.lit(FLOOR)) * TOLERANCE
+        return F.abs(a - b) <= limit
+
+    return F.forall(F.zip_with(left, right, close), lambda c: c)
+
+
 def tolerance_bin(value: Column) -> Column:
     size = F.abs(value)
     steps = F.when(size <= FLOOR, size / LINEAR_BIN).otherwise(
@@ -116,13 +125,20 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
     sizes = blocked.groupBy(*_BLOCK).agg(
         F.count_if(F.col("side") == TRUTH).alias("gt_n"),
         F.count_if(F.col("side") == GENERATED).alias("gen_n"),
-        (F.min("numbers") == F.max("numbers")).alias("alike"),
+        F.min("numbers").alias("low"),
+        F.max("numbers").alias("high"),
     )
-    sizes = sizes.filter((F.col("gt_n") > 0) & (F.col("gen_n") > 0))
     largest = F.greatest("gt_n", "gen_n")
-    alike = sizes.filter("alike").select("pair", F.least("gt_n", "gen_n").alias("matched"))
+    # Rows that are all alike match as far as they go.  In a block of one row a side,
+    # low and high are those two rows.
+    simple = (F.col("low") == F.col("high")) | (largest == 1)
+    sizes = sizes.filter((F.col("gt_n") > 0) & (F.col("gen_n") > 0)).withColumn("simple", simple)
+    at_once = sizes.filter("simple").select(
+        "pair",
+        F.when(_all_close("low", "high"), F.least("gt_n", "gen_n")).otherwise(0).alias("matched"),
+    )
 
-    ordinary = sizes.filter(~F.col("alike") & (largest <= BLOCK_LIMIT)).select(*_BLOCK)
+    ordinary = sizes.filter(~F.col("simple") & (largest <= BLOCK_LIMIT)).select(*_BLOCK)
     inside = blocked.join(ordinary, _BLOCK, "left_semi")
     one_call = (
         _side(inside, TRUTH, _BLOCK)
@@ -131,9 +147,9 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
             "pair", matched_count("gt_values", "gen_values", "gt_width").alias("matched")
         )
     )
-    parts = [texts, alike, one_call]
+    parts = [texts, at_once, one_call]
 
-    oversize = sizes.filter(~F.col("alike") & (largest > BLOCK_LIMIT)).select(*_BLOCK)
+    oversize = sizes.filter(~F.col("simple") & (largest > BLOCK_LIMIT)).select(*_BLOCK)
     if not oversize.isEmpty():
         parts.append(_match_in_chunks(blocked.join(oversize, _BLOCK, "left_semi")))
     return reduce(DataFrame.unionByName, parts).groupBy("pair").agg(

@@ -1,8 +1,4 @@
-"""Every report and operator as a named query over the warehouse tables.
-
-`queries()` gives the Spark form and `oracle_sql()` the same result in plain SQL, over
-the whole tables in both cases.
-"""
+"""The fifty reports as named queries over the warehouse."""
 
 from __future__ import annotations
 
