@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.numbers import half_even_2
 from fleetlens.functions.text import canonical_name, strip
 from fleetlens.operators.tolerant import tolerant_match_counts
+from fleetlens.sources.checkpoints import written_table
 from fleetlens.sources.results import GENERATED, TRUTH
 
 PAIR = ["model", "query_id"]
@@ -65,9 +66,9 @@ def column_mapping(outcomes: DataFrame, canonical: bool = True) -> DataFrame:
     return exact.unionByName(_paired(left, canonical_name(F.col("name"))))
 
 
-def _bag_counts(rows: DataFrame, cells: str) -> DataFrame:
+def _bag_counts(rows: DataFrame, *cells: str) -> DataFrame:
     """Distinct rows with their number on each side; duplicates fold on the map side."""
-    return rows.groupBy(*PAIR, cells).agg(
+    return rows.groupBy(*PAIR, *cells).agg(
         F.count_if(F.col("side") == TRUTH).alias("gt_n"),
         F.count_if(F.col("side") == GENERATED).alias("gen_n"),
     )
@@ -109,8 +110,9 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         of(GENERATED, "ok").alias("gen_ok"),
         of(GENERATED, "error").alias("gen_error"),
     )
+    # One row per pair; written, because each later step asks which pairs are open.
     clean = rows.withColumn("cells", normalised_cells(F.col("cells")))
-    whole = (
+    whole = written_table(
         _bag_counts(clean, "cells")
         .groupBy(*PAIR)
         .agg(
@@ -126,22 +128,11 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         .agg(F.array_sort(F.collect_list(F.struct("gt_index", "gen_index"))).alias("mapping"))
     )
     undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND NOT whole_equal").select(*PAIR)
-    projected = (
-        clean.join(mapping.join(undecided, PAIR, "left_semi"), PAIR)
-        .withColumn(
-            "cells",
-            F.transform(
-                "mapping",
-                lambda m: F.element_at(
-                    "cells",
-                    F.when(F.col("side") == TRUTH, m["gt_index"]).otherwise(m["gen_index"]) + 1,
-                ),
-            ),
-        )
-        .drop("mapping")
+    projected = written_table(
+        _matchable(clean.join(mapping.join(undecided, PAIR, "left_semi"), PAIR))
     )
-    exact = (
-        _bag_counts(projected, "cells")
+    exact = written_table(
+        _bag_counts(projected, "signature", "numbers")
         .groupBy(*PAIR)
         .agg(
             F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("mapped_equal"),
@@ -158,8 +149,8 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         scored = scored.withColumn("close", F.col("members"))
     else:
         near = projected.join(exact.filter("NOT mapped_equal").select(*PAIR), PAIR, "left_semi")
-        counts = tolerant_match_counts(_matchable(near)).select("pair.*", F.col("matched").alias("close"))
-        scored = scored.join(counts, PAIR, "left")
+        counts = tolerant_match_counts(near.withColumn("pair", F.struct(*PAIR)))
+        scored = scored.join(counts.select("pair.*", F.col("matched").alias("close")), PAIR, "left")
 
     same = F.coalesce("whole_equal", F.lit(False)) | F.coalesce("mapped_equal", F.lit(False))
     matched = F.when(same, F.col("gt_rows")).otherwise(F.coalesce("close", F.lit(0)))
@@ -185,15 +176,24 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
 
 
 def _matchable(rows: DataFrame) -> DataFrame:
-    """Rows in the form tolerant matching takes.  Rows may match only if their kinds
-    and all their texts agree."""
-    return rows.select(
-        F.struct(*PAIR).alias("pair"),
+    """Mapped cells of both sides, aligned, in the form tolerant matching takes.
+
+    Rows may match only if their kinds and all their texts agree, which the signature
+    stands for; the numbers follow in order."""
+
+    def side_index(m: Column) -> Column:
+        return F.when(F.col("side") == TRUTH, m["gt_index"]).otherwise(m["gen_index"])
+
+    aligned = rows.withColumn(
+        "cells", F.transform("mapping", lambda m: F.element_at("cells", side_index(m) + 1))
+    )
+    fixed = F.to_json(F.transform("cells", lambda c: F.struct(c["kind"], c["str"])))
+    numeric = F.filter("cells", lambda c: c["kind"] == "num")
+    return aligned.select(
+        *PAIR,
         "side",
         "row_no",
-        F.sha2(F.to_json(F.transform("cells", lambda c: F.struct(c["kind"], c["str"]))), 256)
-        .alias("signature"),
+        F.sha2(fixed, 256).alias("signature"),
         F.array_join(F.transform("cells", lambda c: c["kind"]), ",").alias("pattern"),
-        F.transform(F.filter("cells", lambda c: c["kind"] == "num"), lambda c: c["num"])
-        .alias("numbers"),
+        F.transform(numeric, lambda c: c["num"]).alias("numbers"),
     )

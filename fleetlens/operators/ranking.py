@@ -5,8 +5,8 @@ partitioned by (value, key) and sorted inside each range, so a row's place is it
 in the range plus the sizes of the ranges before it.  Because key is unique, even a
 value shared by a third of all rows is cut into many ranges.
 
-The ranges must be the same each time they are read, so a reliable checkpoint fixes
-them.  Only (value, key, other given columns) are written; callers pass narrow rows.
+The ranges must be the same each time they are read, so a written table fixes them.
+Only the given columns are written; callers pass narrow rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.sources.checkpoints import reliable_checkpoint
+from fleetlens.sources.checkpoints import written_table
 
 # monotonically_increasing_id() holds the partition number above bit 33 and the place
 # inside the partition below it.
@@ -23,12 +23,12 @@ _PLACE_BITS = 33
 
 
 def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with __range and __place (from 0), fixed on reliable storage."""
+    """Rows with __range and __place (from 0), fixed in a written table."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     numbered = sorted_rows.withColumn("__id", F.monotonically_increasing_id())
     return (
-        reliable_checkpoint(numbered)
+        written_table(numbered)
         .withColumn("__range", F.shiftright("__id", _PLACE_BITS))
         .withColumn("__place", F.col("__id").bitwiseAND((1 << _PLACE_BITS) - 1))
         .drop("__id")

@@ -31,7 +31,7 @@ from fleetlens.operators.first_fit import (
     matched_rows,
 )
 from fleetlens.operators.numbering import row_number_within
-from fleetlens.sources.checkpoints import reliable_checkpoint
+from fleetlens.sources.checkpoints import written_table
 from fleetlens.sources.results import GENERATED, TRUTH
 
 # Logarithmic bins above FLOOR, like the linear ones below it, are a little wider than
@@ -121,7 +121,7 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
         .select("pair", F.least("gt_n", "gen_n").alias("matched"))
     )
 
-    blocked = reliable_checkpoint(_with_components(rows.filter(F.size("numbers") > 0)))
+    blocked = written_table(_with_components(rows.filter(F.size("numbers") > 0)))
     sizes = blocked.groupBy(*_BLOCK).agg(
         F.count_if(F.col("side") == TRUTH).alias("gt_n"),
         F.count_if(F.col("side") == GENERATED).alias("gen_n"),
@@ -132,13 +132,17 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
     # Rows that are all alike match as far as they go.  In a block of one row a side,
     # low and high are those two rows.
     simple = (F.col("low") == F.col("high")) | (largest == 1)
-    sizes = sizes.filter((F.col("gt_n") > 0) & (F.col("gen_n") > 0)).withColumn("simple", simple)
+    sizes = written_table(
+        sizes.filter((F.col("gt_n") > 0) & (F.col("gen_n") > 0)).withColumns(
+            {"simple": simple, "oversize": ~simple & (largest > BLOCK_LIMIT)}
+        )
+    )
     at_once = sizes.filter("simple").select(
         "pair",
         F.when(_all_close("low", "high"), F.least("gt_n", "gen_n")).otherwise(0).alias("matched"),
     )
 
-    ordinary = sizes.filter(~F.col("simple") & (largest <= BLOCK_LIMIT)).select(*_BLOCK)
+    ordinary = sizes.filter("NOT simple AND NOT oversize").select(*_BLOCK)
     inside = blocked.join(ordinary, _BLOCK, "left_semi")
     one_call = (
         _side(inside, TRUTH, _BLOCK)
@@ -149,7 +153,7 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
     )
     parts = [texts, at_once, one_call]
 
-    oversize = sizes.filter(~F.col("simple") & (largest > BLOCK_LIMIT)).select(*_BLOCK)
+    oversize = sizes.filter("oversize").select(*_BLOCK)
     if not oversize.isEmpty():
         parts.append(_match_in_chunks(blocked.join(oversize, _BLOCK, "left_semi")))
     return reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
@@ -163,7 +167,7 @@ def _match_in_chunks(rows: DataFrame) -> DataFrame:
     left = row_number_within(rows, side_block, "row_no", "place").withColumn(
         "chunk", F.floor(F.col("place") / CHUNK_ROWS)
     )
-    left = reliable_checkpoint(left.drop("place"))
+    left = written_table(left.drop("place"))
     last = left.groupBy("side").agg(F.max("chunk").alias("chunk")).collect()  # two rows
     diagonals = sum(row["chunk"] for row in last) + 1
     cell = [*_BLOCK, "truth_chunk"]
@@ -184,7 +188,7 @@ def _match_in_chunks(rows: DataFrame) -> DataFrame:
                 ).alias("m"),
             )
         )
-        matches = reliable_checkpoint(matches)
+        matches = written_table(matches)
         found.append(matches.groupBy("pair").agg(F.count(F.lit(1)).alias("matched")))
         taken = matches.select(
             *_BLOCK,
@@ -197,5 +201,5 @@ def _match_in_chunks(rows: DataFrame) -> DataFrame:
                 )
             ).alias("t"),
         ).select(*_BLOCK, "t.side", "t.row_no")
-        left = reliable_checkpoint(left.join(taken, [*side_block, "row_no"], "left_anti"))
+        left = written_table(left.join(taken, [*side_block, "row_no"], "left_anti"))
     return reduce(DataFrame.unionByName, found)

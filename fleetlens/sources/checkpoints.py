@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and scratch tables.
+    """The shared folder for written intermediate tables.
 
     A cluster names it in spark.checkpoint.dir.  Only a local-mode session without the
     setting, as in tests, gets a folder of its own."""
@@ -25,6 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def written_table(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there.
+
+    Unlike a cached or checkpointed DataFrame the table is columnar, so later readers
+    prune columns, and Spark knows its true size when it plans a join.  An executor
+    lost later costs no recomputation of what led here."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
