@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fleetlens.model import Tables
 from fleetlens.sources.checkpoints import checkpoint_dir
@@ -25,8 +26,9 @@ class QueryRunner:
     """Runs SQL texts in a session of its own, where the tables are views.
 
     `open_tables` takes the session and returns the tables; the caller's views and
-    settings stay untouched.  Only queries run: a text is placed inside a subquery, so
-    commands, several statements and empty text do not parse.
+    settings stay untouched.  Only queries run: a text has to parse inside a subquery
+    and inside a table expression, which commands, several statements, empty text and
+    unbalanced brackets do not.
     """
 
     def __init__(self, spark: SparkSession, open_tables: Callable[[SparkSession], Tables]):
@@ -39,6 +41,7 @@ class QueryRunner:
 
     def query(self, text: str) -> DataFrame:
         body = text.strip().removesuffix(";")
+        self.spark.sql(f"WITH checked AS (\n{body}\n) SELECT 1")
         return self.spark.sql(f"SELECT * FROM (\n{body}\n)")
 
     def store(
@@ -76,7 +79,8 @@ class QueryRunner:
             "model string, query_id int, side string, result string",
         )
         paths = sorted({path for *_, path in written})
-        stored = self.spark.read.schema("row_no bigint, cells " + ROW_SCHEMA["cells"].dataType.simpleString()).parquet(*paths)
+        schema = T.StructType([ROW_SCHEMA["row_no"], ROW_SCHEMA["cells"]])
+        stored = self.spark.read.schema(schema).parquet(*paths)
         folder = "regexp_extract(input_file_name(), '(result-[0-9a-f]+)', 1) AS result"
         return stored.selectExpr("*", folder).join(uses, "result").select(*ROW_SCHEMA.names)
 

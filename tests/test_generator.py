@@ -1,0 +1,132 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetlens.operators.integrity import all_violations
+from fleetlens.plans import reports
+from fleetlens.plans.catalogue import EVAL, TRAIN, catalogue, catalogue_table
+from fleetlens.sources import generator
+from fleetlens.sources.runner import row_counts
+from fleetlens.sources.tables import create_empty_tables, read_tables, write_tables
+
+BLOCKS = 3
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("generated") / "tables")
+    write_tables(generator.generate_tables(spark, generator.customer_ids(spark, BLOCKS)), folder)
+    return folder
+
+
+@pytest.fixture(scope="module")
+def tables(spark, stored):
+    return read_tables(spark, stored)
+
+
+def fingerprint(tables):
+    return {
+        name: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+        for name, df in tables.items()
+    }
+
+
+def test_same_rows_at_any_partition_count(spark, tables):
+    again = generator.generate_tables(spark, generator.customer_ids(spark, BLOCKS).repartition(13))
+    assert fingerprint(again) == fingerprint(generator.generate_tables(
+        spark, generator.customer_ids(spark, BLOCKS).coalesce(1)
+    ))
+    other = generator.generate_customers(generator.customer_ids(spark, 1), seed=7)
+    assert other.subtract(tables.customers).count() > 0
+
+
+def test_constraints_hold(tables):
+    checks = all_violations(tables).collect()
+    assert len(checks) > 70
+    assert [tuple(c) for c in checks if c["bad"]] == []
+
+
+def test_sizes(tables):
+    sizes = {name: df.count() for name, df in tables.items()}
+    assert sizes["customers"] == 30 * BLOCKS
+    assert sizes["account_managers"] == 5 and sizes["products"] == 15
+    assert 31 * BLOCKS <= sizes["machines"] <= 118 * BLOCKS
+    assert 82 * BLOCKS <= sizes["orders"] <= 107 * BLOCKS
+    assert sizes["order_lines"] == sizes["orders"]
+    assert sizes["quote_lines"] == sizes["quotes"]
+
+
+def test_every_catalogue_query_returns_rows(spark, stored):
+    entries = catalogue(generator.TODAY)
+    for split, number in ((EVAL, 20), (TRAIN, 30)):
+        texts = {e.query_id: e.sql for e in entries if e.split == split}
+        assert len(texts) == number
+        counts = row_counts(spark, lambda session: read_tables(session, stored), texts)
+        assert {r["query_id"] for r in counts.collect() if r["n_rows"] > 0} == set(texts)
+
+
+def test_catalogue_is_pinned_to_its_date(spark):
+    entries = catalogue(date(2026, 3, 4))
+    assert [e.difficulty for e in entries[:20]] == ["easy"] * 7 + ["medium"] * 7 + ["hard"] * 6
+    assert [e.difficulty for e in entries[20:]] == ["easy"] * 12 + ["medium"] * 10 + ["hard"] * 8
+    assert "DATE '2025-09-05'" in entries[0].sql
+    assert catalogue_table(spark, entries).count() == 50
+
+
+def members(df, column="name"):
+    return {(int(r[0].split("_")[1]) - 1) % 30 + 1 for r in df.select(column).collect()}
+
+
+def test_planted_groups(tables):
+    today = generator.TODAY
+    risky = members(reports.at_risk_accounts(tables, today))
+    assert risky & {29, 30} and not risky & {1, 2, 3, 4, 5, 26, 27, 28}
+    assert 11 in members(reports.declining_frequency(tables, today))
+    assert {11, 12, 13, 14, 15} <= members(reports.churn_signal(tables, today))
+    assert {19, 20} <= members(reports.equipment_without_spare_parts(tables, today))
+    assert members(reports.stale_quotes(tables, today), "customer_name") == {6, 8, 10, 15, 20}
+
+
+def test_random_date_of_an_empty_range_is_its_start(spark):
+    day = generator.random_date(
+        F.lit(date(2025, 5, 2)), F.lit(date(2025, 5, 1)), 1, "t", F.col("id")
+    )
+    assert spark.range(5).select(day.alias("d")).distinct().collect() == [(date(2025, 5, 2),)]
+
+
+def test_shares_are_near_their_targets(spark):
+    customers = generator.generate_customers(generator.customer_ids(spark, 200))
+    machines = generator.generate_machines(customers).filter("customer_id % 30 <> 0")
+    active = machines.agg(F.avg((F.col("status") == "active").cast("int"))).first()[0]
+    assert abs(active - 0.85) < 0.02
+
+
+def test_empty_tables_are_typed(spark, tmp_path):
+    create_empty_tables(spark, str(tmp_path / "empty"))
+    empty = read_tables(spark, str(tmp_path / "empty"))
+    assert reports.account_health(empty, generator.TODAY).count() == 0
+    assert reports.high_value_accounts(empty, generator.TODAY).count() == 0
+    assert reports.lifetime_spend_rank(empty, generator.TODAY).count() == 0
+    assert dict(empty.quotes.dtypes)["sent_date"] == "date"
+
+
+def test_violations_are_found(spark, tables):
+    bad_order = spark.createDataFrame(
+        [(1, 999999, 1, date(2025, 1, 1), 1.0, "lost")], tables.orders.schema
+    )
+    given = dict(tables.items())
+    given["orders"] = tables.orders.unionByName(bad_order)
+    from fleetlens.model import Tables
+
+    found = {
+        (r["table_name"], r["check_name"], r["column_name"])
+        for r in all_violations(Tables(given)).collect()
+        if r["bad"]
+    }
+    assert found == {
+        ("orders", "allowed_values", "status"),
+        ("orders", "unique", "id"),
+        ("orders", "foreign_key", "customer_id"),
+        ("orders", "derived_total", "total_value"),
+    }

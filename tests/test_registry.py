@@ -1,7 +1,7 @@
 """Every registered query against its SQL counterpart, over a whole fixture."""
 
 import pytest
-from conftest import SMALL, bag, spark_bag
+from tests.conftest import SMALL, bag, spark_bag
 
 import __spark_entry__ as contract
 
