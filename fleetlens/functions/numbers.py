@@ -14,22 +14,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def half_even_2(col: Column) -> Column:
     """Round a finite double to 2 places, half to even on its exact binary value.
 
-    Built-in bround works on the shortest decimal text, so it treats 2.675 (which is
-    stored slightly below) as a tie.  Here the fraction f is taken off exactly, and
-    200 f is compared with the odd integer between the two candidates using an exact
-    split of f into two half-width parts, so only true ties count as ties.
-    """
-    size = F.abs(col)
-    whole = F.floor(size).cast("double")
-    fraction = size - whole
-    low = F.floor(fraction * 100.0).cast("double")
-    scaled = fraction * 134217729.0  # 2**27 + 1 splits a double into two 26-bit parts
-    high_part = scaled - (scaled - fraction)
-    above_tie = (high_part * 200.0 - (low * 2.0 + 1.0)) + (fraction - high_part) * 200.0
-    up = (above_tie > 0.0) | ((above_tie == 0.0) & ((low % 2.0) != 0.0))
-    cents = low + F.when(up, 1.0).otherwise(0.0)
-    # Up to 9e13 the number of cents is an exact double; above, adding is exact enough.
-    rounded = F.when(whole < 9e13, (whole * 100.0 + cents) / 100.0).otherwise(
-        whole + cents / 100.0
-    )
-    return F.when(col < 0.0, -rounded).otherwise(rounded) + 0.0
+    bround works on the shortest decimal text, so it takes 2.675 (stored slightly below)
+    for a tie; a number format decides on the binary value."""
+    return F.call_function("format_number", col, F.lit("0.00")).cast("double") + 0.0

@@ -100,11 +100,15 @@ def transcript(messages: str) -> Column:
 
 def overlapping_questions(train: DataFrame, evaluation: DataFrame, *columns: str) -> DataFrame:
     """Training rows whose given text columns also occur, up to case and edge space, in
-    the evaluation set."""
-    keys = [strip(F.lower(c)).alias(f"__{c}") for c in columns]
-    known = evaluation.select(*keys).distinct()
+    the evaluation set.  Whole texts meet by their SHA-256, which keeps the shuffled
+    evaluation side narrow."""
+    def key(column: str) -> Column:
+        return F.sha2(strip(F.lower(column)), 256)
+
+    keys = [f"__{c}" for c in columns]
+    known = evaluation.select(*[key(c).alias(f"__{c}") for c in columns]).distinct()
     return (
-        train.withColumns({f"__{c}": strip(F.lower(c)) for c in columns})
-        .join(known, [f"__{c}" for c in columns], "left_semi")
-        .drop(*[f"__{c}" for c in columns])
+        train.withColumns({f"__{c}": key(c) for c in columns})
+        .join(known, keys, "left_semi")
+        .drop(*keys)
     )

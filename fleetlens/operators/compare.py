@@ -20,12 +20,16 @@ from fleetlens.sources.results import GENERATED, TRUTH
 PAIR = ["model", "query_id"]
 
 
-def normalised_cells(cells: Column) -> Column:
-    """Numbers to two places, half to even; all else unchanged."""
-    return F.transform(
-        cells,
-        lambda c: F.struct(
-            c["kind"].alias("kind"), half_even_2(c["num"]).alias("num"), c["str"].alias("str")
+def normalised(rows: DataFrame) -> DataFrame:
+    """Numbers to two places, half to even; all else unchanged.  `result_rows` already
+    stores them so; rows from elsewhere go through this first."""
+    return rows.withColumn(
+        "cells",
+        F.transform(
+            "cells",
+            lambda c: F.struct(
+                c["kind"].alias("kind"), half_even_2(c["num"]).alias("num"), c["str"].alias("str")
+            ),
         ),
     )
 
@@ -111,9 +115,8 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         of(GENERATED, "error").alias("gen_error"),
     )
     # One row per pair; written, because each later step asks which pairs are open.
-    clean = rows.withColumn("cells", normalised_cells(F.col("cells")))
     whole = written_table(
-        _bag_counts(clean, "cells")
+        _bag_counts(rows, "cells")
         .groupBy(*PAIR)
         .agg(
             F.sum("gt_n").alias("gt_rows"),
@@ -129,7 +132,7 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
     )
     undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND NOT whole_equal").select(*PAIR)
     projected = written_table(
-        _matchable(clean.join(mapping.join(undecided, PAIR, "left_semi"), PAIR))
+        _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR))
     )
     exact = written_table(
         _bag_counts(projected, "signature", "numbers")

@@ -6,13 +6,14 @@ differ by at most 2% of the larger magnitude, and of at least 1; everything else
 be equal.
 
 Rows are cut into blocks that cannot match across, which leaves the outcome unchanged:
-first by all cells that must be equal, then by gaps along one numeric column.  A block
-whose rows are all alike needs no matching at all, and blocks of ordinary size are
-matched one by one inside tasks.  A block too large for that is cut into ordered chunks
-on both sides and solved cell by cell: a truth row prefers any generated row of an
-earlier chunk to one of a later chunk, so chunk a of the truth meets chunk p of the
-generated rows once chunk a has met p - 1 and p has met a - 1.  All cells with equal
-a + p are independent and run as one job.  Nothing is sampled, dropped or capped.
+first by all cells that must be equal and, where such a block is large, by gaps along
+one numeric column.  A block whose rows are all alike needs no matching at all, and
+blocks of ordinary size are matched one by one inside tasks.  A block still too large
+is cut into ordered chunks on both sides and solved cell by cell: a truth row prefers
+any generated row of an earlier chunk to one of a later chunk, so chunk a of the truth
+meets chunk p of the generated rows once a has met p - 1 and p has met a - 1.  All cells
+with equal a + p are independent and run as one job.  Nothing is sampled, dropped or
+capped.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ _LOG_BIN = 0.0207
 BLOCK_LIMIT = 2_000  # rows per side of a block that one call matches
 CHUNK_ROWS = 20_000  # rows per side of a cell of a larger block
 
-_BLOCK = ["pair", "signature", "component"]
+_GROUP = ["pair", "signature"]
+_BLOCK = [*_GROUP, "component"]
 
 
 def _all_close(left: str, right: str) -> Column:
@@ -106,56 +108,55 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     )
 
 
-def tolerant_match_counts(rows: DataFrame) -> DataFrame:
-    """pair, matched: truth rows served by first fit, for every pair of the input.
-
-    `rows` has pair (any type), side, row_no, signature (equal for rows that may
-    match), pattern (the kinds of cells) and numbers (the numeric cells in order)."""
-    texts = (
-        rows.filter(F.size("numbers") == 0)
-        .groupBy("pair", "signature")
-        .agg(
-            F.count_if(F.col("side") == TRUTH).alias("gt_n"),
-            F.count_if(F.col("side") == GENERATED).alias("gen_n"),
-        )
-        .select("pair", F.least("gt_n", "gen_n").alias("matched"))
-    )
-
-    blocked = written_table(_with_components(rows.filter(F.size("numbers") > 0)))
-    sizes = blocked.groupBy(*_BLOCK).agg(
-        F.count_if(F.col("side") == TRUTH).alias("gt_n"),
-        F.count_if(F.col("side") == GENERATED).alias("gen_n"),
-        F.min("numbers").alias("low"),
-        F.max("numbers").alias("high"),
-    )
+def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per block with rows on both sides: counts, and how to solve it."""
     largest = F.greatest("gt_n", "gen_n")
     # Rows that are all alike match as far as they go.  In a block of one row a side,
     # low and high are those two rows.
     simple = (F.col("low") == F.col("high")) | (largest == 1)
-    sizes = written_table(
-        sizes.filter((F.col("gt_n") > 0) & (F.col("gen_n") > 0)).withColumns(
-            {"simple": simple, "oversize": ~simple & (largest > BLOCK_LIMIT)}
+    return written_table(
+        rows.groupBy(*keys)
+        .agg(
+            F.count_if(F.col("side") == TRUTH).alias("gt_n"),
+            F.count_if(F.col("side") == GENERATED).alias("gen_n"),
+            F.min("numbers").alias("low"),
+            F.max("numbers").alias("high"),
         )
-    )
-    at_once = sizes.filter("simple").select(
-        "pair",
-        F.when(_all_close("low", "high"), F.least("gt_n", "gen_n")).otherwise(0).alias("matched"),
+        .filter("gt_n > 0 AND gen_n > 0")
+        .withColumns({"simple": simple, "oversize": ~simple & (largest > BLOCK_LIMIT)})
     )
 
-    ordinary = sizes.filter("NOT simple AND NOT oversize").select(*_BLOCK)
-    inside = blocked.join(ordinary, _BLOCK, "left_semi")
-    one_call = (
-        _side(inside, TRUTH, _BLOCK)
-        .join(_side(inside, GENERATED, _BLOCK), _BLOCK)
-        .select(
-            "pair", matched_count("gt_values", "gen_values", "gt_width").alias("matched")
-        )
+
+def _at_once(sizes: DataFrame) -> DataFrame:
+    served = F.when(_all_close("low", "high"), F.least("gt_n", "gen_n")).otherwise(0)
+    return sizes.filter("simple").select("pair", served.alias("matched"))
+
+
+def _one_call_each(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    ordinary = sizes.filter("NOT simple AND NOT oversize").select(*keys)
+    inside = rows.join(ordinary, keys, "left_semi")
+    return (
+        _side(inside, TRUTH, keys)
+        .join(_side(inside, GENERATED, keys), keys)
+        .select("pair", matched_count("gt_values", "gen_values", "gt_width").alias("matched"))
     )
-    parts = [texts, at_once, one_call]
 
-    oversize = sizes.filter("oversize").select(*_BLOCK)
-    if not oversize.isEmpty():
-        parts.append(_match_in_chunks(blocked.join(oversize, _BLOCK, "left_semi")))
+
+def tolerant_match_counts(rows: DataFrame) -> DataFrame:
+    """pair, matched: truth rows served by first fit, for every pair with any.
+
+    `rows` has pair (any type), side, row_no, signature (equal for rows that may
+    match), pattern (the kinds of cells) and numbers (the numeric cells in order)."""
+    sizes = _sizes(rows, _GROUP)
+    parts = [_at_once(sizes), _one_call_each(rows, sizes, _GROUP)]
+    large = sizes.filter("oversize").select(*_GROUP)
+    if not large.isEmpty():
+        blocks = written_table(_with_components(rows.join(large, _GROUP, "left_semi")))
+        sizes = _sizes(blocks, _BLOCK)
+        parts += [_at_once(sizes), _one_call_each(blocks, sizes, _BLOCK)]
+        oversize = sizes.filter("oversize").select(*_BLOCK)
+        if not oversize.isEmpty():
+            parts.append(_match_in_chunks(blocks.join(oversize, _BLOCK, "left_semi")))
     return reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
         F.sum("matched").alias("matched")
     )

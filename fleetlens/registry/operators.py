@@ -501,12 +501,12 @@ def _detail_table(spark: SparkSession, directory: str) -> DataFrame:
     "s06_score_files",
     f"""
 WITH {_RESULTS_SQL}
-SELECT model_name, COUNT(*) OVER (PARTITION BY model_name) AS total_queries,
-       query_id, difficulty, result_match, ground_truth_row_count, question
+SELECT model_name, query_id, difficulty, execution_success, result_match,
+       ground_truth_row_count, question
 FROM results""",
 )
 def _score_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Writes one score file per model and reads them all back."""
+    """Writes the results of each model below a folder of its own and reads all back."""
     flat = _results(spark, directory).select(
         "model_name",
         "query_id",
@@ -521,12 +521,12 @@ def _score_files(spark: SparkSession, directory: str) -> DataFrame:
         "result_match",
     )
     folder = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
-    results.write_score_files(scoreboard.benchmark_records(flat, str(AS_OF)), folder)
+    results.write_score_files(flat, folder)
     return results.read_score_files(spark, folder).select(
         "model_name",
-        "total_queries",
         "query_id",
         "difficulty",
+        "execution_success",
         "result_match",
         "ground_truth_row_count",
         "question",
@@ -565,14 +565,13 @@ def _pairs(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     return results.outcome_table(spark, outcomes), rows
 
 
-def _scores_sql(close: str, full_only_if_equal: bool) -> str:
+def _scores_sql(close: str) -> str:
     parts = []
     for number, scale, kept in _PERTURBED:
         parts.append(
             f"SELECT {number} AS query_id, o_totalprice AS v, {kept} AS kept, "
             f"o_totalprice * {scale} AS w FROM orders"
         )
-    partial = "matched * 2 > gt_rows"
     return f"""
 WITH perturbed AS ({" UNION ALL ".join(parts)}),
 counted AS (
@@ -582,7 +581,7 @@ counted AS (
   FROM perturbed GROUP BY query_id
 )
 SELECT query_id, gt_rows, gen_rows, CAST(2 AS INT) AS mapped_columns, matched,
-       CASE WHEN matched = gt_rows THEN CAST(1 AS DOUBLE) WHEN {partial} THEN CAST(0.5 AS DOUBLE)
+       CASE WHEN matched = gt_rows THEN CAST(1 AS DOUBLE) WHEN matched * 2 > gt_rows THEN CAST(0.5 AS DOUBLE)
             ELSE CAST(0 AS DOUBLE) END AS result_match
 FROM counted"""
 
@@ -592,7 +591,7 @@ _SCORE_COLUMNS = ["query_id", "gt_rows", "gen_rows", "mapped_columns", "matched"
 
 @_query(
     "r14_score_pairs",
-    _scores_sql("ABS(v - w) <= GREATEST(ABS(v), ABS(w), 1) * 0.02", False),
+    _scores_sql("ABS(v - w) <= GREATEST(ABS(v), ABS(w), 1) * 0.02"),
 )
 def _score_pairs(spark: SparkSession, directory: str) -> DataFrame:
     outcomes, rows = _pairs(spark, directory)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.numbers import half_even_2
+
 TRUTH, GENERATED = "gt", "gen"
 
 OUTCOME_SCHEMA = T.StructType(
@@ -70,9 +72,15 @@ BENCHMARK_RESULT = T.StructType(
 )
 
 
+def _comparable(field: T.StructField, number: Column) -> Column:
+    fractional = isinstance(field.dataType, (T.FractionalType, T.DecimalType))
+    return half_even_2(number) if fractional else number
+
+
 def _cell(field: T.StructField, column: Column) -> Column:
-    """kind is null, num or str.  Numbers of every width compare as doubles; a value
-    that is not finite keeps its text, so it only equals itself."""
+    """kind is null, num or str.  Numbers of every width become doubles rounded to two
+    places, the precision at which results are compared; a value that is not finite
+    keeps its text, so it only equals itself."""
     numeric = isinstance(field.dataType, (T.NumericType, T.BooleanType))
     number = column.cast("double") if numeric else F.lit(None).cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
@@ -80,7 +88,7 @@ def _cell(field: T.StructField, column: Column) -> Column:
     text = column.cast("string")
     return F.struct(
         F.when(column.isNull(), "null").when(is_number, "num").otherwise("str").alias("kind"),
-        F.when(is_number, number).alias("num"),
+        F.when(is_number, _comparable(field, number)).alias("num"),
         F.when(column.isNotNull() & ~is_number, text).alias("str"),
     )
 
@@ -117,16 +125,47 @@ def file_label(model: Column) -> Column:
     return F.concat(F.lit("results_"), F.translate(model, ".", "_"))
 
 
-def write_score_files(benchmark: DataFrame, directory: str, mode: str = "error") -> None:
-    """One folder of JSON per model, named after it with dots replaced."""
-    labelled = benchmark.withColumn("file", file_label(F.col("model_name")))
+def write_score_files(scored: DataFrame, directory: str, mode: str = "error") -> None:
+    """Scored results (model_name and the QUERY_RESULT columns) as JSON lines, in one
+    folder per model named after it with dots replaced.  A model's results are written
+    by as many tasks as hold them."""
+    columns = ["model_name", *QUERY_RESULT.names]
+    labelled = scored.select(*columns, file_label(F.col("model_name")).alias("file"))
     labelled.write.mode(mode).partitionBy("file").json(directory)
 
 
 def read_score_files(spark: SparkSession, directory: str) -> DataFrame:
     """All models' results, one row per (model, query)."""
-    stored = spark.read.schema(BENCHMARK_RESULT).json(f"{directory}/file=results_*")
-    per_query = stored.select(
-        "model_name", "timestamp", "total_queries", F.explode("results").alias("r")
+    schema = T.StructType([BENCHMARK_RESULT["model_name"], *QUERY_RESULT.fields])
+    return spark.read.schema(schema).json(f"{directory}/file=results_*")
+
+
+def write_score_documents(benchmark: DataFrame, directory: str, mode: str = "error") -> None:
+    """One JSON document per model that holds all its results; see
+    `plans.scoreboard.benchmark_records`."""
+    labelled = benchmark.withColumn("file", file_label(F.col("model_name")))
+    labelled.write.mode(mode).partitionBy("file").json(directory)
+
+
+def read_score_documents(spark: SparkSession, paths: str) -> DataFrame:
+    """Results of documents that hold one model each, indented or not, one row per
+    (model, query).  Documents that keep result rows instead of their number are
+    counted here."""
+    row_lists = [
+        T.StructField(name, T.ArrayType(T.ArrayType(T.StringType())))
+        for name in ("ground_truth_rows", "generated_rows")
+    ]
+    result = T.ArrayType(T.StructType([*QUERY_RESULT.fields, *row_lists]))
+    schema = T.StructType([*BENCHMARK_RESULT.fields[:-1], T.StructField("results", result)])
+    per_query = (
+        spark.read.schema(schema)
+        .option("multiLine", True)
+        .json(paths)
+        .select("model_name", "timestamp", "total_queries", F.explode("results").alias("r"))
+        .select("model_name", "timestamp", "total_queries", "r.*")
     )
-    return per_query.select("model_name", "timestamp", "total_queries", "r.*")
+    counted = {
+        f"{side}_row_count": F.coalesce(f"{side}_row_count", F.size(f"{side}_rows"))
+        for side in ("ground_truth", "generated")
+    }
+    return per_query.withColumns(counted).drop(*[f.name for f in row_lists])

@@ -37,7 +37,9 @@ def score(spark, cases, training=False):
                 ("m", number, side, i, [cell(v) for v in row]) for i, row in enumerate(data)
             ]
     scored = compare.score_pairs(
-        outcome_table(spark, outcomes), spark.createDataFrame(rows, ROW_SCHEMA), training
+        outcome_table(spark, outcomes),
+        compare.normalised(spark.createDataFrame(rows, ROW_SCHEMA)),
+        training,
     )
     return {r["query_id"]: r for r in scored.collect()}
 

@@ -1,5 +1,6 @@
 """Query texts, score files, rollups, chat samples and rewards end to end."""
 
+import json
 from datetime import date
 
 import pytest
@@ -60,13 +61,21 @@ def test_views_stay_in_the_runner(spark, runner):
 def test_score_files_and_rollups(spark, scores, tmp_path):
     answers = spark.createDataFrame(ANSWERS, "model string, query_id int, sql string")
     flat = scoreboard.query_results(catalogue_table(spark, ENTRIES), answers, scores)
-    records = scoreboard.benchmark_records(flat, "2026-03-04T00:00:00")
     folder = tmp_path / "scores"
-    results.write_score_files(records, str(folder))
+    results.write_score_files(flat, str(folder))
     assert {p.name for p in folder.iterdir() if p.is_dir()} == {
         "file=results_good-1_0", "file=results_bad",
     }
     read = results.read_score_files(spark, str(folder))
+    records = scoreboard.benchmark_records(flat, "2026-03-04T00:00:00")
+    documents = str(tmp_path / "documents")
+    results.write_score_documents(records, documents)
+    again = results.read_score_documents(spark, documents + "/file=results_*")
+    assert again.select("timestamp", "total_queries").distinct().count() == 1
+    again = again.drop("timestamp", "total_queries")
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(
+        map(tuple, read.collect()), key=repr
+    )
     summary = {r["model_name"]: r for r in scoreboard.model_summary(read).collect()}
     good, bad = summary["good-1.0"], summary["bad"]
     assert (good["total_queries"], good["queries_passed"]) == (4, 3)
@@ -90,6 +99,23 @@ def test_score_files_and_rollups(spark, scores, tmp_path):
     assert scoreboard.match_table(read).filter("query = 'Q11'").count() == 2
 
 
+def test_indented_document_with_rows(spark, tmp_path):
+    document = {
+        "model_name": "m", "timestamp": "t", "total_queries": 1, "execution_accuracy": 1.0,
+        "result_match_avg": 1.0,
+        "results": [{
+            "query_id": 1, "question": "q", "difficulty": "easy", "ground_truth_sql": "s",
+            "generated_sql": "s", "execution_success": True, "execution_error": None,
+            "ground_truth_rows": [[1, "x"], [2, None]], "generated_rows": [],
+            "result_match": 1.0,
+        }],
+    }
+    (tmp_path / "results_m.json").write_text(json.dumps(document, indent=2))
+    row = results.read_score_documents(spark, str(tmp_path / "results_*.json")).first()
+    assert (row["ground_truth_row_count"], row["generated_row_count"]) == (2, 0)
+    assert row["result_match"] == 1.0
+
+
 def test_status_labels(spark):
     df = spark.createDataFrame(
         [(1.0, True), (0.5, True), (0.0, True), (0.0, False), (None, True)],
