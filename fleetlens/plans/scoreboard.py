@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.text import shorten
+
 DIFFICULTY_ORDER = ("easy", "medium", "hard")
 
 
@@ -75,7 +77,7 @@ def detail_table(results: DataFrame, question_length: int = 80) -> DataFrame:
         "query_id",
         "difficulty",
         detail_status().alias("status"),
-        F.substring("question", 1, question_length).alias("question"),
+        shorten(F.col("question"), question_length).alias("question"),
         "ground_truth_row_count",
         "generated_row_count",
         "result_match",
