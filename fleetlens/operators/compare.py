@@ -190,7 +190,14 @@ def _matchable(rows: DataFrame) -> DataFrame:
     aligned = rows.withColumn(
         "cells", F.transform("mapping", lambda m: F.element_at("cells", side_index(m) + 1))
     )
-    fixed = F.to_json(F.transform("cells", lambda c: F.struct(c["kind"], c["str"])))
+    # A text is led by its length, which no kind can be taken for.
+    fixed = F.array_join(
+        F.transform(
+            "cells",
+            lambda c: F.coalesce(F.concat(F.length(c["str"]), F.lit(":"), c["str"]), c["kind"]),
+        ),
+        ",",
+    )
     numeric = F.filter("cells", lambda c: c["kind"] == "num")
     return aligned.select(
         *PAIR,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import extract_sql, starts_with_select
@@ -21,15 +21,21 @@ def with_format_reward(completions: DataFrame) -> DataFrame:
     )
 
 
+def _key(sql: str) -> Column:
+    """Whole texts meet by their SHA-256, so that joins shuffle and sort narrow keys."""
+    return F.sha2(F.col(sql), 256)
+
+
 def with_execution_reward(completions: DataFrame, executions: DataFrame) -> DataFrame:
     """`executions` has one row per distinct sql: sql, ok."""
-    ran = executions.select(F.col("sql").alias("ran_sql"), F.col("ok"))
     # A third of all completions may share one text; its outcome is one row.
+    ran = executions.select(_key("sql").alias("ran_key"), F.col("ok"))
     earned = F.when((F.col("sql") != "") & F.col("ok"), EXECUTION_REWARD).otherwise(0.0)
     return (
-        completions.join(ran, F.expr("sql = ran_sql"), "left")
+        completions.withColumn("sql_key", _key("sql"))
+        .join(ran, F.expr("sql_key = ran_key"), "left")
         .withColumn("execution_reward", earned)
-        .drop("ran_sql", "ok")
+        .drop("sql_key", "ran_key", "ok")
     )
 
 
@@ -38,14 +44,15 @@ def with_correctness_reward(completions: DataFrame, verdicts: DataFrame) -> Data
     is missing or null, because either side failed, earns nothing."""
     known = verdicts.select(
         F.col("prompt_id").alias("v_prompt"),
-        F.col("sql").alias("v_sql"),
+        _key("sql").alias("v_key"),
         F.col("result_match"),
     )
     earned = F.when(F.col("sql") != "", F.coalesce("result_match", F.lit(0.0))).otherwise(0.0)
     return (
-        completions.join(known, F.expr("prompt_id = v_prompt AND sql = v_sql"), "left")
+        completions.withColumn("sql_key", _key("sql"))
+        .join(known, F.expr("prompt_id = v_prompt AND sql_key = v_key"), "left")
         .withColumn("correctness_reward", earned)
-        .drop("v_prompt", "v_sql", "result_match")
+        .drop("sql_key", "v_prompt", "v_key", "result_match")
     )
 
 

@@ -21,7 +21,7 @@ from fleetlens.plans.catalogue import EVAL, ansi_days, spark_days
 from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import generator, results, runner
 from fleetlens.sources.binding import AS_OF, bind, read_warehouse, with_binding
-from fleetlens.sources.checkpoints import checkpoint_dir
+from fleetlens.sources.checkpoints import checkpoint_dir, written_table
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -333,12 +333,15 @@ rewarded AS (
 
 
 def _rewarded(spark: SparkSession, directory: str) -> DataFrame:
-    completions = rewards.with_format_reward(
-        _responses(spark, directory).select(
-            F.col("conv_id").alias("prompt_id"),
-            F.col("turn").alias("sample_no"),
-            F.col("raw").alias("text"),
-        )
+    # Extracted once; outcomes, verdicts and rewards all start from the sql.
+    completions = written_table(
+        rewards.with_format_reward(
+            _responses(spark, directory).select(
+                F.col("conv_id").alias("prompt_id"),
+                F.col("turn").alias("sample_no"),
+                F.col("raw").alias("text"),
+            )
+        ).drop("text")
     )
     executions = completions.select("sql").distinct().select("sql", F.expr(_RAN).alias("ok"))
     verdicts = (

@@ -10,6 +10,7 @@ from fleetlens.operators import chat, compare, rewards
 from fleetlens.plans import scoreboard
 from fleetlens.plans.catalogue import EVAL, catalogue, catalogue_table
 from fleetlens.sources import generator, results
+from fleetlens.sources.checkpoints import written_table
 from fleetlens.sources.runner import QueryRunner, score_texts
 from fleetlens.sources.tables import read_tables, write_tables
 
@@ -180,3 +181,10 @@ def test_rewards(spark):
     assert got == [(0.25, 0.5, 1.0, 1.75), (0.0, 0.5, 0.5, 1.0), (0.0, 0.0, 0.0, 0.0), (0.25, 0.0, 0.0, 0.25)]
     group = rewards.group_statistics(scored).first()
     assert (group["samples"], group["mean_reward"], group["max_reward"]) == (4, 0.75, 1.75)
+
+
+def test_written_tables_go_to_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    table = written_table(spark.range(3).withColumnRenamed("id", "x"))
+    assert sorted(r["x"] for r in table.collect()) == [0, 1, 2]
+    assert all(named in path for path in table.inputFiles())
