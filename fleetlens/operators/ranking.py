@@ -6,7 +6,9 @@ in the range plus the sizes of the ranges before it.  Because key is unique, eve
 value shared by a third of all rows is cut into many ranges.
 
 The ranges must be the same each time they are read, so a written table fixes them.
-Only the given columns are written; callers pass narrow rows.
+Only the given columns are written; callers pass narrow rows.  Where the value is a sum
+of doubles, callers write it first: a sum computed again after a lost executor may differ
+in its last bit and fall into another range.
 """
 
 from __future__ import annotations

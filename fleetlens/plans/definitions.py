@@ -19,6 +19,7 @@ from fleetlens.functions.dates import days_before, months_before
 from fleetlens.functions.numbers import ratio
 from fleetlens.model import Tables
 from fleetlens.operators.ranking import global_ntile
+from fleetlens.sources.checkpoints import written_table
 
 
 def with_status(df: DataFrame, *values: str) -> DataFrame:
@@ -107,15 +108,19 @@ def service_penetration(t: Tables) -> DataFrame:
     )
 
 
-def high_value_accounts(t: Tables, tiles: int = 5) -> DataFrame:
-    """customer_id, lifetime_value of the top tile by completed order value.  Equal
-    values are ordered by customer, so the cut is repeatable."""
-    value = (
+def lifetime_value(t: Tables) -> DataFrame:
+    """customer_id, lifetime_value of completed orders; written, as it will be ranked."""
+    return written_table(
         with_status(t.orders, "completed")
         .groupBy("customer_id")
         .agg(F.sum("total_value").alias("lifetime_value"))
     )
-    tiled = global_ntile(value, "lifetime_value", "customer_id", tiles, "tile")
+
+
+def high_value_accounts(t: Tables, tiles: int = 5) -> DataFrame:
+    """customer_id, lifetime_value of the top tile by completed order value.  Equal
+    values are ordered by customer, so the cut is repeatable."""
+    tiled = global_ntile(lifetime_value(t), "lifetime_value", "customer_id", tiles, "tile")
     return tiled.filter(F.col("tile") == tiles).drop("tile")
 
 

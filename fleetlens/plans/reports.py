@@ -645,19 +645,12 @@ def machines_without_recent_orders(
 
 
 def lifetime_spend_rank(t: Tables, as_of: date) -> DataFrame:
-    spend = (
-        with_status(t.orders, "completed")
-        .groupBy("customer_id")
-        .agg(F.sum("total_value").alias("spend"))
-    )
+    ranked = global_rank(d.lifetime_value(t), "lifetime_value", "customer_id", "spend_rank")
     return (
         _names(t.customers)
-        .join(
-            global_rank(spend, "spend", "customer_id", "spend_rank"),
-            F.col("id") == F.col("customer_id"),
-        )
+        .join(ranked, F.col("id") == F.col("customer_id"))
         .orderBy("spend_rank", "id")
-        .select("name", F.round("spend", 2).alias("lifetime_spend"), "spend_rank")
+        .select("name", F.round("lifetime_value", 2).alias("lifetime_spend"), "spend_rank")
     )
 
 
