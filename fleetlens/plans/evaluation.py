@@ -6,7 +6,8 @@ queries return is written, compared and rolled up by the executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from fleetlens.functions.text import extract_sql
 from fleetlens.model import Tables
 from fleetlens.operators import rewards
 from fleetlens.operators.compare import score_pairs
-from fleetlens.plans.catalogue import CatalogueQuery, catalogue_table
+from fleetlens.plans.catalogue import EVAL, CatalogueQuery, catalogue_table
+from fleetlens.plans.reports import EVAL_REPORTS, TRAINING_REPORTS
 from fleetlens.plans.scoreboard import query_results
 from fleetlens.sources.checkpoints import written_table
 from fleetlens.sources.runner import QueryRunner, score_texts
@@ -23,16 +25,30 @@ from fleetlens.sources.runner import QueryRunner, score_texts
 OpenTables = Callable[[SparkSession], Tables]
 
 
+def report_truth(
+    tables: Tables, as_of: date, split: str = EVAL, **parameters: dict
+) -> dict[int, DataFrame]:
+    """The reports of a split as truth, by query id; parameters go by report name."""
+    chosen = EVAL_REPORTS if split == EVAL else TRAINING_REPORTS
+    return {
+        number: report(tables, as_of, **parameters.get(report.__name__, {}))
+        for number, report in chosen.items()
+    }
+
+
 def evaluate_responses(
     spark: SparkSession,
     open_tables: OpenTables,
     entries: Sequence[CatalogueQuery],
     responses: DataFrame,
+    truth: Mapping[int, str | DataFrame] | None = None,
 ) -> DataFrame:
     """Score raw responses (model, query_id, raw) to the given catalogue queries.
 
-    A missing or failed response is a null raw text, and counts as not executed."""
-    truth = {e.query_id: e.sql for e in entries}
+    A missing or failed response is a null raw text, and counts as not executed.  The
+    truth is the catalogue's SQL unless given; on large tables give `report_truth`,
+    whose ranked reports need no window over the whole table."""
+    truth = {e.query_id: e.sql for e in entries} if truth is None else truth
     answers = written_table(
         responses.select("model", "query_id", extract_sql(F.col("raw")).alias("sql"))
     )

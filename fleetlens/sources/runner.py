@@ -45,26 +45,28 @@ class QueryRunner:
         return self.spark.sql(f"SELECT * FROM (\n{body}\n)")
 
     def store(
-        self, texts: Iterable[tuple[str, int, str, str]], directory: str
+        self, queries: Iterable[tuple[str, int, str, str | DataFrame]], directory: str
     ) -> tuple[DataFrame, DataFrame]:
-        """Run (model, query_id, side, sql) texts; returns (outcomes, rows).
+        """Run (model, query_id, side, query) entries; returns (outcomes, rows).
 
-        Each result is written by the executors below `directory` and counts as
-        executed only once that has worked.  A text used more than once runs once."""
+        A query is an SQL text or a DataFrame.  Each result is written by the executors
+        below `directory` and counts as executed only once that has worked.  A query
+        used more than once runs once."""
         outcomes, written = [], []
-        done: dict[str, tuple[str | None, list[str], str]] = {}
-        for model, query_id, side, text in texts:
-            if text not in done:
-                done[text] = self._store_one(text, f"{directory}/result-{uuid.uuid4().hex}")
-            error, columns, path = done[text]
+        done: dict[str | int, tuple[str | None, list[str], str]] = {}
+        for model, query_id, side, query in queries:
+            key = query if isinstance(query, str) else id(query)
+            if key not in done:
+                done[key] = self._store_one(query, f"{directory}/result-{uuid.uuid4().hex}")
+            error, columns, path = done[key]
             outcomes.append(outcome_row(model, query_id, side, columns, error))
             if error is None:
                 written.append((model, query_id, side, path))
         return outcome_table(self.spark, outcomes), self._read(written)
 
-    def _store_one(self, text: str, path: str) -> tuple[str | None, list[str], str]:
+    def _store_one(self, query: str | DataFrame, path: str) -> tuple[str | None, list[str], str]:
         try:
-            result = self.query(text)
+            result = self.query(query) if isinstance(query, str) else query
             result_rows(result, "", 0, "").select("row_no", "cells").write.parquet(path)
             return None, result.columns, path
         except PySparkException as error:
@@ -99,8 +101,10 @@ def row_counts(
 
 
 def score_texts(
-    runner: QueryRunner, truth: Mapping[int, str], answers: Iterable[tuple[str, int, str]]
-):
+    runner: QueryRunner,
+    truth: Mapping[int, str | DataFrame],
+    answers: Iterable[tuple[str, int, str]],
+) -> tuple[DataFrame, DataFrame]:
     """Run and store the truth and the answers (model, query_id, sql) to score them.
 
     Returns (outcomes, rows) for `operators.compare.score_pairs`."""

@@ -4,8 +4,12 @@ import pytest
 
 from fleetlens.operators.rewards import group_statistics
 from fleetlens.plans import scoreboard
-from fleetlens.plans.catalogue import EVAL, catalogue
-from fleetlens.plans.evaluation import evaluate_responses, reward_completions
+from fleetlens.plans.catalogue import EVAL, TRAIN, catalogue
+from fleetlens.plans.evaluation import (
+    evaluate_responses,
+    report_truth,
+    reward_completions,
+)
 from fleetlens.sources import generator
 from fleetlens.sources.tables import read_tables, write_tables
 
@@ -68,3 +72,16 @@ def test_completions_to_rewards(spark, open_tables):
     }
     groups = {r["prompt_id"]: r["samples"] for r in group_statistics(rewarded).collect()}
     assert groups == {2: 5, 11: 1}
+
+
+@pytest.mark.parametrize("split", [EVAL, TRAIN])
+def test_catalogue_texts_answer_the_reports(spark, open_tables, split):
+    """Every SQL text scores full marks against the report it states."""
+    entries = [e for e in catalogue(generator.TODAY) if e.split == split]
+    responses = spark.createDataFrame(
+        [("sql", e.query_id, e.sql) for e in entries], "model string, query_id int, raw string"
+    )
+    truth = report_truth(open_tables(spark), generator.TODAY, split)
+    results = evaluate_responses(spark, open_tables, entries, responses, truth)
+    assert results.filter("result_match IS NULL OR result_match < 1").collect() == []
+    assert results.count() == len(entries)
