@@ -54,6 +54,14 @@ def _all_close(left: str, right: str) -> Column:
     return F.forall(F.zip_with(left, right, close), lambda c: c)
 
 
+def _one_number_all_close() -> Column:
+    """Rows of one number whose whole span is within the tolerance of the smallest."""
+    low, high = F.get("low", F.lit(0)), F.get("high", F.lit(0))
+    smallest = F.when(low * high > 0, F.least(F.abs(low), F.abs(high))).otherwise(0.0)
+    span_is_close = high - low <= F.greatest(smallest, F.lit(FLOOR)) * TOLERANCE
+    return (F.size("low") == 1) & F.coalesce(span_is_close, F.lit(False))
+
+
 def tolerance_bin(value: Column) -> Column:
     size = F.abs(value)
     steps = F.when(size <= FLOOR, size / LINEAR_BIN).otherwise(
@@ -111,9 +119,9 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
 def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per block with rows on both sides: counts, and how to solve it."""
     largest = F.greatest("gt_n", "gen_n")
-    # Rows that are all alike match as far as they go.  In a block of one row a side,
-    # low and high are those two rows.
-    simple = (F.col("low") == F.col("high")) | (largest == 1)
+    # Rows that are all alike, or all close to each other, match as far as they go.  In
+    # a block of one row a side, low and high are those two rows.
+    simple = (F.col("low") == F.col("high")) | (largest == 1) | _one_number_all_close()
     return written_table(
         rows.groupBy(*keys)
         .agg(

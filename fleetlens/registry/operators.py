@@ -207,7 +207,8 @@ def _canonical_names(spark: SparkSession, directory: str) -> DataFrame:
 _RESPONSE = (
     "CASE WHEN role = 'system' THEN NULL "
     "WHEN role = 'user' THEN ' ' || text || '; ' "
-    "WHEN turn % 4 = 1 THEN '<think>' || text || '</think> ```sql\n SELECT ' || text || ' ;\n``` ;' "
+    "WHEN turn % 4 = 1 "
+    "THEN '<think>' || text || '</think> ```sql\n SELECT ' || text || ' ;\n``` ;' "
     "ELSE 'So: ```' || text || '; SELECT 1``` <think>;</think>' END"
 )
 _RESPONSES_SQL = f"responses AS (SELECT conv_id, turn, {_RESPONSE} AS raw FROM conversations)"
@@ -364,7 +365,12 @@ FROM rewarded""",
 )
 def _completion_rewards(spark: SparkSession, directory: str) -> DataFrame:
     return _rewarded(spark, directory).select(
-        "prompt_id", "sample_no", "format_reward", "execution_reward", "correctness_reward", "reward"
+        "prompt_id",
+        "sample_no",
+        "format_reward",
+        "execution_reward",
+        "correctness_reward",
+        "reward",
     )
 
 
@@ -584,7 +590,8 @@ counted AS (
   FROM perturbed GROUP BY query_id
 )
 SELECT query_id, gt_rows, gen_rows, CAST(2 AS INT) AS mapped_columns, matched,
-       CASE WHEN matched = gt_rows THEN CAST(1 AS DOUBLE) WHEN matched * 2 > gt_rows THEN CAST(0.5 AS DOUBLE)
+       CASE WHEN matched = gt_rows THEN CAST(1 AS DOUBLE)
+            WHEN matched * 2 > gt_rows THEN CAST(0.5 AS DOUBLE)
             ELSE CAST(0 AS DOUBLE) END AS result_match
 FROM counted"""
 
@@ -675,7 +682,9 @@ def _of_kind(name: str, sql: list[str]) -> None:
 _of_kind(
     "c01_not_null",
     [
-        _violation_sql(t, "not_null", f.name, f"SELECT COUNT(*) FILTER (WHERE {f.name} IS NULL) FROM {t}")
+        _violation_sql(
+            t, "not_null", f.name, f"SELECT COUNT(*) FILTER (WHERE {f.name} IS NULL) FROM {t}"
+        )
         for t in _bound_names()
         for f in SCHEMAS[t].fields
         if not f.nullable
@@ -765,6 +774,11 @@ def _date_sql(start: str, end: str, tag: str, *ids: str) -> str:
     return f"CAST({start} + CAST({_draw_sql(tag, days, *ids)} AS INT) AS DATE)"
 
 
+def _padded_sql(number: str, width: int) -> str:
+    digits = f"CAST({number} AS VARCHAR)"
+    return f"LPAD({digits}, CAST(GREATEST({width}, LENGTH({digits})) AS INT), '0')"
+
+
 def _who_sql(customers) -> str:
     if isinstance(customers, tuple):
         return f"member BETWEEN {customers[0]} AND {customers[1]}"
@@ -773,11 +787,12 @@ def _who_sql(customers) -> str:
 
 _PRICES = tuple(p[2] for p in generator.PRODUCTS)
 _MADE_CUSTOMERS_SQL = f"""ids AS (
-  SELECT c_custkey + 1 AS id, c_custkey % {generator.CUSTOMERS_PER_BLOCK} + 1 AS member FROM customer
+  SELECT c_custkey + 1 AS id, c_custkey % {generator.CUSTOMERS_PER_BLOCK} + 1 AS member
+  FROM customer
 ),
 made AS (
   SELECT id, member,
-         'Customer_' || LPAD(CAST(id AS VARCHAR), CAST(GREATEST(2, LENGTH(CAST(id AS VARCHAR))) AS INT), '0')
+         'Customer_' || {_padded_sql("id", 2)}
            AS name,
          {_pick_sql(generator.COUNTRIES, _draw_sql("country", 8, "id"))} AS country,
          {_pick_sql(generator.SEGMENTS, _draw_sql("segment", 3, "id"))} AS segment,
@@ -798,7 +813,7 @@ numbered AS (SELECT *, (customer_id - 1) * 4 + n AS id FROM units),
 made_machines AS (
   SELECT id, customer_id, member,
          {_draw_sql("machine_product", 6, "id")} + 1 AS product_id,
-         'SN-' || LPAD(CAST(id AS VARCHAR), CAST(GREATEST(4, LENGTH(CAST(id AS VARCHAR))) AS INT), '0')
+         'SN-' || {_padded_sql("id", 4)}
            AS serial_number,
          CASE WHEN member = 30 THEN DATE '2023-06-15'
               ELSE {_date_sql("DATE '2021-01-01'", "DATE '2025-06-01'", "installed", "id")} END
@@ -870,7 +885,7 @@ def _quotes_sql() -> str:
     for number, (_, who, start, end, lead, status, span, share) in enumerate(regular + extras):
         plans.append(
             f"SELECT id, account_manager_id, {number} AS plan, {start} AS s, {end} AS e, "
-            f"{lead} AS lead_days, {_quote(status) if status else 'CAST(NULL AS VARCHAR)'} AS fixed, "
+            f"{lead} AS lead_days, CAST({_quote(status) if status else 'NULL'} AS VARCHAR) AS fixed, "
             f"{share} AS share, {span[0]} AS low, {span[1] - span[0] + 1} AS span "
             f"FROM made WHERE {who}"
         )

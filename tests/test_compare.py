@@ -194,6 +194,21 @@ def test_alike_rows_need_no_python(spark):
     assert counts(spark, cases) == {0: 12}
 
 
+def test_one_number_within_the_tolerance_everywhere(spark, monkeypatch):
+    """Hot values of any number are counted, not matched row by row."""
+    cases = [
+        ([("k", 50.0)] * 40, [("k", 50.5)] * 30),
+        ([("k", -0.004), ("k", 0.01)] * 5, [("k", 0.0)] * 20),
+        ([("k", -50.0)] * 3, [("k", -50.5), ("k", -49.9)]),
+    ]
+    monkeypatch.setattr(
+        tolerant,
+        "_one_call_each",
+        lambda rows, sizes, keys: sizes.filter("NOT simple").selectExpr("pair", "-1L AS matched"),
+    )
+    assert counts(spark, cases) == {0: 30, 1: 10, 2: 2} == slow_counts(cases)
+
+
 def test_close_values_never_lie_two_bins_apart(spark):
     rng = random.Random(4)
     values = [rng.uniform(-2, 2) * 10 ** rng.randint(-3, 8) for _ in range(4000)]
