@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, sharding, topk
+from fleetlens.llm import bpe, mixing, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,11 +44,27 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the token query and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"),
+        tokenizer_path(),
+        results=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_topk": op5_topk,
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
+        "op10_bpe": op10_bpe,
     }
 
 
