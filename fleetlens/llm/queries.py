@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, mixing, sharding, topk
+from fleetlens.llm import bpe, mixing, quality, sharding, topk, toxicity
+from fleetlens.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(docs: DataFrame, held_out, score) -> DataFrame:
+    return docs.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = quality.fit_model(docs, labels, ~held_out)
+    return _scored(docs, held_out, quality.score(model, "text"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 4) == 2
+    model = toxicity.fit_model(docs, labels, ~held_out)
+    return _scored(docs, held_out, toxicity.score(model, "text"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -61,7 +82,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality": op2_quality,
         "op5_topk": op5_topk,
+        "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
         "op10_bpe": op10_bpe,
