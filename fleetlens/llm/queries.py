@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, mixing, quality, sharding, topk, toxicity
+from fleetlens.llm import bpe, line_dedup, mixing, quality, sharding, topk, toxicity
 from fleetlens.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held_out, toxicity.score(model, "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -83,6 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality": op2_quality,
+        "op4_line_dedup": op4_line_dedup,
         "op5_topk": op5_topk,
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
@@ -91,6 +97,29 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP4_SQL = """
+WITH l AS (
+    SELECT doc_id, coalesce('=' || source, '') AS site,
+           unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+    FROM documents
+), b AS (
+    SELECT trim(line) AS line, min((doc_id, pos)) AS place
+    FROM l WHERE length(trim(line)) >= 20
+    GROUP BY trim(line) HAVING count(DISTINCT site) >= 10
+), k AS (
+    SELECT l.doc_id, l.line, l.pos, b.line IS NULL OR b.place = (l.doc_id, l.pos) AS keep
+    FROM l LEFT JOIN b ON trim(l.line) = b.line
+), r AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keep) AS text,
+           count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed
+    FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
 OP5_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -158,6 +187,7 @@ JOIN n ON d.source IS NOT DISTINCT FROM n.source
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": OP4_SQL,
         "op5_topk": OP5_SQL,
         "op7_mixing": OP7_SQL,
     }
