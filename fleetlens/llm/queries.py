@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, line_dedup, mixing, quality, sharding, topk, toxicity
+from fleetlens.llm import bpe, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from fleetlens.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def _scored(docs: DataFrame, held_out, score) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", simhash.hex_digits(F.col("print")).alias("fingerprint"), "component_id"
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 5) == 0
@@ -87,6 +94,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_topk": op5_topk,
