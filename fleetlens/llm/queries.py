@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from fleetlens.llm import bpe, line_dedup, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from fleetlens.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that the token query and the pipeline use."""
     import public_tokenizers
@@ -101,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op6_toxicity": op6_toxicity,
         "op7_mixing": op7_mixing,
         "op8_sharding": op8_sharding,
+        "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
     }
 
