@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, line_dedup, mixing, quality, secrets, sharding, simhash, topk, toxicity
+from fleetlens.llm import bpe, edit_fingerprint, line_dedup, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from fleetlens.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held_out, toxicity.score(model, "text"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
@@ -100,6 +104,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
+        "op3_fingerprints": op3_fingerprints,
         "op4_line_dedup": op4_line_dedup,
         "op5_topk": op5_topk,
         "op6_toxicity": op6_toxicity,
