@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fleetlens.llm import bpe, edit_fingerprint, line_dedup, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from fleetlens.llm.labelled import remainder
 
+#: Scores from which a document is called toxic, or good, by the contract.
+TOXIC = GOOD = 0.3
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,10 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scored(docs: DataFrame, held_out, score) -> DataFrame:
+def _scored(docs: DataFrame, held_out, score, limit: float) -> DataFrame:
     return docs.select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score")
-    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    ).withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +37,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 5) == 0
     model = quality.fit_model(docs, labels, ~held_out)
-    return _scored(docs, held_out, quality.score(model, "text"))
+    return _scored(docs, held_out, quality.score(model, "text"), GOOD)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 4) == 2
     model = toxicity.fit_model(docs, labels, ~held_out)
-    return _scored(docs, held_out, toxicity.score(model, "text"))
+    return _scored(docs, held_out, toxicity.score(model, "text"), TOXIC)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
