@@ -66,17 +66,17 @@ def _rest(squares: np.ndarray, starts: Iterator[int]) -> np.ndarray:
 
 def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """At most k best candidates of a block for each query of a block."""
-    width = max(max(map(len, queries["values"])), max(map(len, candidates["values"])))
-    columns = _matrix(candidates["values"], width).T
+    width = max(max(map(len, queries["values"])), max(map(len, candidates["c_values"])))
+    columns = _matrix(candidates["c_values"], width).T
     asked = _matrix(queries["values"], width)
     # Dimensions that carry most of the mass come first.
     order = np.argsort(-np.square(columns.astype(float)).sum(axis=1), kind="stable")
     columns, asked = np.ascontiguousarray(columns[order]), asked[:, order]
     starts = range(STEP, width + STEP, STEP)
     rest = _rest(np.square(columns.astype(float)), starts)
-    rows = candidates["row_id"].to_numpy(dtype=np.int64)
+    rows = candidates["c_row"].to_numpy(dtype=np.int64)
     known = candidates["known"].to_numpy(dtype=bool)
-    ids = candidates["vec_id"].to_numpy(dtype=np.int64)
+    ids = candidates["c_id"].to_numpy(dtype=np.int64)
     out = []
     for q, own, name in zip(asked, queries["row_id"], queries["vec_id"], strict=True):
         q_rest = _rest(np.square(q.astype(float))[:, None], starts)[:, 0]
@@ -140,11 +140,13 @@ def top_k(
     left = asked.select(
         "*", _block("row_id", n_queries).alias("q"), everywhere(n_candidates).alias("c")
     )
+    # Both sides come from one table.  New names give the right side columns of its own,
+    # without which Spark may prune those that share an identity with the left side's.
     right = vectors.select(
-        "row_id",
-        F.coalesce("vec_id", F.lit(_LAST_ID)).alias("vec_id"),
+        F.col("row_id").alias("c_row"),
+        F.coalesce("vec_id", F.lit(_LAST_ID)).alias("c_id"),
         F.col("vec_id").isNotNull().alias("known"),
-        "values",
+        F.col("values").alias("c_values"),
         everywhere(n_queries).alias("q"),
         _block("row_id", n_candidates).alias("c"),
     )
