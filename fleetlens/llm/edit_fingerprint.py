@@ -207,19 +207,25 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _range_starts(docs: DataFrame, key: str, text: str, ranges: int) -> list[tuple[int, int]]:
     """(ids are null, place) at which each range begins, ascending: values of the table.
 
-    There are at most two per range, known from a sketch of the ids."""
+    There are at most two per range.  A sketch of the places gives the edges; as it rounds
+    large numbers, the least place within each pair of edges is then looked up."""
     found: list[tuple[int, int]] = []
-    shares = [i / ranges for i in range(1, ranges)]
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
     for unknown, column in ((0, F.col(key).cast("long")), (1, F.xxhash64(whole(text)))):
         rows = docs.filter(F.col(key).isNull() if unknown else F.col(key).isNotNull())
         if unknown and rows.select(key).isEmpty():
             continue
         at = rows.select(column.alias("at"))
-        row = at.agg(
-            F.min("at"), F.percentile_approx("at", shares or [0.5], 50 * ranges)
-        ).first()
-        if row[0] is not None:
-            found += sorted({(unknown, v) for v in [row[0], *(row[1] if shares else [])]})
+        sketched = at.agg(F.percentile_approx("at", shares, 50 * ranges)).first()[0]
+        edges = np.unique(np.array(sketched or [], dtype=np.int64))
+
+        @pandas_udf("long")
+        def between(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for places in batches:
+                yield pd.Series(np.searchsorted(edges, places.to_numpy(), "right"))  # noqa: B023
+
+        firsts = at.groupBy(between("at").alias("n")).agg(F.min("at").alias("first")).collect()
+        found += sorted((unknown, r["first"]) for r in firsts)
     return found
 
 
