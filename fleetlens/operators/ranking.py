@@ -118,7 +118,7 @@ def global_rank(
     start = F.when(F.col("__tie_place") == 0, F.col("__carried"))
     place = F.coalesce(start, F.col("__offset") + F.col("__tie_place"))
     return rows.join(F.broadcast(summary), "__range").select(
-        *df.columns, (place + 1).cast("int").alias(out)
+        *df.columns, (place + 1).cast("bigint").alias(out)
     )
 
 

@@ -3,8 +3,6 @@ execution_success and result_match."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +11,14 @@ from fleetlens.functions.text import shorten
 DIFFICULTY_ORDER = ("easy", "medium", "hard")
 
 
+#: Label of a result whose truth failed, so that nothing could be compared.
+UNSCORED = "Unscored"
+
+
 def run_status() -> Column:
     return (
-        F.when(F.col("result_match") == 1.0, "MATCH")
+        F.when(F.col("result_match").isNull(), UNSCORED.upper())
+        .when(F.col("result_match") == 1.0, "MATCH")
         .when(F.col("result_match") == 0.5, "PARTIAL")
         .when(F.col("execution_success"), "FAIL")
         .otherwise("ERROR")
@@ -24,14 +27,17 @@ def run_status() -> Column:
 
 def detail_status() -> Column:
     return (
-        F.when(F.col("result_match") == 1.0, "Pass")
+        F.when(F.col("result_match").isNull(), UNSCORED)
+        .when(F.col("result_match") == 1.0, "Pass")
         .when(F.col("result_match") == 0.5, "Partial")
         .otherwise("Fail")
     )
 
 
 def model_summary(results: DataFrame) -> DataFrame:
-    """Execution accuracy, mean match and passed queries of each model."""
+    """Execution accuracy, mean match and passed queries of each model.
+
+    Results without a verdict count among the queries, but not in the mean match."""
     return results.groupBy("model_name").agg(
         F.count(F.lit(1)).alias("total_queries"),
         F.round(F.avg(F.col("execution_success").cast("double")), 4).alias("execution_accuracy"),
@@ -60,24 +66,24 @@ def score_by_difficulty(results: DataFrame) -> DataFrame:
     )
 
 
-def model_comparison(results: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One row per query with one column of mean match per model named."""
+def model_comparison(results: DataFrame) -> DataFrame:
+    """Mean match per query and model: one row for every pair that occurs."""
     return (
-        results.groupBy("query_id")
-        .pivot("model_name", list(models))
-        .agg(F.avg("result_match"))
-        .orderBy("query_id")
+        results.groupBy("query_id", F.col("model_name").alias("model"))
+        .agg(F.avg("result_match").alias("mean_match"))
+        .orderBy("query_id", "model")
     )
 
 
 def detail_table(results: DataFrame, question_length: int = 80) -> DataFrame:
-    """Per query: status, shortened question and row counts of both sides."""
+    """Per query: status, the question and a short label of it, row counts of both sides."""
     return results.select(
         "model_name",
         "query_id",
         "difficulty",
         detail_status().alias("status"),
-        shorten(F.col("question"), question_length).alias("question"),
+        "question",
+        shorten(F.col("question"), question_length).alias("question_label"),
         "ground_truth_row_count",
         "generated_row_count",
         "result_match",

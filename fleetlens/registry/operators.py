@@ -19,7 +19,7 @@ from fleetlens.operators import chat, compare, integrity, ranking, rewards
 from fleetlens.plans import definitions, scoreboard
 from fleetlens.plans.catalogue import EVAL, ansi_days, spark_days
 from fleetlens.registry.reports import Query, warehouse_catalogue
-from fleetlens.sources import generator, results, runner
+from fleetlens.sources import results, runner
 from fleetlens.sources.binding import AS_OF, bind, read_warehouse, with_binding
 from fleetlens.sources.checkpoints import checkpoint_dir, written_table
 
@@ -127,7 +127,7 @@ def _latest_order(spark: SparkSession, directory: str) -> DataFrame:
 
 @_query(
     "w04_rank_order_priority",
-    "SELECT o_orderkey, CAST(RANK() OVER (ORDER BY o_orderpriority) AS INT) AS place FROM orders",
+    "SELECT o_orderkey, CAST(RANK() OVER (ORDER BY o_orderpriority) AS BIGINT) AS place FROM orders",
 )
 def _rank_order_priority(spark: SparkSession, directory: str) -> DataFrame:
     """Five values over the whole table: every tie is longer than a range."""
@@ -394,25 +394,26 @@ def _group_rewards(spark: SparkSession, directory: str) -> DataFrame:
 
 # --- Scoreboard ---------------------------------------------------------------------
 
-# Scored results: a labelled document is one answer, its source the model, its length
-# in thousands of characters the question.
+# Scored results: a document is one answer, its source the model, its length in thousands
+# of characters the question.  Without a label the truth failed and there is no verdict.
 _RESULT_COLUMNS = """d.source AS model_name,
   CAST(FLOOR(d.n_chars / 1e3) AS INT) + 1 AS query_id, d.text AS question,
   CASE WHEN d.n_chars < 1000 THEN 'easy' WHEN d.n_chars < 3000 THEN 'medium' ELSE 'hard' END
     AS difficulty,
-  l.quality = 1 OR l.toxic = 0 AS execution_success,
-  CASE WHEN l.quality = 1 AND l.toxic = 0 THEN CAST(1 AS DOUBLE)
+  l.doc_id IS NULL OR l.quality = 1 OR l.toxic = 0 AS execution_success,
+  CASE WHEN l.doc_id IS NULL THEN CAST(NULL AS DOUBLE)
+       WHEN l.quality = 1 AND l.toxic = 0 THEN CAST(1 AS DOUBLE)
        WHEN l.quality = 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS result_match,
   d.doc_id AS ground_truth_row_count, d.n_chars AS generated_row_count"""
 _RESULTS_SQL = f"""results AS (
-  SELECT {_RESULT_COLUMNS} FROM documents AS d JOIN labels AS l ON l.doc_id = d.doc_id
+  SELECT {_RESULT_COLUMNS} FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id
 )"""
 
 
 def _results(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_warehouse(spark, directory, "documents").alias("d")
     labels = read_warehouse(spark, directory, "labels").alias("l")
-    return documents.join(labels, F.expr("l.doc_id = d.doc_id")).selectExpr(
+    return documents.join(labels, F.expr("l.doc_id = d.doc_id"), "left").selectExpr(
         *_split_columns(_RESULT_COLUMNS)
     )
 
@@ -427,7 +428,8 @@ def _split_columns(columns: str) -> list[str]:
     f"""
 WITH {_RESULTS_SQL}
 SELECT model_name, ground_truth_row_count AS answer_id,
-       CASE result_match WHEN 1 THEN 'MATCH' WHEN 0.5 THEN 'PARTIAL'
+       CASE WHEN result_match IS NULL THEN 'UNSCORED'
+            WHEN result_match = 1 THEN 'MATCH' WHEN result_match = 0.5 THEN 'PARTIAL'
             ELSE CASE WHEN execution_success THEN 'FAIL' ELSE 'ERROR' END END AS status
 FROM results""",
 )
@@ -475,21 +477,16 @@ def _score_by_difficulty(spark: SparkSession, directory: str) -> DataFrame:
     return scores.withColumn("mean_match", F.round("mean_match", 6))
 
 
-# The sources, which play the part of the models compared.
-_MODELS = tuple(f"src{i}" for i in range(20))
-
-
 @_query(
     "k07_model_comparison",
-    f"WITH {_RESULTS_SQL} SELECT query_id, "
-    + ", ".join(
-        f"ROUND(AVG(result_match) FILTER (WHERE model_name = '{m}'), 6) AS {m}" for m in _MODELS
-    )
-    + " FROM results GROUP BY query_id",
+    f"""
+WITH {_RESULTS_SQL}
+SELECT query_id, model_name AS model, ROUND(AVG(result_match), 6) AS mean_match
+FROM results GROUP BY query_id, model_name""",
 )
 def _model_comparison(spark: SparkSession, directory: str) -> DataFrame:
-    compared = scoreboard.model_comparison(_results(spark, directory), _MODELS)
-    return compared.withColumns({m: F.round(m, 6) for m in _MODELS})
+    compared = scoreboard.model_comparison(_results(spark, directory))
+    return compared.withColumn("mean_match", F.round("mean_match", 6))
 
 
 @_query(
@@ -497,8 +494,9 @@ def _model_comparison(spark: SparkSession, directory: str) -> DataFrame:
     f"""
 WITH {_RESULTS_SQL}
 SELECT model_name, query_id, difficulty,
-       CASE result_match WHEN 1 THEN 'Pass' WHEN 0.5 THEN 'Partial' ELSE 'Fail' END AS status,
-       SUBSTR(question, 1, 80) AS question, ground_truth_row_count, generated_row_count,
+       CASE WHEN result_match IS NULL THEN 'Unscored' WHEN result_match = 1 THEN 'Pass'
+            WHEN result_match = 0.5 THEN 'Partial' ELSE 'Fail' END AS status,
+       question, SUBSTR(question, 1, 80) AS question_label, ground_truth_row_count, generated_row_count,
        result_match
 FROM results""",
 )
@@ -745,229 +743,3 @@ _of_kind(
         if lines in _bound_names()
     ],
 )
-
-
-# --- Generated data, one customer for each customer of the warehouse -----------------
-
-
-def _draw_sql(tag: str, bound, *ids: str) -> str:
-    key = " || '|' || ".join([f"'{generator.SEED}|{tag}'", *[f"CAST({i} AS VARCHAR)" for i in ids]])
-    return f"(CAST('0x' || SUBSTR(MD5({key}), 1, 15) AS BIGINT) % ({bound}))"
-
-
-def _pick_sql(options: tuple, drawn: str) -> str:
-    whens = " ".join(
-        f"WHEN {i} THEN " + (_quote(o) if isinstance(o, str) else f"CAST({o} AS DOUBLE)")
-        for i, o in enumerate(options)
-    )
-    return f"CASE {drawn} {whens} END"
-
-
-def _day_sql(day) -> str:
-    if isinstance(day, int):
-        return f"(DATE '{generator.TODAY}' - {day})"
-    return f"DATE '{day}'"
-
-
-def _date_sql(start: str, end: str, tag: str, *ids: str) -> str:
-    days = f"GREATEST({end} - {start}, 0) + 1"
-    return f"CAST({start} + CAST({_draw_sql(tag, days, *ids)} AS INT) AS DATE)"
-
-
-def _padded_sql(number: str, width: int) -> str:
-    digits = f"CAST({number} AS VARCHAR)"
-    return f"LPAD({digits}, CAST(GREATEST({width}, LENGTH({digits})) AS INT), '0')"
-
-
-def _who_sql(customers) -> str:
-    if isinstance(customers, tuple):
-        return f"member BETWEEN {customers[0]} AND {customers[1]}"
-    return f"member IN ({', '.join(map(str, customers))})"
-
-
-_PRICES = tuple(p[2] for p in generator.PRODUCTS)
-_MADE_CUSTOMERS_SQL = f"""ids AS (
-  SELECT c_custkey + 1 AS id, c_custkey % {generator.CUSTOMERS_PER_BLOCK} + 1 AS member
-  FROM customer
-),
-made AS (
-  SELECT id, member,
-         'Customer_' || {_padded_sql("id", 2)}
-           AS name,
-         {_pick_sql(generator.COUNTRIES, _draw_sql("country", 8, "id"))} AS country,
-         {_pick_sql(generator.SEGMENTS, _draw_sql("segment", 3, "id"))} AS segment,
-         {_draw_sql("manager", 5, "id")} + 1 AS account_manager_id,
-         {_date_sql("DATE '2020-01-01'", "DATE '2024-06-01'", "acquired", "id")}
-           AS acquisition_date,
-         CASE WHEN member IN (26, 27) THEN 'churned' WHEN member = 28 THEN 'inactive'
-              ELSE 'active' END AS status
-  FROM ids
-)"""
-_MADE_MACHINES_SQL = f"""{_MADE_CUSTOMERS_SQL},
-units AS (
-  SELECT id AS customer_id, member, UNNEST(RANGE(1, 1 +
-    CASE WHEN member = 30 THEN 2 ELSE {_draw_sql("machines", 4, "id")} + 1 END)) AS n
-  FROM ids
-),
-numbered AS (SELECT *, (customer_id - 1) * 4 + n AS id FROM units),
-made_machines AS (
-  SELECT id, customer_id, member,
-         {_draw_sql("machine_product", 6, "id")} + 1 AS product_id,
-         'SN-' || {_padded_sql("id", 4)}
-           AS serial_number,
-         CASE WHEN member = 30 THEN DATE '2023-06-15'
-              ELSE {_date_sql("DATE '2021-01-01'", "DATE '2025-06-01'", "installed", "id")} END
-           AS installation_date,
-         CASE WHEN member = 30 OR {_draw_sql("machine_status", 100, "id")} < 85 THEN 'active'
-              ELSE 'decommissioned' END AS status
-  FROM numbered
-)"""
-
-
-def _contract_sql() -> str:
-    parts = []
-    for customers, first_only, start, end, status, values in generator.CONTRACT_PLANS:
-        value = _pick_sql(values, _draw_sql("contract_value", len(values), "id"))
-        first = " AND id = first_id" if first_only else ""
-        parts.append(
-            f"SELECT id, customer_id, id AS machine_id, DATE '{start}' AS start_date, "
-            f"DATE '{end}' AS end_date, {value} AS annual_value, '{status}' AS status "
-            f"FROM active_units WHERE {_who_sql(customers)}{first}"
-        )
-    return f"""
-WITH {_MADE_MACHINES_SQL},
-active_units AS (
-  SELECT *, MIN(id) OVER (PARTITION BY customer_id) AS first_id
-  FROM made_machines WHERE status = 'active'
-)
-{" UNION ALL ".join(parts)}"""
-
-
-def _orders_sql() -> str:
-    plans = []
-    for number, (name, who, least, most, start, end, status, span) in enumerate(
-        generator.ORDER_PLANS
-    ):
-        count = f"{_draw_sql(name + '_count', most - least + 1, 'id')} + {least}"
-        plans.append(
-            f"SELECT id, account_manager_id, {number} AS plan, {_day_sql(start)} AS s, "
-            f"{_day_sql(end)} AS e, '{status}' AS status, {span[0]} AS low, "
-            f"{span[1] - span[0] + 1} AS span, UNNEST(RANGE(0, {count})) AS n "
-            f"FROM made WHERE {_who_sql(who)}"
-        )
-    return f"""planned AS ({" UNION ALL ".join(plans)}),
-keyed AS (
-  SELECT *, ((id - 1) * {len(generator.ORDER_PLANS)} + plan) * 10 + n + 1 AS order_id FROM planned
-),
-valued AS (
-  SELECT order_id, id AS customer_id, account_manager_id,
-         {_date_sql("s", "e", "order_date", "order_id")} AS order_date, status,
-         {_draw_sql("order_product", "span", "order_id")} + low AS product_id,
-         CAST({_draw_sql("order_quantity", 3, "order_id")} + 1 AS INT) AS quantity
-  FROM keyed
-),
-made_orders AS (
-  SELECT *, {_pick_sql(_PRICES, "product_id - 1")} AS unit_price FROM valued
-)"""
-
-
-def _quotes_sql() -> str:
-    slots = len(generator.QUOTE_PLANS) + generator.EXTRA_QUOTES_PER_MANAGER
-    plans = []
-    extras = [
-        (None, "id IN (SELECT host_id FROM hosts)", "DATE '2025-03-01'", _day_sql(20), 1, None,
-         generator.SPARE_PARTS, generator.EXTRA_WON_SHARE)
-    ] * generator.EXTRA_QUOTES_PER_MANAGER
-    regular = [
-        (name, _who_sql(who), _day_sql(s), _day_sql(e), lead, status, span, generator.WON_SHARE)
-        for name, who, s, e, lead, status, span in generator.QUOTE_PLANS
-    ]
-    for number, (_, who, start, end, lead, status, span, share) in enumerate(regular + extras):
-        plans.append(
-            f"SELECT id, account_manager_id, {number} AS plan, {start} AS s, {end} AS e, "
-            f"{lead} AS lead_days, CAST({_quote(status) if status else 'NULL'} AS VARCHAR) AS fixed, "
-            f"{share} AS share, {span[0]} AS low, {span[1] - span[0] + 1} AS span "
-            f"FROM made WHERE {who}"
-        )
-    return f"""hosts AS (
-  SELECT MIN(id) AS host_id FROM made WHERE status = 'active'
-  GROUP BY (id - 1) // {generator.CUSTOMERS_PER_BLOCK}, account_manager_id
-),
-planned AS ({" UNION ALL ".join(plans)}),
-keyed AS (SELECT *, (id - 1) * {slots} + plan + 1 AS quote_id FROM planned),
-dated AS (
-  SELECT *, {_date_sql("s", "e", "quote_date", "quote_id")} AS day,
-         {_draw_sql("quote_product", "span", "quote_id")} + low AS product_id,
-         {_draw_sql("quote_quantity", 2, "quote_id")} + 1 AS quantity,
-         CASE WHEN {_draw_sql("won", 100, "quote_id")} < share THEN 'won' ELSE 'lost' END AS closed
-  FROM keyed
-),
-made_quotes AS (
-  SELECT quote_id AS id, id AS customer_id, account_manager_id,
-         CAST(CASE WHEN fixed IS NULL THEN day ELSE day - lead_days END AS DATE) AS created_date,
-         CAST(CASE WHEN fixed IS NULL THEN day + lead_days WHEN fixed = 'draft' THEN NULL
-              ELSE day END AS DATE) AS sent_date,
-         CAST(CASE WHEN fixed = 'draft' THEN NULL ELSE day + {generator.QUOTE_VALID_DAYS} END
-              AS DATE) AS expiry_date,
-         {_pick_sql(_PRICES, "product_id - 1")} * quantity AS total_value,
-         COALESCE(fixed, closed) AS status
-  FROM dated
-)"""
-
-
-def _generated(spark: SparkSession, directory: str):
-    ids = read_warehouse(spark, directory, "customer").selectExpr("c_custkey + 1 AS id")
-    return generator.generate_tables(spark, ids)
-
-
-@_query(
-    "g01_generated_customers",
-    f"WITH {_MADE_CUSTOMERS_SQL} SELECT * EXCLUDE (member) FROM made",
-)
-def _generated_customers(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).customers
-
-
-@_query(
-    "g02_generated_machines",
-    f"WITH {_MADE_MACHINES_SQL} SELECT * EXCLUDE (member) FROM made_machines",
-)
-def _generated_machines(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).machines
-
-
-@_query("g03_generated_contracts", _contract_sql())
-def _generated_contracts(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).service_contracts
-
-
-@_query(
-    "g04_generated_orders",
-    f"""
-WITH {_MADE_CUSTOMERS_SQL}, {_orders_sql()}
-SELECT order_id AS id, customer_id, account_manager_id, order_date,
-       unit_price * quantity AS total_value, status
-FROM made_orders""",
-)
-def _generated_orders(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).orders
-
-
-@_query(
-    "g04_generated_order_lines",
-    f"""
-WITH {_MADE_CUSTOMERS_SQL}, {_orders_sql()}
-SELECT order_id AS id, order_id, product_id, quantity, unit_price,
-       unit_price * quantity AS line_value
-FROM made_orders""",
-)
-def _generated_lines(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).order_lines
-
-
-@_query(
-    "g05_generated_quotes",
-    f"WITH {_MADE_CUSTOMERS_SQL}, {_quotes_sql()} SELECT * FROM made_quotes",
-)
-def _generated_quotes(spark: SparkSession, directory: str) -> DataFrame:
-    return _generated(spark, directory).quotes

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import threading
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
+from itertools import batched
 
+from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,6 +20,7 @@ from fleetlens.model import Tables
 from fleetlens.sources.checkpoints import checkpoint_dir
 from fleetlens.sources.results import (
     GENERATED,
+    OUTCOME_SCHEMA,
     ROW_SCHEMA,
     TRUTH,
     outcome_row,
@@ -21,6 +28,20 @@ from fleetlens.sources.results import (
     result_rows,
 )
 
+TIME_LIMIT = 600.0  # seconds for one text
+CONCURRENT = 4  # texts that run at the same time
+BATCH = 1000  # outcomes that the driver holds before it writes them
+
+# The functions that call methods of the JVM.
+_REFLECTIVE = re.compile(r"\b(try_reflect|reflect|java_method)\b`?\s*\(", re.IGNORECASE)
+_LITERAL_OR_COMMENT = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL
+)
+
+
+class RefusedText(ValueError):
+    """A text that is not run because of what it would reach."""
+
 
 class QueryRunner:
     """Runs SQL texts in a session of its own, where the tables are views.
@@ -28,19 +49,33 @@ class QueryRunner:
     `open_tables` takes the session and returns the tables; the caller's views and
     settings stay untouched.  Only queries run: a text has to parse inside a subquery
     and inside a table expression, which commands, several statements, empty text and
-    unbalanced brackets do not.
+    unbalanced brackets do not.  Functions that call JVM methods and files named as
+    tables are refused, so a text reaches the given tables only.
+
+    A text that runs longer than `time_limit` seconds is cancelled.  Up to `concurrent`
+    texts run at once.
     """
 
-    def __init__(self, spark: SparkSession, open_tables: Callable[[SparkSession], Tables]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        open_tables: Callable[[SparkSession], Tables],
+        time_limit: float = TIME_LIMIT,
+        concurrent: int = CONCURRENT,
+    ):
         self.spark = spark.newSession()
+        self.time_limit, self.concurrent = time_limit, concurrent
         # A new session starts from the defaults of the context.
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             self.spark.conf.set(key, spark.conf.get(key))
+        self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         for name, df in open_tables(self.spark).items():
             df.createOrReplaceTempView(name)
 
     def query(self, text: str) -> DataFrame:
         body = text.strip().removesuffix(";")
+        if found := _REFLECTIVE.search(_LITERAL_OR_COMMENT.sub(" ", body)):
+            raise RefusedText(f"function {found[1].lower()} is not allowed")
         self.spark.sql(f"WITH checked AS (\n{body}\n) SELECT 1")
         return self.spark.sql(f"SELECT * FROM (\n{body}\n)")
 
@@ -51,40 +86,107 @@ class QueryRunner:
 
         A query is an SQL text or a DataFrame.  Each result is written by the executors
         below `directory` and counts as executed only once that has worked.  A query
-        used more than once runs once."""
-        outcomes, written = [], []
-        done: dict[str | int, tuple[str | None, list[str], str]] = {}
-        for model, query_id, side, query in queries:
-            key = query if isinstance(query, str) else id(query)
-            if key not in done:
-                done[key] = self._store_one(query, f"{directory}/result-{uuid.uuid4().hex}")
-            error, columns, path = done[key]
-            outcomes.append(outcome_row(model, query_id, side, columns, error))
-            if error is None:
-                written.append((model, query_id, side, path))
-        return outcome_table(self.spark, outcomes), self._read(written)
-
-    def _store_one(self, query: str | DataFrame, path: str) -> tuple[str | None, list[str], str]:
+        used more than once runs once.  The driver holds one batch of texts and outcomes;
+        of earlier texts it keeps a name of fixed size."""
+        run = f"{directory}/run-{uuid.uuid4().hex}"
+        names: dict[str | int, str] = {}
+        known: dict[str, tuple[str | None, list[str]]] = {}
+        for batch in batched(queries, BATCH):
+            new = {}
+            for *_, query in batch:
+                key = _key(query)
+                if key not in names:
+                    names[key] = uuid.uuid4().hex
+                    new[names[key]] = query
+            known |= self._store_all(new, run)
+            outcomes = [
+                (*outcome_row(m, q, side, known[names[_key(query)]][1], known[names[_key(query)]][0]),
+                 names[_key(query)])
+                for m, q, side, query in batch
+            ]
+            schema = T.StructType([*OUTCOME_SCHEMA.fields, T.StructField("result", T.StringType())])
+            self.spark.createDataFrame(outcomes, schema).write.mode("append").parquet(
+                f"{run}/outcomes"
+            )
+        if not names:
+            return outcome_table(self.spark, []), self.spark.createDataFrame([], ROW_SCHEMA)
+        outcomes = self.spark.read.parquet(f"{run}/outcomes")
+        return outcomes.select(*OUTCOME_SCHEMA.names), self._read(outcomes, run, known)
+
+    def _store_all(
+        self, queries: Mapping[str, str | DataFrame], run: str
+    ) -> dict[str, tuple[str | None, list[str]]]:
+        """Error and columns by name, several queries at once."""
+        found: dict[str, tuple[str | None, list[str]]] = {}
+        waiting: Iterator[tuple[str, str | DataFrame]] = iter(list(queries.items()))
+        lock = threading.Lock()
+
+        def work() -> None:
+            while True:
+                with lock:
+                    entry = next(waiting, None)
+                if entry is None:
+                    return
+                found[entry[0]] = self._store_one(entry[1], f"{run}/rows/result={entry[0]}")
+
+        # Each thread has local properties of its own, so a job group is one text's.
+        threads = [
+            InheritableThread(target=work, session=self.spark)
+            for _ in range(min(self.concurrent, len(queries)))
+        ]
+        for thread in threads:
+            thread.start()
+        for thread in threads:
+            thread.join()
+        return found
+
+    def _store_one(self, query: str | DataFrame, path: str) -> tuple[str | None, list[str]]:
+        context, group = self.spark.sparkContext, f"text-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(self.time_limit, stop)
+        timer.daemon = True
+        context.setJobGroup(group, "query text", interruptOnCancel=True)
+        timer.start()
         try:
             result = self.query(query) if isinstance(query, str) else query
             result_rows(result, "", 0, "").select("row_no", "cells").write.parquet(path)
-            return None, result.columns, path
+            return None, result.columns
         except PySparkException as error:
-            return (error.getMessage() or str(error)).split("\n")[0], [], path
-
-    def _read(self, written: list[tuple[str, int, str, str]]) -> DataFrame:
+            said = error.getMessage() or str(error)
+        except Py4JJavaError as error:
+            said = str(error.java_exception)
+        except RefusedText as error:
+            said = str(error)
+        finally:
+            timer.cancel()
+        if late.is_set():
+            said = f"stopped after {self.time_limit:g} seconds: {said}"
+        return said, []
+
+    def _read(
+        self, outcomes: DataFrame, run: str, known: Mapping[str, tuple[str | None, list[str]]]
+    ) -> DataFrame:
         """Stored rows with the (model, query, side) each result was run for."""
-        if not written:
+        if all(error is not None for error, _ in known.values()):
             return self.spark.createDataFrame([], ROW_SCHEMA)
-        uses = self.spark.createDataFrame(
-            [(m, q, s, path.rsplit("/", 1)[1]) for m, q, s, path in written],
-            "model string, query_id int, side string, result string",
+        schema = T.StructType(
+            [ROW_SCHEMA["row_no"], ROW_SCHEMA["cells"], T.StructField("result", T.StringType())]
         )
-        paths = sorted({path for *_, path in written})
-        schema = T.StructType([ROW_SCHEMA["row_no"], ROW_SCHEMA["cells"]])
-        stored = self.spark.read.schema(schema).parquet(*paths)
-        folder = "regexp_extract(input_file_name(), '(result-[0-9a-f]+)', 1) AS result"
-        return stored.selectExpr("*", folder).join(uses, "result").select(*ROW_SCHEMA.names)
+        uses = outcomes.filter("ok").select("model", "query_id", "side", "result")
+        stored = self.spark.read.schema(schema).parquet(f"{run}/rows")
+        return stored.join(uses, "result").select(*ROW_SCHEMA.names)
+
+
+def _key(query: str | DataFrame) -> str | int:
+    """Equal texts have equal keys of fixed size; a DataFrame is itself."""
+    if isinstance(query, str):
+        return hashlib.sha256(query.encode()).hexdigest()
+    return id(query)
 
 
 def row_counts(
@@ -108,7 +210,9 @@ def score_texts(
     """Run and store the truth and the answers (model, query_id, sql) to score them.
 
     Returns (outcomes, rows) for `operators.compare.score_pairs`."""
-    answers = list(answers)
-    texts = [(model, number, GENERATED, sql) for model, number, sql in answers]
-    texts += [(model, number, TRUTH, truth[number]) for model, number, _ in answers]
+    texts = (
+        entry
+        for model, number, sql in answers
+        for entry in ((model, number, GENERATED, sql), (model, number, TRUTH, truth[number]))
+    )
     return runner.store(texts, checkpoint_dir(runner.spark))

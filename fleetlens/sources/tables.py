@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.model import SCHEMAS, Tables
 
+#: The table that no report reads.
+OPTIONAL = "quote_lines"
+
 
 def read_tables(spark: SparkSession, directory: str) -> Tables:
-    """Open the Parquet tables of a directory with their declared schemas."""
-    return Tables(
-        {
-            name: spark.read.schema(schema).parquet(f"{directory}/{name}")
-            for name, schema in SCHEMAS.items()
-        }
-    )
+    """The Parquet tables of a directory with their declared schemas.
+
+    A table is opened when it is first used.  The optional one is left out if it is absent."""
+
+    def opened(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}")
+
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] = {n: opened(n) for n in SCHEMAS}
+    try:
+        tables[OPTIONAL] = opened(OPTIONAL)()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        del tables[OPTIONAL]
+    return Tables(tables)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

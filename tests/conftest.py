@@ -30,6 +30,17 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def stored(spark, tmp_path_factory):
+    """The business tables of the smallest fixture as a folder of stored tables."""
+    from fleetlens.sources.binding import bind
+    from fleetlens.sources.tables import write_tables
+
+    folder = str(tmp_path_factory.mktemp("business") / "tables")
+    write_tables(bind(spark, SMALL), folder)
+    return folder
+
+
 @pytest.fixture(scope="session")
 def duck():
     connection = duckdb.connect()

@@ -10,18 +10,16 @@ from fleetlens.plans.evaluation import (
     report_truth,
     reward_completions,
 )
-from fleetlens.sources import generator
-from fleetlens.sources.tables import read_tables, write_tables
+from fleetlens.sources.binding import AS_OF
+from fleetlens.sources.tables import read_tables
 
-ENTRIES = [e for e in catalogue(generator.TODAY) if e.split == EVAL and e.query_id in (2, 11)]
+ENTRIES = [e for e in catalogue(AS_OF) if e.split == EVAL and e.query_id in (2, 11)]
 SQL = {e.query_id: e.sql for e in ENTRIES}
 
 
 @pytest.fixture(scope="module")
-def open_tables(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("evaluated") / "tables")
-    write_tables(generator.generate_tables(spark, generator.customer_ids(spark, 1)), folder)
-    return lambda session: read_tables(session, folder)
+def open_tables(stored):
+    return lambda session: read_tables(session, stored)
 
 
 def test_responses_to_summary(spark, open_tables):
@@ -77,11 +75,11 @@ def test_completions_to_rewards(spark, open_tables):
 @pytest.mark.parametrize("split", [EVAL, TRAIN])
 def test_catalogue_texts_answer_the_reports(spark, open_tables, split):
     """Every SQL text scores full marks against the report it states."""
-    entries = [e for e in catalogue(generator.TODAY) if e.split == split]
+    entries = [e for e in catalogue(AS_OF) if e.split == split]
     responses = spark.createDataFrame(
         [("sql", e.query_id, e.sql) for e in entries], "model string, query_id int, raw string"
     )
-    truth = report_truth(open_tables(spark), generator.TODAY, split)
+    truth = report_truth(open_tables(spark), AS_OF, split)
     results = evaluate_responses(spark, open_tables, entries, responses, truth)
     assert results.filter("result_match IS NULL OR result_match < 1").collect() == []
     assert results.count() == len(entries)

@@ -1,14 +1,14 @@
 """What the plans of the reports must and must not contain."""
 
 import re
+from datetime import date
 
 import pytest
 from tests.conftest import SMALL
 
 from fleetlens.plans import reports
-from fleetlens.sources import generator
 from fleetlens.sources.binding import AS_OF, bind
-from fleetlens.sources.tables import read_tables, write_tables
+from fleetlens.sources.tables import read_tables
 
 ALL = {**{f"q{n}": r for n, r in reports.EVAL_REPORTS.items()},
        **{f"t{n}": r for n, r in reports.TRAINING_REPORTS.items()}}
@@ -20,13 +20,6 @@ def plan(df):
     )
 
 
-@pytest.fixture(scope="module")
-def stored(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("plans") / "tables")
-    write_tables(generator.generate_tables(spark, generator.customer_ids(spark, 1)), folder)
-    return read_tables(spark, folder)
-
-
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_no_cross_joins_or_python(spark, name):
     text = plan(ALL[name](bind(spark, SMALL), AS_OF))
@@ -42,11 +35,12 @@ def test_no_window_over_the_whole_table(spark, name):
         assert name in {"q6", "t23"}
 
 
-def test_filters_and_columns_reach_stored_tables(stored):
-    text = plan(reports.stale_quotes(stored, generator.TODAY))
+def test_filters_and_columns_reach_stored_tables(spark, stored):
+    today, tables = date(2026, 3, 4), read_tables(spark, stored)
+    text = plan(reports.stale_quotes(tables, today))
     assert "EqualTo(status,sent)" in text and "LessThan(sent_date,2026-01-18)" in text
     assert "ReadSchema: struct<id:bigint,name:string>" in text
-    text = plan(reports.revenue_this_year(stored, generator.TODAY))
+    text = plan(reports.revenue_this_year(tables, today))
     assert "GreaterThanOrEqual(order_date,2026-01-01)" in text
     assert "LessThan(order_date,2027-01-01)" in text
 

@@ -4,9 +4,10 @@ import pytest
 from tests.conftest import SMALL, bag, spark_bag
 
 import __spark_entry__ as contract
+from fleetlens import registry
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 SPARK_TYPES = {
     "VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
     "DATE": "date", "BOOLEAN": "boolean",

@@ -9,26 +9,25 @@ from pyspark.sql import functions as F
 from fleetlens.operators import chat, compare, rewards
 from fleetlens.plans import scoreboard
 from fleetlens.plans.catalogue import EVAL, catalogue, catalogue_table
-from fleetlens.sources import generator, results
+from fleetlens.sources import results
+from fleetlens.sources.binding import AS_OF
 from fleetlens.sources.checkpoints import written_table
 from fleetlens.sources.runner import QueryRunner, score_texts
-from fleetlens.sources.tables import read_tables, write_tables
+from fleetlens.sources.tables import read_tables
 
-ENTRIES = [e for e in catalogue(generator.TODAY) if e.split == EVAL and e.query_id in (2, 4, 7, 11)]
+ENTRIES = [e for e in catalogue(AS_OF) if e.split == EVAL and e.query_id in (2, 4, 7, 11)]
 TRUTH = {e.query_id: e.sql for e in ENTRIES}
 
 
 @pytest.fixture(scope="module")
-def runner(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("scored") / "tables")
-    write_tables(generator.generate_tables(spark, generator.customer_ids(spark, 1)), folder)
-    return QueryRunner(spark, lambda session: read_tables(session, folder))
+def runner(spark, stored):
+    return QueryRunner(spark, lambda session: read_tables(session, stored))
 
 
 ANSWERS = [
     ("good-1.0", 2, TRUTH[2]),
     ("good-1.0", 4, TRUTH[4] + ";"),
-    ("good-1.0", 7, "SELECT name, 0 AS n FROM customers WHERE id <= 16"),
+    ("good-1.0", 7, "SELECT name, 0 AS n FROM customers WHERE id <= 80"),
     ("good-1.0", 11, "SELECT name FROM account_managers"),
     ("bad", 2, "DROP TABLE quotes"),
     ("bad", 4, ""),
@@ -91,12 +90,13 @@ def test_score_files_and_rollups(spark, scores, tmp_path):
         ("easy", "bad", 0.0), ("easy", "good-1.0", 2.5 / 3),
         ("medium", "bad", 0.0), ("medium", "good-1.0", 1.0),
     ]
-    wide = scoreboard.model_comparison(read, ["bad", "good-1.0"]).collect()
-    assert [(r["query_id"], r["good-1.0"]) for r in wide] == [(2, 1.0), (4, 1.0), (7, 0.5), (11, 1.0)]
+    long = {(r["query_id"], r["model"]): r["mean_match"] for r in scoreboard.model_comparison(read).collect()}
+    assert {q: m for (q, name), m in long.items() if name != "bad"} == {2: 1.0, 4: 1.0, 7: 0.5, 11: 1.0}
+    assert {m for (_, name), m in long.items() if name == "bad"} == {0.0}
     detail = {(r["model_name"], r["query_id"]): r for r in scoreboard.detail_table(read).collect()}
     assert detail["good-1.0", 7]["status"] == "Partial"
-    assert detail["good-1.0", 7]["ground_truth_row_count"] == 30
-    assert detail["good-1.0", 7]["generated_row_count"] == 16
+    assert detail["good-1.0", 7]["ground_truth_row_count"] == 150
+    assert detail["good-1.0", 7]["generated_row_count"] == 81
     assert scoreboard.match_table(read).filter("query = 'Q11'").count() == 2
 
 
@@ -123,8 +123,8 @@ def test_status_labels(spark):
         "result_match double, execution_success boolean",
     )
     got = df.select(scoreboard.run_status().alias("r"), scoreboard.detail_status().alias("d")).collect()
-    assert [r["r"] for r in got] == ["MATCH", "PARTIAL", "FAIL", "ERROR", "FAIL"]
-    assert [r["d"] for r in got] == ["Pass", "Partial", "Fail", "Fail", "Fail"]
+    assert [r["r"] for r in got] == ["MATCH", "PARTIAL", "FAIL", "ERROR", "UNSCORED"]
+    assert [r["d"] for r in got] == ["Pass", "Partial", "Fail", "Fail", "Unscored"]
 
 
 def test_prompt_names_every_table_and_the_day():
@@ -144,7 +144,7 @@ def test_chat_rows(spark):
 
 
 def test_train_and_eval_questions_do_not_overlap(spark):
-    table = catalogue_table(spark, catalogue(generator.TODAY))
+    table = catalogue_table(spark, catalogue(AS_OF))
     train, held_out = table.filter("split = 'train'"), table.filter("split = 'eval'")
     assert chat.overlapping_questions(train, held_out, "question").count() == 0
     assert chat.overlapping_questions(train, held_out, "sql").count() == 0
