@@ -9,8 +9,8 @@ bounded sample (see `labelled.py`) in a fixed order, so it can be repeated; scor
 map over all rows without a shuffle.
 
 Defined results: null is an empty text, and a text without words gets the score of the
-bias alone; without labelled rows of both kinds every score is 0.5; repeated rows get equal
-scores; an empty table gives no rows; inputs other than the named columns are not read.
+bias alone; without labelled rows of both kinds nothing is known to be toxic and every score
+is 0; repeated rows get equal scores; an empty table gives no rows; inputs other than the named columns are not read.
 """
 
 from __future__ import annotations
@@ -122,6 +122,8 @@ def fit_model(
 
 def score(model: list[tuple[int, float]], text: str) -> Column:
     """The probability that a text is toxic."""
+    if not model:
+        return F.lit(0.0)
     table = np.zeros(_BIAS + 1)
     for at, weight in model:
         table[at] = weight

@@ -65,12 +65,12 @@ def test_odd_rows(odd, empty, taught, labels, kind):
             assert by_text.setdefault(r["text"] or "", r["score"]) == r["score"]
 
 
-@pytest.mark.parametrize("kind", [quality, toxicity])
-def test_nothing_to_learn(odd, taught, labels, kind):
+@pytest.mark.parametrize(("kind", "score"), [(quality, 0.5), (toxicity, 0.0)])
+def test_nothing_to_learn(odd, taught, labels, kind, score):
     one_kind = labels.filter("quality = 1")
     model = kind.fit_model(taught, one_kind, F.lit(True))
     scores = odd.select(kind.score(model, "text").alias("s")).distinct().collect()
-    assert [r["s"] for r in scores] == [0.5]
+    assert [r["s"] for r in scores] == [score]
 
 
 def test_fit_repeats(taught, labels):
