@@ -132,7 +132,7 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
     )
     undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND NOT whole_equal").select(*PAIR)
     projected = written_table(
-        _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR))
+        _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR), training)
     )
     exact = written_table(
         _bag_counts(projected, "signature", "numbers")
@@ -178,11 +178,12 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
     )
 
 
-def _matchable(rows: DataFrame) -> DataFrame:
+def _matchable(rows: DataFrame, exact: bool) -> DataFrame:
     """Mapped cells of both sides, aligned, in the form tolerant matching takes.
 
     Rows may match only if their kinds and all their texts agree, which the signature
-    stands for; the numbers follow in order."""
+    stands for; the numbers follow in order.  If numbers are compared exactly, the digits
+    that a double does not hold belong to the signature."""
 
     def side_index(m: Column) -> Column:
         return F.when(F.col("side") == TRUTH, m["gt_index"]).otherwise(m["gen_index"])
@@ -194,7 +195,9 @@ def _matchable(rows: DataFrame) -> DataFrame:
     fixed = F.array_join(
         F.transform(
             "cells",
-            lambda c: F.coalesce(F.concat(F.length(c["str"]), F.lit(":"), c["str"]), c["kind"]),
+            lambda c: F.when(F.lit(not exact) & (c["kind"] == "num"), c["kind"]).otherwise(
+                F.coalesce(F.concat(F.length(c["str"]), F.lit(":"), c["str"]), c["kind"])
+            ),
         ),
         ",",
     )

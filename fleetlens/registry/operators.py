@@ -16,7 +16,7 @@ from fleetlens.functions import text
 from fleetlens.functions.numbers import half_even_2
 from fleetlens.model import ALLOWED_VALUES, DERIVED_TOTALS, FOREIGN_KEYS, SCHEMAS, UNIQUE_KEYS
 from fleetlens.operators import chat, compare, integrity, ranking, rewards
-from fleetlens.plans import definitions, scoreboard
+from fleetlens.plans import definitions, evaluation, scoreboard
 from fleetlens.plans.catalogue import EVAL, ansi_days, spark_days
 from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import results, runner
@@ -558,18 +558,17 @@ _TRUTH_ROW = ["concat('order ', o_orderkey) AS label", "o_totalprice AS total_va
 
 def _pairs(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     orders = read_warehouse(spark, directory, "orders")
-    outcomes, rows = [], None
+    pairs = []
     for number, scale, kept in _PERTURBED:
         truth = orders.selectExpr(*_TRUTH_ROW)
         # The copy swaps and renames its columns and has one more.
         copy = orders.filter(kept).selectExpr(
             f"o_totalprice * {scale} AS VALUE", "o_custkey AS buyer", _TRUTH_ROW[0]
         )
-        for side, df in ((results.TRUTH, truth), (results.GENERATED, copy)):
-            outcomes.append(results.outcome_row("copy", number, side, df.columns))
-            part = results.result_rows(df, "copy", number, side)
-            rows = part if rows is None else rows.unionByName(part)
-    return results.outcome_table(spark, outcomes), rows
+        pairs.append((number, truth, copy))
+    outcomes, rows = _stored_pairs(spark, pairs)
+    # Written once: the comparer reads the rows more than once.
+    return outcomes, written_table(rows)
 
 
 def _scores_sql(close: str) -> str:
@@ -632,22 +631,209 @@ def _training_scores(spark: SparkSession, directory: str) -> DataFrame:
     return compare.score_pairs(outcomes, rows, training=True).select(*_SCORE_COLUMNS)
 
 
-@_query("r11_first_fit_numbers")
+def _stored_pairs(
+    spark: SparkSession, pairs: list[tuple[int, DataFrame, DataFrame]]
+) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and rows of (number, truth, copy) results."""
+    outcomes, rows = [], None
+    for number, truth, copy in pairs:
+        for side, df in ((results.TRUTH, truth), (results.GENERATED, copy)):
+            outcomes.append(results.outcome_row("copy", number, side, df.columns))
+            part = results.result_rows(df, "copy", number, side)
+            rows = part if rows is None else rows.unionByName(part)
+    return results.outcome_table(spark, outcomes), rows
+
+
+# One segment is missing from the copy, so its balances compete for others' partners.
+_FIT_SCALE, _FIT_KEPT = "1.015e0", "c_mktsegment <> 'BUILDING'"
+
+
+@_query(
+    "r11_first_fit_numbers",
+    f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER (ORDER BY c_custkey) AS i, round_even(c_acctbal, 2) AS v FROM customer
+), g AS (
+  SELECT row_number() OVER (ORDER BY c_custkey) AS j, round_even(c_acctbal * {_FIT_SCALE}, 2) AS w
+  FROM customer WHERE {_FIT_KEPT}
+), near AS (
+  SELECT i, list(j ORDER BY j) AS js
+  FROM t JOIN g ON ABS(v - w) <= GREATEST(ABS(v), ABS(w), 1) * 0.02 GROUP BY i
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT walk.i + 1,
+         CASE WHEN len(list_filter(coalesce(js, []), lambda j: NOT list_contains(taken, j))) = 0
+              THEN taken
+              ELSE list_append(taken,
+                list_filter(js, lambda j: NOT list_contains(taken, j))[1]) END
+  FROM walk LEFT JOIN near ON near.i = walk.i + 1
+  WHERE walk.i < (SELECT COUNT(*) FROM t)
+), counted AS (
+  SELECT (SELECT COUNT(*) FROM t) AS gt_rows, (SELECT COUNT(*) FROM g) AS gen_rows,
+         CAST(MAX(len(taken)) AS BIGINT) AS matched
+  FROM walk
+)
+SELECT CAST(1 AS INT) AS query_id, gt_rows, gen_rows, CAST(1 AS INT) AS mapped_columns, matched,
+       CASE WHEN matched = gt_rows THEN CAST(1 AS DOUBLE)
+            WHEN matched * 2 > gt_rows THEN CAST(0.5 AS DOUBLE)
+            ELSE CAST(0 AS DOUBLE) END AS result_match
+FROM counted""",
+)
 def _first_fit_numbers(spark: SparkSession, directory: str) -> DataFrame:
-    """Numbers only, where one truth row is close to many generated ones.  First fit
-    depends on the order of rows, which plain SQL cannot follow."""
-    customers = read_warehouse(spark, directory, "customer")
+    """Numbers only, where one truth row is close to many generated ones and some find no
+    partner.  First fit depends on the order of rows, which is that of the key."""
+    customers = read_warehouse(spark, directory, "customer").orderBy("c_custkey")
     truth = customers.selectExpr("c_acctbal AS balance")
-    copy = customers.selectExpr("c_acctbal * 1.015e0 AS balance")
-    outcomes = [
-        results.outcome_row("copy", 1, side, ["balance"])
-        for side in (results.TRUTH, results.GENERATED)
+    copy = customers.filter(_FIT_KEPT).selectExpr(f"c_acctbal * {_FIT_SCALE} AS balance")
+    outcomes, rows = _stored_pairs(spark, [(1, truth, copy)])
+    return compare.score_pairs(outcomes, rows).select(*_SCORE_COLUMNS)
+
+
+# Edges of the comparer: number, truth, copy, and the columns, matches and verdict expected
+# of all rows (n) and of the rows outside one segment (m).
+_EMPTY = "SELECT c_custkey AS id FROM customer WHERE FALSE"
+_EDGES = (
+    (1, _EMPTY, _EMPTY, "1", "0", "1"),
+    (2, _EMPTY, "SELECT c_custkey AS id FROM customer", "1", "0", "0"),
+    (
+        3,
+        "SELECT c_name AS name, c_acctbal AS balance FROM customer",
+        "SELECT c_name AS a, c_acctbal AS b FROM customer",
+        "0",
+        "n",
+        "1",
+    ),
+    (
+        4,
+        "SELECT c_name AS name, c_acctbal AS balance FROM customer",
+        "SELECT c_name AS a, c_acctbal * 1.001e0 AS b FROM customer",
+        "0",
+        "0",
+        "0",
+    ),
+    (
+        5,
+        "SELECT c_name AS name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS balance "
+        "FROM customer",
+        "SELECT CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN c_acctbal * 1.01e0 END "
+        "AS balance, c_name AS name FROM customer",
+        "2",
+        "m",
+        "CASE WHEN m = n THEN 1 WHEN m * 2 > n THEN 0.5 ELSE 0 END",
+    ),
+)
+
+
+@_query(
+    "r06_edge_pairs",
+    "WITH k AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE c_mktsegment <> 'MACHINERY') AS m "
+    "FROM customer)\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT CAST({number} AS INT) AS query_id, (SELECT COUNT(*) FROM ({truth})) AS gt_rows, "
+        f"(SELECT COUNT(*) FROM ({copy})) AS gen_rows, CAST({mapped} AS INT) AS mapped_columns, "
+        f"CAST({matched} AS BIGINT) AS matched, CAST({expected} AS DOUBLE) AS result_match FROM k"
+        for number, truth, copy, mapped, matched, expected in _EDGES
+    ),
+)
+def _edge_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Empty results, equal rows under other names, no common name, nulls under tolerance."""
+    customers = read_warehouse(spark, directory, "customer")
+    pairs = [
+        (number, *(spark.sql(text.replace("FROM customer", "FROM {customer}"), customer=customers)
+                   for text in (truth, copy)))
+        for number, truth, copy, *_ in _EDGES
     ]
-    rows = results.result_rows(truth, "copy", 1, results.TRUTH).unionByName(
-        results.result_rows(copy, "copy", 1, results.GENERATED)
+    return compare.score_pairs(*_stored_pairs(spark, pairs)).select(*_SCORE_COLUMNS)
+
+
+# --- From raw responses to scores and rewards ----------------------------------------
+
+# Every nation of the customers is a model that answers one catalogue question.  What it
+# answers follows from the number of its customers: right, partly, wrongly, unparsable
+# text, text that fails while it runs, nothing.
+_ASKED = 7
+_PART = "name NOT LIKE '%7'"
+_ANSWERS = (
+    "Sure:\n```sql\n{truth};\n```",
+    "SELECT * FROM (\n{truth}\n) AS part WHERE " + _PART,
+    "SELECT 'nobody' AS name",
+    "SELEC name FROM customers",
+    "SELECT name FROM customers WHERE id = (SELECT id FROM customers)",
+    "",
+)
+_ANSWERED_SQL = f"""
+  SELECT a.*, n, m
+  FROM (SELECT c_nationkey AS nation, COUNT(*) % {len(_ANSWERS)} AS answer FROM customer
+        GROUP BY c_nationkey) AS a
+  CROSS JOIN (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE {_PART}) AS m
+              FROM (\n{_text_of(_ASKED, ansi_days)}\n) AS truth) AS t"""
+_ANSWER_VERDICT = """CAST(CASE answer WHEN 0 THEN 1
+       WHEN 1 THEN CASE WHEN m = n THEN 1 WHEN m * 2 > n THEN 0.5 ELSE 0 END ELSE 0 END AS DOUBLE)"""
+
+
+def _answers(spark: SparkSession, directory: str) -> DataFrame:
+    """nation and raw text of its answer (null: none)."""
+    truth = _text_of(_ASKED, spark_days)
+    texts = F.array(*(F.lit(a.format(truth=truth)) for a in _ANSWERS))
+    customers = read_warehouse(spark, directory, "customer")
+    counted = customers.groupBy(F.col("c_nationkey").alias("nation")).count()
+    place = (F.col("count") % len(_ANSWERS) + 1).cast("int")
+    return counted.select("nation", F.nullif(F.element_at(texts, place), F.lit("")).alias("raw"))
+
+
+def _asked() -> list:
+    entries = warehouse_catalogue(spark_days)
+    return [e for e in entries if e.split == EVAL and e.query_id == _ASKED]
+
+
+@_query(
+    "r13_score_responses",
+    with_binding(f"""
+SELECT 'model' || nation AS model, answer < 3 AS execution_success,
+       n AS ground_truth_row_count,
+       CASE answer WHEN 0 THEN n WHEN 1 THEN m WHEN 2 THEN 1 ELSE 0 END AS generated_row_count,
+       {_ANSWER_VERDICT} AS result_match
+FROM ({_ANSWERED_SQL}) AS r"""),
+)
+def _score_responses(spark: SparkSession, directory: str) -> DataFrame:
+    responses = _answers(spark, directory).select(
+        F.concat(F.lit("model"), "nation").alias("model"),
+        F.lit(_ASKED).alias("query_id"),
+        "raw",
+    )
+    scored = evaluation.evaluate_responses(
+        spark, lambda session: bind(session, directory), _asked(), responses
+    )
+    return scored.select(
+        F.col("model_name").alias("model"),
+        "execution_success",
+        "ground_truth_row_count",
+        "generated_row_count",
+        "result_match",
+    )
+
+
+@_query(
+    "b06_completion_runs",
+    with_binding(f"""
+SELECT nation AS sample_no,
+       CAST(CASE WHEN answer IN (0, 1, 2, 4) THEN 0.25 ELSE 0 END AS DOUBLE) AS format_reward,
+       CAST(CASE WHEN answer < 3 THEN 0.5 ELSE 0 END AS DOUBLE) AS execution_reward,
+       {_ANSWER_VERDICT} AS correctness_reward
+FROM ({_ANSWERED_SQL}) AS r"""),
+)
+def _completion_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Rewards of completions whose texts are run and compared."""
+    completions = _answers(spark, directory).select(
+        F.lit(_ASKED).alias("prompt_id"),
+        F.col("nation").alias("sample_no"),
+        F.coalesce("raw", F.lit("")).alias("text"),
+    )
+    rewarded = evaluation.reward_completions(
+        spark, lambda session: bind(session, directory), _asked(), completions
     )
-    scored = compare.score_pairs(results.outcome_table(spark, outcomes), rows)
-    return scored.select(*_SCORE_COLUMNS)
+    return rewarded.select("sample_no", "format_reward", "execution_reward", "correctness_reward")
 
 
 # --- Constraints --------------------------------------------------------------------

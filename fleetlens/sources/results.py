@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from fleetlens.functions.numbers import half_even_2
 
 TRUTH, GENERATED = "gt", "gen"
+EXACT_DOUBLE = 2**53  # a double holds every whole number up to here
 
 OUTCOME_SCHEMA = T.StructType(
     [
@@ -79,17 +80,22 @@ def _comparable(field: T.StructField, number: Column) -> Column:
 
 def _cell(field: T.StructField, column: Column) -> Column:
     """kind is null, num or str.  Numbers of every width become doubles rounded to two
-    places, the precision at which results are compared; a value that is not finite
-    keeps its text, so it only equals itself."""
+    places, the precision at which results are compared.  A number beyond the whole numbers
+    that a double holds keeps its exact digits besides, as far as 38 of them.  A value that
+    is not finite keeps its text, so it only equals itself."""
     numeric = isinstance(field.dataType, (T.NumericType, T.BooleanType))
     number = column.cast("double") if numeric else F.lit(None).cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
     is_number = finite if numeric else F.lit(False)
     text = column.cast("string")
+    exact = F.lit(None).cast("string")
+    if numeric and not isinstance(field.dataType, T.BooleanType):
+        wide = is_number & (F.abs(number) > EXACT_DOUBLE) & (F.abs(number) < 1e38)
+        exact = F.when(wide, column.cast("decimal(38,0)").cast("string"))
     return F.struct(
         F.when(column.isNull(), "null").when(is_number, "num").otherwise("str").alias("kind"),
         F.when(is_number, _comparable(field, number)).alias("num"),
-        F.when(column.isNotNull() & ~is_number, text).alias("str"),
+        F.when(column.isNotNull() & ~is_number, text).otherwise(exact).alias("str"),
     )
 
 

@@ -256,3 +256,24 @@ def test_bags_equal(spark):
     c = spark.createDataFrame([(2, "y"), (2, "y"), (1, "x")], "p int, q string")
     assert compare.bags_equal(a, b).first()["equal"]
     assert not compare.bags_equal(a, c).first()["equal"]
+
+
+def test_large_whole_numbers_are_exact_in_training(spark):
+    """Ids above 2^53 that differ by one are different rows; 2 % apart is near in scoring."""
+    base = 2**60
+    pairs = {1: base + 1, 2: base}
+    outcomes, rows = [], None
+    for number, other in pairs.items():
+        for side, value in ((TRUTH, base), (GENERATED, other)):
+            df = spark.createDataFrame([(value, "a")], "id long, name string")
+            outcomes.append(outcome_row("m", number, side, df.columns))
+            part = result_rows(df, "m", number, side)
+            rows = part if rows is None else rows.unionByName(part)
+    table = outcome_table(spark, outcomes)
+
+    def verdicts(training):
+        scored = compare.score_pairs(table, rows, training=training).collect()
+        return {r["query_id"]: r["result_match"] for r in scored}
+
+    assert verdicts(True) == {1: 0.0, 2: 1.0}
+    assert verdicts(False) == {1: 1.0, 2: 1.0}
