@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import text
 from fleetlens.functions.numbers import half_even_2
-from fleetlens.model import ALLOWED_VALUES, DERIVED_TOTALS, FOREIGN_KEYS, SCHEMAS, UNIQUE_KEYS
+from fleetlens.model import (
+    ALLOWED_VALUES,
+    DERIVED_TOTALS,
+    FOREIGN_KEYS,
+    SCHEMAS,
+    UNIQUE_KEYS,
+    Tables,
+)
 from fleetlens.operators import chat, compare, integrity, ranking, rewards
 from fleetlens.plans import definitions, evaluation, scoreboard
 from fleetlens.plans.catalogue import EVAL, ansi_days, spark_days
@@ -850,24 +857,70 @@ def _violation_sql(table: str, check: str, column: str, count: str) -> str:
     )
 
 
-def _violations_sql(parts: list[str]) -> str:
-    return with_binding("\nUNION ALL\n".join(parts))
+# The bound tables with known faults in a part of their rows, so that each check finds some.
+_FAULTS = {
+    "customers": {
+        "name": "CASE WHEN id % 10 = 3 THEN NULL ELSE name END",
+        "status": "CASE WHEN id % 9 = 4 THEN 'asleep' ELSE status END",
+    },
+    "machines": {
+        "status": "CASE WHEN id % 8 = 5 THEN 'melted' ELSE status END",
+        "customer_id": "CASE WHEN id % 6 = 1 THEN customer_id + 1000000000 ELSE customer_id END",
+    },
+    "orders": {
+        "id": "CASE WHEN id % 5 = 2 THEN id - 1 ELSE id END",
+        "order_date": "CASE WHEN id % 13 = 0 THEN NULL ELSE order_date END",
+        "status": "CASE WHEN id % 7 = 0 THEN 'lost' ELSE status END",
+        "customer_id": "CASE WHEN id % 11 = 0 THEN customer_id + 1000000000 ELSE customer_id END",
+        # The bound totals hold tax and discount; most are set to what the lines add up to.
+        "total_value": "CASE WHEN id % 3 = 0 THEN total_value ELSE COALESCE(line_sum, 0) END",
+    },
+}
+_LINE_SUMS = "SELECT order_id AS line_order, SUM(line_value) AS line_sum FROM order_lines GROUP BY 1"
+
+
+def _faulty_columns(table: str) -> list[str]:
+    return [f"{_FAULTS[table].get(c, c)} AS {c}" for c in SCHEMAS[table].names]
+
+
+def _faulty(tables: Tables) -> Tables:
+    given = {name: getattr(tables, name) for name in _bound_names()}
+    sums = given["order_lines"].groupBy(F.col("order_id").alias("line_order")).agg(
+        F.sum("line_value").alias("line_sum")
+    )
+    given["orders"] = given["orders"].join(sums, F.expr("line_order = id"), "left")
+    for name in _FAULTS:
+        given[name] = given[name].selectExpr(*_faulty_columns(name))
+    return Tables(given)
+
+
+def _faulty_sql(parts: list[str]) -> str:
+    """The parts over the faulty tables, which are called faulty_<name>."""
+    made = []
+    for name in _bound_names():
+        columns = ", ".join(_faulty_columns(name)) if name in _FAULTS else "*"
+        joined = f" LEFT JOIN ({_LINE_SUMS}) AS s ON s.line_order = orders.id"
+        made.append(
+            f"faulty_{name} AS (SELECT {columns} FROM {name}{joined if name == 'orders' else ''})"
+        )
+    union = "\nUNION ALL\n".join(parts)
+    return with_binding(f"WITH {', '.join(made)}\n{union}")
 
 
 def _of_kind(name: str, sql: list[str]) -> None:
     check = name.split("_", 1)[1]
 
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        return integrity.all_violations(bind(spark, directory), kinds=(check,))
+        return integrity.all_violations(_faulty(bind(spark, directory)), kinds=(check,))
 
-    _query(name, _violations_sql(sql))(run)
+    _query(name, _faulty_sql(sql))(run)
 
 
 _of_kind(
     "c01_not_null",
     [
         _violation_sql(
-            t, "not_null", f.name, f"SELECT COUNT(*) FILTER (WHERE {f.name} IS NULL) FROM {t}"
+            t, "not_null", f.name, f"SELECT COUNT(*) FILTER (WHERE {f.name} IS NULL) FROM faulty_{t}"
         )
         for t in _bound_names()
         for f in SCHEMAS[t].fields
@@ -881,7 +934,7 @@ _of_kind(
             t,
             "allowed_values",
             c,
-            f"SELECT COUNT(*) FILTER (WHERE {c} NOT IN ({', '.join(map(_quote, v))})) FROM {t}",
+            f"SELECT COUNT(*) FILTER (WHERE {c} NOT IN ({', '.join(map(_quote, v))})) FROM faulty_{t}",
         )
         for (t, c), v in ALLOWED_VALUES.items()
     ],
@@ -893,7 +946,7 @@ _of_kind(
             t,
             "unique",
             c,
-            f"SELECT COUNT(*) FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"SELECT COUNT(*) FROM (SELECT {c} FROM faulty_{t} WHERE {c} IS NOT NULL GROUP BY {c} "
             "HAVING COUNT(*) > 1) AS repeated",
         )
         for t, c in UNIQUE_KEYS
@@ -907,7 +960,7 @@ _of_kind(
             t,
             "foreign_key",
             c,
-            f"SELECT COUNT(*) FROM {t} AS ch LEFT JOIN {p} AS pa ON pa.id = ch.{c} "
+            f"SELECT COUNT(*) FROM faulty_{t} AS ch LEFT JOIN faulty_{p} AS pa ON pa.id = ch.{c} "
             f"WHERE ch.{c} IS NOT NULL AND pa.id IS NULL",
         )
         for t, c, p in FOREIGN_KEYS
@@ -921,8 +974,8 @@ _of_kind(
             h,
             "derived_total",
             total,
-            f"SELECT COUNT(*) FROM {h} AS h LEFT JOIN (SELECT {key}, SUM({amount}) AS s "
-            f"FROM {lines} GROUP BY {key}) AS l ON l.{key} = h.id "
+            f"SELECT COUNT(*) FROM faulty_{h} AS h LEFT JOIN (SELECT {key}, SUM({amount}) AS s "
+            f"FROM faulty_{lines} GROUP BY {key}) AS l ON l.{key} = h.id "
             f"WHERE ABS(h.{total} - COALESCE(l.s, 0)) > {integrity.TOTAL_TOLERANCE}",
         )
         for h, lines, key, amount, total in DERIVED_TOTALS
