@@ -88,9 +88,15 @@ def global_rank(
     df: DataFrame, value: str, key: str, out: str, descending: bool = True
 ) -> DataFrame:
     """RANK over the whole table by value: equal values share the lowest number."""
-    rows = in_ranges(df, _order(value, key, descending)).withColumn(
-        "__tie_place", F.min("__place").over(W.partitionBy("__range", value))
+    rows = in_ranges(df, _order(value, key, descending))
+    # Few values make a small table of ties, and rows need no shuffle to meet it; many
+    # values spread evenly.
+    ties = rows.groupBy(F.col("__range").alias("__of"), F.col(value).alias("__tied")).agg(
+        F.min("__place").alias("__tie_place")
     )
+    rows = rows.join(
+        ties, (F.col("__range") == F.col("__of")) & F.col(value).eqNullSafe(F.col("__tied"))
+    ).drop("__of", "__tied")
     summary = _by_range(
         rows,
         F.min_by(value, "__place").alias("__first"),

@@ -8,6 +8,7 @@ the SQL derives it the same way.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,14 +149,35 @@ def _rank_order_priority(spark: SparkSession, directory: str) -> DataFrame:
 @_query(
     "u02_bag_equality",
     """
-SELECT NOT EXISTS (
-  (SELECT o_custkey, CAST(o_orderdate AS DATE) FROM orders
-   EXCEPT ALL SELECT o_custkey, CAST(o_orderdate AS DATE) FROM orders)
-) AS equal""",
+WITH o AS (SELECT o_custkey, o_orderpriority FROM orders), cases AS (
+  SELECT 'other order' AS copy, * FROM o
+  UNION ALL SELECT 'rows missing', * FROM o WHERE o_orderpriority <> '5-LOW'
+  UNION ALL SELECT 'no repeats', * FROM (SELECT DISTINCT * FROM o)
+), names AS (
+  SELECT DISTINCT copy FROM cases
+)
+SELECT copy, NOT EXISTS (
+         SELECT * FROM o EXCEPT ALL
+         SELECT o_custkey, o_orderpriority FROM cases AS c WHERE c.copy = names.copy
+       ) AND NOT EXISTS (
+         SELECT o_custkey, o_orderpriority FROM cases AS c WHERE c.copy = names.copy
+         EXCEPT ALL SELECT * FROM o
+       ) AS equal
+FROM names""",
 )
 def _bag_equality(spark: SparkSession, directory: str) -> DataFrame:
-    orders = bind(spark, directory).orders.select("customer_id", "order_date")
-    return compare.bags_equal(orders, orders.repartition(F.col("order_date")))
+    """A copy in another order, one with rows missing, one without repeats."""
+    orders = read_warehouse(spark, directory, "orders").select("o_custkey", "o_orderpriority")
+    copies = {
+        "other order": orders.repartition(F.col("o_orderpriority")),
+        "rows missing": orders.filter("o_orderpriority <> '5-LOW'"),
+        "no repeats": orders.distinct(),
+    }
+    found = [
+        compare.bags_equal(orders, copy).select(F.lit(name).alias("copy"), "equal")
+        for name, copy in copies.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- Column functions ---------------------------------------------------------------
