@@ -206,9 +206,153 @@ JOIN n ON d.source IS NOT DISTINCT FROM n.source
 """
 
 
+def _op8_sql(shards: int = 8) -> str:
+    """Every capacity from the least thinkable up is tried; CRC-32 goes byte by byte."""
+    steps, columns = [], ""
+    for i in range(1, shards):
+        steps.append(
+            f"c{i} AS (SELECT p.cap{columns}, CASE WHEN {i} < {shards} - alone "
+            f"THEN coalesce(o.cum, 0) ELSE p.at{i - 1} END AS at{i}, p.alone "
+            f"FROM c{i - 1} AS p ASOF LEFT JOIN o ON p.at{i - 1} + p.cap >= o.cum)"
+        )
+        columns += f", p.at{i}"
+    passed = " + ".join(
+        f"CASE WHEN {i} < {shards} - f.alone AND o.cum > f.at{i} THEN 1 ELSE 0 END"
+        for i in range(1, shards)
+    )
+    return f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), crc AS (
+    SELECT list(list_reduce(range(8), lambda c, b:
+               CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps
+    FROM (SELECT unnest(range(256)) AS n)
+), r AS (
+    SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, md5(t) AS g,
+           xor(list_reduce(
+               list_transform(regexp_extract_all(hex(encode(t)), '..'),
+                              lambda h: CAST('0x' || h AS BIGINT)),
+               lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)),
+               4294967295) AS text_crc32
+    FROM d CROSS JOIN crc
+), gr AS (
+    SELECT g, CAST(sum(size) AS BIGINT) AS n FROM r GROUP BY g
+), top AS (
+    SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS k FROM gr
+), lone AS (
+    SELECT CAST(0 AS BIGINT) AS k, (SELECT CAST(sum(n) AS BIGINT) FROM gr) AS lft
+    UNION ALL
+    SELECT lone.k + 1, lft - n FROM lone JOIN top ON top.k = lone.k + 1
+    WHERE lone.k < {shards - 1} AND n * ({shards} - lone.k) >= lft
+), s AS (
+    SELECT max(k) AS alone, min(lft) AS lft FROM lone
+), o AS (
+    SELECT g, n, CAST(sum(n) OVER (ORDER BY g) AS BIGINT) AS cum FROM gr
+    WHERE g NOT IN (SELECT g FROM top WHERE k <= (SELECT alone FROM s))
+), low AS (
+    SELECT alone, lft, (SELECT max(n) FROM o) AS big,
+           greatest((lft + {shards} - alone - 1) // ({shards} - alone), (SELECT max(n) FROM o)) AS least
+    FROM s
+), c0 AS (
+    SELECT unnest(generate_series(least, least + big)) AS cap, CAST(0 AS BIGINT) AS at0, alone FROM low
+), {", ".join(steps)}, f AS (
+    SELECT c{shards - 1}.* FROM c{shards - 1}, low WHERE lft - at{shards - 1} <= cap ORDER BY cap LIMIT 1
+), placed AS (
+    SELECT g, CAST(k - 1 AS INTEGER) AS shard FROM top WHERE k <= (SELECT alone FROM s)
+    UNION ALL SELECT g, CAST(f.alone + {passed} AS INTEGER) FROM o CROSS JOIN f
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard
+           ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), r.g))) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN placed ON placed.g = r.g
+"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _op9_sql() -> str:
+    """Matches are placed by the lengths of what lies between them, as in the operator; the
+    entropy of every window is taken anew."""
+    names = "|".join(map(_either_case, ("password", "passwd", "secret", "token")))
+    assign = (
+        rf"({names}|{_either_case('api')}_?{_either_case('key')})"
+        r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    ).replace("'", "''")
+    run = "[A-Za-z0-9+/_=-]{20,}"
+    kinds = ((0, assign), (1, secrets.ACCESS), (2, secrets.HEX), (9, run))
+    found = "\n    UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, regexp_extract_all(t, '{p}') AS said, "
+        f"string_split_regex(t, '{p}') AS between FROM d WHERE regexp_matches(t, '{p}')"
+        for rank, p in kinds
+    )
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in secrets.ALLOWED)
+    said = "list_extract(['{}'], rank + 1)".format("', '".join(secrets.KINDS))
+    spelled = f"string_agg({said} || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    window = secrets.WINDOW
+    return f"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+    {found}
+), e AS (
+    SELECT doc_id, rank, unnest(said) AS s, unnest(between[1:len(said)]) AS b,
+           generate_subscripts(said, 1) AS n
+    FROM m
+), p AS (
+    SELECT doc_id, rank, s,
+           sum(length(b)) OVER before + sum(length(s)) OVER before - length(s) AS start
+    FROM e WINDOW before AS (PARTITION BY doc_id, rank ORDER BY n)
+), base AS (
+    SELECT doc_id, rank, start AS a, start + length(s) AS b FROM p
+    WHERE rank < 3 AND (rank > 0 OR length(regexp_extract(s, '{assign}', 2)) >= {secrets.MIN_VALUE})
+), w AS (
+    SELECT doc_id, start, i, substr(s, CAST(i + 1 AS INTEGER), {window}) AS w
+    FROM (SELECT doc_id, start, s, unnest(generate_series(0, length(s) - {window})) AS i
+          FROM p WHERE rank = 9 AND regexp_matches(s, '[0-9]') AND NOT ({allowed}))
+), h AS (
+    SELECT doc_id, start, i, 3 AS rank FROM w
+    WHERE regexp_full_match(w, '[0-9A-Fa-f]+')
+      AND list_entropy(string_split(w, '')) >= {secrets.HEX_LIMIT}
+    UNION ALL
+    SELECT doc_id, start, i, 4 AS rank FROM w
+    WHERE length(regexp_replace(w, '[^0-9]', '', 'g')) >= 2
+      AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]')
+      AND list_entropy(string_split(w, '')) >= {secrets.MIXED_LIMIT}
+), g AS (
+    SELECT *, coalesce(i - lag(i) OVER o > {window}, TRUE) AS opens
+    FROM h WINDOW o AS (PARTITION BY doc_id, start, rank ORDER BY i)
+), isles AS (
+    SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id, start, rank ORDER BY i) AS isle
+    FROM g
+), added AS (
+    SELECT doc_id, rank, start + min(i) AS a, start + max(i) + {window} AS b
+    FROM isles GROUP BY doc_id, start, rank, isle
+), spans AS (
+    SELECT * FROM base
+    UNION ALL
+    SELECT * FROM added AS x WHERE NOT EXISTS (
+        SELECT * FROM base AS y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND x.b <= y.b)
+), r AS (
+    SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign,
+           count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+           {spelled} FILTER (WHERE rank < 3) AS base_said, {spelled} AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_said, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL,
         "op5_topk": OP5_SQL,
         "op7_mixing": OP7_SQL,
+        "op8_sharding": _op8_sql(),
+        "op9_secrets": _op9_sql(),
     }
