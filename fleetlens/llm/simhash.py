@@ -236,9 +236,13 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the least by key (nulls last), then by a hash of its text."""
-    found = near_duplicates(docs.select(key, text), key, text)
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates
+) -> DataFrame:
+    """One row of each component: the least by key (nulls last), then by a hash of its text.
+
+    `find` takes (docs, key, text) and gives key, text_hash and root of each row."""
+    found = find(docs.select(key, text), key, text)
     order = F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("id"), "text_hash")
     best = (
         found.groupBy("root")

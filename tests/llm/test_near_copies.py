@@ -1,0 +1,75 @@
+"""Near copies of the pipeline's stage against all pairs by five-word shingles."""
+
+import random
+import re
+
+import pytest
+from tests.llm.conftest import DOCS, odd_rows
+from tests.llm.test_simhash import plain_components
+
+import corpus_pipeline
+from fleetlens.llm import near_copies, simhash
+
+
+def plain_set(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    n = min(5, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()
+
+
+def plain_alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def plain_kept(rows):
+    """The least id of each component of near copies."""
+    sets = [(i, plain_set(t)) for i, t in rows]
+    root = plain_components(range(len(sets)), lambda a, b: plain_alike(sets[a][1], sets[b][1]))
+    return sorted({min(sets[n][0] for n in root if root[n] == r) for r in set(root.values())})
+
+
+def edited(draw, words, n):
+    words = list(words)
+    for at in draw.sample(range(len(words)), n):
+        words[at] = f"x{draw.randrange(10**6)}"
+    return words
+
+
+def corpus():
+    """Texts with 0 to 9 of 100 words replaced (similarity 0.35 to 1), and small ones."""
+    draw, rows = random.Random(5), []
+    for group in range(30):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+        for n in (0, *range(10)):
+            rows.append((len(rows), " ".join(edited(draw, words, n))))
+    return [*rows, (9000, ""), (9001, None), (9002, " \n"), (9003, "One two"), (9004, "one  two")]
+
+
+def test_stage_removes_near_copies_and_nothing_else(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], DOCS)
+    kept = sorted(r[0] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == plain_kept(rows)
+    by_bits = sorted(r[0] for r in simhash.keep_one(docs).collect())
+    assert by_bits != kept  # the rule of op1 is another one
+
+
+@pytest.mark.parametrize("bound", [4096, 70])
+def test_large_groups(spark, bound):
+    """Over 64 sets of one key, and keys over the bound."""
+    draw = random.Random(bound)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(edited(draw, words, draw.choice([1, 2])))) for i in range(300)]
+    rows += [(1000 + i, f"text number {i} " + " ".join(f"v{i}x{k}" for k in range(30))) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], DOCS)
+    found = simhash.keep_one(docs, find=lambda d, k, t: near_copies.near_copies(d, k, t, bound))
+    assert sorted(r[0] for r in found.collect()) == plain_kept(rows)
+
+
+def test_odd_and_empty(spark, odd, empty):
+    assert near_copies.near_copies(empty).count() == 0
+    found = near_copies.near_copies(odd)
+    assert found.count() == len(odd_rows())
+    sets = {plain_set(r[1]) for r in odd_rows()}
+    assert len({r["print"] for r in found.collect()}) == len(sets)
