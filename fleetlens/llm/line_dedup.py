@@ -21,9 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.columns import word_count
 from fleetlens.sources.checkpoints import written_table
 
-MIN_SITES = 10
+#: Sites from which a line is boilerplate unless told otherwise: lines of many words hardly
+#: recur by chance, shorter ones need more sites.
+LONG_SITES, SHORT_SITES = 3, 5
+LONG_WORDS = 8
 MIN_CHARS = 20
 SKETCH_BITS = 12  # standard error 1.04 / sqrt(2^12) = 1.6 %
 NEAR = 0.065  # four standard errors
@@ -37,8 +41,11 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _keyed_lines(docs: DataFrame, key: str, text: str, site: str, min_chars: int) -> DataFrame:
-    """One row per line that is long enough: key, site, place, and its row's two keys."""
+def _keyed_lines(
+    docs: DataFrame, key: str, text: str, site: str, min_chars: int, graded: bool
+) -> DataFrame:
+    """One row per line that is long enough: key, site, place, its row's two keys, and if
+    graded the sites from which it is boilerplate."""
     lines = docs.select(
         F.col(key).alias("id"),
         F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"),
@@ -51,9 +58,14 @@ def _keyed_lines(docs: DataFrame, key: str, text: str, site: str, min_chars: int
         F.struct(F.col("id").isNull().alias("unknown"), "id", "pos").alias("place"),
         "row_a",
         "row_b",
+        *([_limit(F.col("line")).alias("limit")] if graded else []),
     )
 
 
+def _limit(line: Column) -> Column:
+    return F.when(word_count(line) >= LONG_WORDS, LONG_SITES).otherwise(SHORT_SITES)
+
+
 def _row_keys(key: str, text: str) -> list[Column]:
     return [
         F.xxhash64(F.lit(0), key, text).alias("row_a"),
@@ -61,30 +73,35 @@ def _row_keys(key: str, text: str) -> list[Column]:
     ]
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(line, place): keys of lines on at least min_sites sites, with their first place."""
-    margin = max(1.0, NEAR * min_sites)
+def boilerplate_lines(lines: DataFrame, min_sites: int | None) -> DataFrame:
+    """(line, place): keys of lines on at least min_sites sites, or their own limit if that is
+    None, with their first place."""
+    graded = min_sites is None
+    limit = F.col("limit") if graded else F.lit(min_sites)
+    margin = max(1.0, NEAR * (SHORT_SITES if graded else min_sites))
     spread = written_table(
         lines.groupBy("line")
         .agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"),
             F.min("place").alias("place"),
+            *([F.max("limit").alias("limit")] if graded else []),
         )
-        .filter(F.col("sites") >= min_sites - margin)
+        .filter(F.col("sites") >= limit - margin)
     )
-    near = spread.filter(F.col("sites") <= min_sites + margin)
+    near = spread.filter(F.col("sites") <= limit + margin)
     counted = (
         lines.join(near.select("line"), "line", "left_semi")
         .groupBy("line", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("line")
         .agg(F.count("one").alias("exact"))
-        .filter(F.col("exact") >= min_sites)
     )
     return written_table(
-        spread.filter(F.col("sites") > min_sites + margin)
+        spread.filter(F.col("sites") > limit + margin)
         .select("line", "place")
-        .unionByName(near.join(counted, "line").select("line", "place"))
+        .unionByName(
+            near.join(counted, "line").filter(F.col("exact") >= limit).select("line", "place")
+        )
     )
 
 
@@ -93,12 +110,14 @@ def remove_boilerplate(
     key: str = "doc_id",
     text: str = "text",
     site: str = "source",
-    min_sites: int = MIN_SITES,
+    min_sites: int | None = None,
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """Every row as `row` (a struct of its columns) with the cleaned `text`, `n_lines` and
-    `n_removed`."""
-    lines = _keyed_lines(docs, key, text, site, min_chars)
+    `n_removed`.
+
+    min_sites None: LONG_SITES for lines of LONG_WORDS words and more, SHORT_SITES for others."""
+    lines = _keyed_lines(docs, key, text, site, min_chars, min_sites is None)
     known = boilerplate_lines(lines, min_sites).withColumnRenamed("place", "first")
     # Per row the boilerplate keys it holds, and where one of them may stay.
     here = F.col("place.id").eqNullSafe(F.col("first.id"))

@@ -52,7 +52,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    rows = line_dedup.remove_boilerplate(docs, min_sites=10)  # as its SQL says
     return rows.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
