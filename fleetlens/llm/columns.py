@@ -22,3 +22,8 @@ def word_count(text: str | Column) -> Column:
 def hex_number(digits: Column) -> Column:
     """A string of hex digits as a long."""
     return F.conv(digits, 16, 10).cast("long")
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, edit_fingerprint, line_dedup, mixing, quality, secrets, sharding, simhash, topk, toxicity
+from fleetlens.llm import (
+    bpe,
+    edit_fingerprint,
+    line_dedup,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+)
 from fleetlens.llm.labelled import remainder
 
 #: Scores from which a document is called toxic, or good, by the contract.
 TOXIC = GOOD = 0.3
+#: Tokens that a document may have before it counts as too long.
+TOKEN_LIMIT = 4096
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,11 +103,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that the token query and the pipeline use."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file; by default the one that op10 and the pipeline use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +118,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = token_counts.prefix_tables(
+        _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    )
+    return tables.select(
+        "doc_id",
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+        token_counts.longest_within("prefix_table", F.lit(TOKEN_LIMIT)).alias("fit_chars"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -116,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "op13_token_counts": op13_token_counts,
     }
 
 
