@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
+    alignment,
     bpe,
     edit_fingerprint,
     line_dedup,
@@ -118,6 +119,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_scores(
+        _table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = token_counts.prefix_tables(
         _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
@@ -143,6 +152,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "op11_alignment": op11_alignment,
         "op13_token_counts": op13_token_counts,
     }
 
