@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from fleetlens.llm import (
     bpe,
     edit_fingerprint,
     line_dedup,
+    merkle,
     mixing,
     quality,
     secrets,
@@ -127,6 +129,28 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    manifest = merkle.build(
+        merkle.with_leaves(docs, {"text": lowered}, remainder("doc_id", 3) == 0)
+    )
+    asked = manifest.leaves.select("group", "rank", "key", "leaf", "altered_leaf")
+    proofs = merkle.prove(manifest, asked)
+    subroots = manifest.groups.select("group", F.col("digest").alias("subroot"))
+    top = manifest.tops.first()  # one digest
+    root = F.lit(top["digest"] if top else None).cast("binary").alias("root")
+    rows = proofs.join(subroots, "group").select("*", root)
+    again = merkle.folded(F.coalesce("altered_leaf", "leaf"), "path")
+    return rows.withColumn("again", again).select(
+        F.col("key").alias("doc_id"),
+        *(merkle.shown(c).alias(c) for c in ("leaf", "subroot", "root")),
+        merkle.shown(merkle.proof_digest("path")).alias("proof_sha256"),
+        merkle.shown("again").alias("folded_root"),
+        (F.col("again") == F.col("root")).alias("verified"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = token_counts.prefix_tables(
         _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
@@ -153,6 +177,7 @@ def queries() -> dict[str, Query]:
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
         "op11_alignment": op11_alignment,
+        "op12_merkle": op12_merkle,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -245,6 +270,22 @@ JOIN n ON d.source IS NOT DISTINCT FROM n.source
 """
 
 
+_CRC_STEPS = """crc AS (
+    SELECT list(list_reduce(range(8), lambda c, b:
+               CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps
+    FROM (SELECT unnest(range(256)) AS n)
+)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, byte by byte, where `crc` is joined."""
+    return f"""xor(list_reduce(
+               list_transform(regexp_extract_all(hex(encode({text})), '..'),
+                              lambda h: CAST('0x' || h AS BIGINT)),
+               lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)),
+               4294967295)"""
+
+
 def _op8_sql(shards: int = 8) -> str:
     """Every capacity from the least thinkable up is tried; CRC-32 goes byte by byte."""
     steps, columns = [], ""
@@ -262,17 +303,9 @@ def _op8_sql(shards: int = 8) -> str:
     return f"""
 WITH RECURSIVE d AS (
     SELECT doc_id, coalesce(text, '') AS t FROM documents
-), crc AS (
-    SELECT list(list_reduce(range(8), lambda c, b:
-               CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps
-    FROM (SELECT unnest(range(256)) AS n)
-), r AS (
+), {_CRC_STEPS}, r AS (
     SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, md5(t) AS g,
-           xor(list_reduce(
-               list_transform(regexp_extract_all(hex(encode(t)), '..'),
-                              lambda h: CAST('0x' || h AS BIGINT)),
-               lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)),
-               4294967295) AS text_crc32
+           {_crc32("t")} AS text_crc32
     FROM d CROSS JOIN crc
 ), gr AS (
     SELECT g, CAST(sum(size) AS BIGINT) AS n FROM r GROUP BY g
@@ -387,6 +420,71 @@ FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """
 
 
+def _op12_sql() -> str:
+    """Level by level with string_agg over runs; every path is folded with its text."""
+
+    def field(name: str) -> str:
+        said = f"CAST({name} AS VARCHAR)"
+        return f"coalesce(octet_length(encode({said})) || ':' || {said}, '-')"
+
+    def leaf(text: str) -> str:
+        names = ("doc_id", "source", "lang", "n_chars", text)
+        return f"sha256({' || '.join(map(field, names))})"
+
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH RECURSIVE {_CRC_STEPS}, f AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS leaf,
+           CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lowered)} END AS other
+    FROM documents CROSS JOIN crc
+), l AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+           count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS id
+    FROM f
+), up AS (
+    SELECT g, 0 AS lvl, rank, leaf AS digest, n FROM l
+    UNION ALL
+    SELECT g, lvl + 1, rank // {merkle.FAN_OUT}, sha256(string_agg(digest, '' ORDER BY rank)),
+           (n + {merkle.FAN_OUT - 1}) // {merkle.FAN_OUT}
+    FROM up WHERE n > 1 GROUP BY g, lvl, rank // {merkle.FAN_OUT}, n
+), s AS (
+    SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS rank,
+           count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+    SELECT '' AS g, 0 AS lvl, rank, subroot AS digest, n FROM s
+    UNION ALL
+    SELECT g, lvl + 1, rank // {merkle.FAN_OUT}, sha256(string_agg(digest, '' ORDER BY rank)),
+           (n + {merkle.FAN_OUT - 1}) // {merkle.FAN_OUT}
+    FROM top WHERE n > 1 GROUP BY g, lvl, rank // {merkle.FAN_OUT}, n
+), beside AS (
+    SELECT part, g, lvl, rank,
+           coalesce(string_agg(digest, '') OVER (PARTITION BY part, g, lvl, rank // {merkle.FAN_OUT}
+               ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+           coalesce(string_agg(digest, '') OVER (PARTITION BY part, g, lvl, rank // {merkle.FAN_OUT}
+               ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+    FROM (SELECT 1 AS part, * FROM up UNION ALL SELECT 2, * FROM top) WHERE n > 1
+), w AS (
+    SELECT id, g, 0 AS lvl, rank, coalesce(other, leaf) AS digest, '' AS proof FROM l
+    UNION ALL
+    SELECT id, w.g, w.lvl + 1, w.rank // {merkle.FAN_OUT}, sha256(lft || digest || rgt),
+           proof || lft || rgt
+    FROM w JOIN beside b ON part = 1 AND b.g = w.g AND b.lvl = w.lvl AND b.rank = w.rank
+), v AS (
+    SELECT id, 0 AS lvl, s.rank, digest, proof
+    FROM (SELECT id, g, arg_max(digest, lvl) AS digest, arg_max(proof, lvl) AS proof
+          FROM w GROUP BY id, g) x JOIN s ON s.g = x.g
+    UNION ALL
+    SELECT id, v.lvl + 1, v.rank // {merkle.FAN_OUT}, sha256(lft || digest || rgt), proof || lft || rgt
+    FROM v JOIN beside b ON part = 2 AND b.lvl = v.lvl AND b.rank = v.rank
+), e AS (
+    SELECT id, arg_max(digest, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM v GROUP BY id
+)
+SELECT l.doc_id, leaf, subroot, top.digest AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = top.digest AS verified
+FROM l JOIN e ON e.id = l.id JOIN s ON s.g = l.g JOIN top ON top.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL,
@@ -394,4 +492,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": OP7_SQL,
         "op8_sharding": _op8_sql(),
         "op9_secrets": _op9_sql(),
+        "op12_merkle": _op12_sql(),
     }
