@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, line_dedup, mixing, near_copies, simhash, toxicity
+from fleetlens.llm import bpe, line_dedup, mixing, simhash, toxicity
 from fleetlens.llm.labelled import remainder
 from fleetlens.llm.queries import TOXIC, tokenizer_path
 from fleetlens.sources.checkpoints import written_table
@@ -31,8 +31,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    return simhash.keep_one(docs, find=near_copies.near_copies)
+    """One document of each group of near copies: 3-word shingles, three bits at most."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
