@@ -209,11 +209,11 @@ OP5_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0
+    WHERE embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id
     WHERE q.vec_id % 100 = 0
 ), r AS (
@@ -353,8 +353,7 @@ def _op9_sql() -> str:
         rf"({names}|{_either_case('api')}_?{_either_case('key')})"
         r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     ).replace("'", "''")
-    run = "[A-Za-z0-9+/_=-]{20,}"
-    kinds = ((0, assign), (1, secrets.ACCESS), (2, secrets.HEX), (9, run))
+    kinds = ((0, assign), (1, secrets.ACCESS), (2, secrets.HEX), (9, secrets.CANDIDATE))
     found = "\n    UNION ALL ".join(
         f"SELECT doc_id, {rank} AS rank, regexp_extract_all(t, '{p}') AS said, "
         f"string_split_regex(t, '{p}') AS between FROM d WHERE regexp_matches(t, '{p}')"
@@ -383,16 +382,28 @@ WITH d AS (
 ), w AS (
     SELECT doc_id, start, i, substr(s, CAST(i + 1 AS INTEGER), {window}) AS w
     FROM (SELECT doc_id, start, s, unnest(generate_series(0, length(s) - {window})) AS i
-          FROM p WHERE rank = 9 AND regexp_matches(s, '[0-9]') AND NOT ({allowed}))
+          FROM p WHERE rank = 9 AND NOT ({allowed}))
+), c AS (
+    SELECT doc_id, start, i, list_entropy(string_split(w, '')) AS h,
+           length(regexp_replace(w, '[^A-Z]', '', 'g')) AS up,
+           length(regexp_replace(w, '[^a-z]', '', 'g')) AS low,
+           length(regexp_replace(w, '[^0-9]', '', 'g')) AS dig,
+           regexp_full_match(w, '[0-9A-Fa-f]+') AS hex
+    FROM w WHERE NOT regexp_matches(w, '{secrets.ALLOWED_INSIDE}')
 ), h AS (
-    SELECT doc_id, start, i, 3 AS rank FROM w
-    WHERE regexp_full_match(w, '[0-9A-Fa-f]+')
-      AND list_entropy(string_split(w, '')) >= {secrets.HEX_LIMIT}
+    SELECT doc_id, start, i, 3 AS rank FROM c WHERE hex AND h >= {secrets.HEX_LIMIT}
+    UNION ALL
+    SELECT doc_id, start, i, 4 AS rank FROM c
+    WHERE dig >= 2 AND up >= 1 AND low >= 1 AND h >= {secrets.MIXED_LIMIT}
+    UNION ALL
+    SELECT doc_id, start, i, 5 AS rank FROM c
+    WHERE NOT hex AND low + dig = {window} AND low >= 4 AND dig >= 4 AND h >= {secrets.ONE_CASE_LIMIT}
+    UNION ALL
+    SELECT doc_id, start, i, 6 AS rank FROM c
+    WHERE NOT hex AND up + dig = {window} AND up >= 4 AND dig >= 4 AND h >= {secrets.ONE_CASE_LIMIT}
     UNION ALL
-    SELECT doc_id, start, i, 4 AS rank FROM w
-    WHERE length(regexp_replace(w, '[^0-9]', '', 'g')) >= 2
-      AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]')
-      AND list_entropy(string_split(w, '')) >= {secrets.MIXED_LIMIT}
+    SELECT doc_id, start, i, 7 AS rank FROM c
+    WHERE up + low = {window} AND up >= 5 AND low >= 5 AND h >= {secrets.LETTERS_LIMIT}
 ), g AS (
     SELECT *, coalesce(i - lag(i) OVER o > {window}, TRUE) AS opens
     FROM h WINDOW o AS (PARTITION BY doc_id, start, rank ORDER BY i)

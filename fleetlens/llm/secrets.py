@@ -3,14 +3,22 @@
 Three base kinds are found by pattern, leftmost and without overlap: assignments to names
 like password, access key ids, and long lower-case hex strings.
 
-Further spans come from candidate strings: runs of 20 and more token characters with a
-digit among them.  A window of 20 characters slides over a candidate.  Its Shannon entropy
-is kept by incremental counts: with f(c) = c log2 c, a character that enters with count c
-in the window adds f(c) - f(c - 1) to the sum of f over the window's characters, one that
-leaves takes the same off, and entropy = log2(20) - sum / 20.  Windows of one character
-class whose entropy reaches the class's limit are kept, and those that touch are merged.
-Candidates that an allow list knows (documented examples, UUIDs, counting sequences, digests
-of the empty text, names made of words) are passed over; so are spans inside a base span.
+Further spans come from candidate strings: runs of 20 and more token characters.  A window of
+20 characters slides over a candidate.  Its Shannon entropy is kept by incremental counts: a
+character that enters with count c in the window adds f(c) - f(c - 1) to the sum of f(c) =
+c log2 c over its characters, one that leaves takes the same off, and entropy = log2(20) -
+sum / 20.  The counts are five bits wide, twelve to a long, so a step is a few sums; those of
+capitals, small letters, digits and hex digits are kept alike.  Each class of characters has
+its own limit.  Windows that reach it are kept, and those that touch are merged.
+
+The allow list has two parts.  Names made of letters that end in a number and digests of the
+empty text are passed over as whole candidates.  Windows that hold a documented example or a
+counting sequence are passed over alone, so what stands beside them is still seen.  Spans
+inside a base span are passed over too.
+
+A candidate is cut into pieces of 60 window starts, each with the 19 characters after them,
+and a window's bit is set in its piece's masks; matches are numbered in blocks.  Cost grows
+with the length of a text, also of one that is a single candidate.
 
 Everything is a column expression inside the scan: no Python, no shuffle.  Positions are
 code points; the text between matches comes from splitting at the same pattern.
@@ -39,48 +47,84 @@ HEX = r"[0-9a-f]{24,}"
 MIN_VALUE = 6  # characters of an assigned value
 
 WINDOW = 20
-_TOKEN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z+/_=-]*[0-9]){_TOKEN}{{{WINDOW},}}"
-#: Least entropy in bits by class: hexadecimal digits, and letters of both cases with digits.
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PIECE = 60  # window starts of a piece: bits of a mask
+#: Least entropy in bits by class: hexadecimal digits; letters of both cases with digits; letters
+#: of one case with digits; letters of both cases alone.
 HEX_LIMIT = 3.0
 MIXED_LIMIT = 3.7
-#: Candidates that hold one of these are passed over.
+ONE_CASE_LIMIT = 3.6
+LETTERS_LIMIT = 3.9
+#: Candidates of this form are passed over.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|x{8}|0{8}",
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|abcdefghij|1234567890",
+    r"^[A-Za-z]{2}[A-Za-z/_=+-]*[0-9]{1,4}$",
     r"(?i)^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709"
     r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",
-    r"^[A-Za-z]{2,}([-_/=+]+[A-Za-z]+)*[-_/=+]*[0-9]{1,4}$",
+)
+#: Windows that hold one of these are passed over.
+ALLOWED_INSIDE = (
+    r"(?i)example|sample|dummy|placeholder|changeme|x{8}|0{8}"
+    r"|0123456789|1234567890|abcdefghij"
 )
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "entropy_hex", "entropy_mixed")
+ADDED_KINDS = ("entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters")
+KINDS = (*BASE_KINDS, *ADDED_KINDS)
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Matches as an array of (said, start, end), or null where there are none."""
+    """Matches as an array of (said, start, end), or null where there are none.
+
+    Ends add up block by block, so that no array grows by single matches beyond a block."""
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    one = "struct<said:string,start:int,end:int>"
+
+    def place(block: Column, offset: Column) -> Column:
+        def add(found: Column, pair: Column) -> Column:
+            start = found["at"] + F.char_length(pair["between"])
+            end = start + F.char_length(pair["said"])
+            match = F.struct(pair["said"].alias("said"), start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.concat(found["all"], F.array(match)).alias("all"))
+
+        start = F.struct(offset.alias("at"), F.array().cast(f"array<{one}>").alias("all"))
+        return F.aggregate(block, start, add, lambda found: found["all"])
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(
+            blocks,
+            lambda b: F.aggregate(
+                b, F.lit(0), lambda n, p: n + F.char_length(p["between"]) + F.char_length(p["said"])
+            ),
+        )
+        offsets = F.aggregate(
+            sizes,
+            F.array(F.lit(0)),
+            lambda all_, n: F.concat(all_, F.array(F.element_at(all_, -1) + n)),
+        )
+        return _let(
+            offsets, lambda o: F.flatten(F.transform(blocks, lambda b, i: place(b, F.get(o, i))))
+        )
 
-    def add(found: Column, pair: Column) -> Column:
-        start = found["at"] + F.char_length(pair["between"])
-        end = start + F.char_length(pair["said"])
-        one = F.struct(pair["said"].alias("said"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(found["all"], F.array(one)).alias("all"))
+    def in_blocks(pairs: Column) -> Column:
+        # About as many blocks as there are matches in a block.
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(pairs))).cast("int"))
+        starts = F.sequence(F.lit(1), F.size(pairs), size)
+        return F.transform(starts, lambda n: F.slice(pairs, n, size))
 
     pairs = F.zip_with(
         said,
-        F.slice(between, F.lit(1), F.size(said)),
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(said)),
         lambda s, b: F.struct(s.alias("said"), b.alias("between")),
     )
-    none = F.lit(None).cast("array<struct<said:string,start:int,end:int>>")
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<said:string,start:int,end:int>>").alias("all"),
-    )
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add)["all"]).otherwise(none)
+    found = _let(pairs, lambda p: _let(in_blocks(p), placed))
+    return F.when(text.rlike(pattern), found).otherwise(F.lit(None).cast(f"array<{one}>"))
 
 
 def _spans(matches: Column, kind: str, holds: Callable[[Column], Column] | None = None) -> Column:
@@ -95,103 +139,184 @@ def _spans(matches: Column, kind: str, holds: Callable[[Column], Column] | None
     return F.coalesce(spans, F.array().cast(_SPANS))
 
 
-def _term(count: Column) -> Column:
-    """c log2 c for a count of a character in a window."""
-    return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(0.0)
+# Tables by code (place in _ALPHABET) and by count, as literal arrays.
+
 
+def _table(values: list) -> Column:
+    return F.array(*map(F.lit, values))
 
-def _occurs(window: Column, char: Column) -> Column:
-    return F.char_length(window) - F.char_length(F.replace(window, char, F.lit("")))
 
+_PER_LONG, _BITS = 12, 5  # counts of up to 20 in a long
+_CODES = range(len(_ALPHABET))
+_LONGS = -(-len(_ALPHABET) // _PER_LONG)
 
-def _windows(said: Column, kind: str) -> Column:
-    """Merged spans inside a candidate whose windows are of the class and have its entropy.
 
-    The fold carries the sum of c log2 c and the number of characters of each sort in the
-    window, the span that is open, and the finished ones."""
-    is_hex = kind == "entropy_hex"
-    limit = HEX_LIMIT if is_hex else MIXED_LIMIT
-    sorts = {"hex": "[0-9A-Fa-f]", "digit": "[0-9]", "upper": "[A-Z]", "lower": "[a-z]"}
+def _sort(c: str) -> int:
+    """One for each sort that the character is of, a byte apart."""
+    sorts = (c.isupper(), c.islower(), c.isdigit(), c in "0123456789abcdefABCDEF")
+    return sum(int(hit) << 8 * i for i, hit in enumerate(sorts))
+
+
+def _masks(codes: Column) -> Column:
+    """Per added kind the window starts, as bits, of a piece given as an array of codes."""
+    ones = _table([1 << _BITS * (i % _PER_LONG) for i in _CODES])
+    place = _table([i // _PER_LONG for i in _CODES])
+    sort = _table([_sort(c) for c in _ALPHABET])
+    # What a character adds when its count becomes c, and a window's bit.
+    steps = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
+    gain = _table([0.0, *(b - a for a, b in zip(steps, steps[1:], strict=False))])
+    bits = _table([1 << i for i in range(PIECE)])
 
     def step(state: Column, i: Column) -> Column:
-        enters = F.substring(said, i + 1, F.lit(1))
-        # After entering: the window that ends here; before leaving: the one before it.
-        start = F.greatest(i - WINDOW + 1, F.lit(0))
-        window = F.substring(said, start + 1, i - start + 1)
-        gained = _occurs(window, enters)
-        full = i >= WINDOW
-        leaves = F.when(full, F.substring(said, i - WINDOW + 1, F.lit(1))).otherwise("")
-        before = F.substring(said, F.greatest(i - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
-        lost = F.when(full, _occurs(before, leaves)).otherwise(0)
+        enters = F.get(codes, i)
+        leaves = F.when(i >= WINDOW, F.get(codes, i - WINDOW))
+
+        def count(code: Column) -> Column:
+            held = F.get(state["counts"], F.get(place, code))
+            return F.call_function("div", held, F.get(ones, code)) % (1 << _BITS)
+
+        same = F.coalesce((leaves == enters).cast("int"), F.lit(0))
         total = (
-            state["sum"] - (_term(lost) - _term(lost - 1)) + (_term(gained) - _term(gained - 1))
+            state["sum"]
+            + F.get(gain, (count(enters) - same + 1).cast("int"))
+            - F.coalesce(F.get(gain, count(leaves).cast("int")), F.lit(0.0))
         )
-        counts = {
-            name: state[name]
-            + enters.rlike(chars).cast("int")
-            - leaves.rlike(chars).cast("int")
-            for name, chars in sorts.items()
-        }
-        entropy = math.log2(WINDOW) - total / WINDOW
-        of_class = (
-            counts["hex"] == WINDOW
-            if is_hex
-            else (counts["digit"] >= 2) & (counts["upper"] >= 1) & (counts["lower"] >= 1)
+        counts = F.transform(
+            state["counts"],
+            lambda held, at: held
+            + F.when(F.get(place, enters) == at, F.get(ones, enters)).otherwise(0)
+            - F.when(F.get(place, leaves) == at, F.get(ones, leaves)).otherwise(0),
         )
-        hit = (i >= WINDOW - 1) & of_class & (entropy >= limit)
-        # A window that does not touch the open span closes it.
-        touches = start <= state["open"]["end"]
-        opened = F.struct(
-            F.when(touches, state["open"]["start"]).otherwise(start).alias("start"),
-            (i + 1).alias("end"),
+        sorts = state["sorts"] + F.get(sort, enters) - F.coalesce(F.get(sort, leaves), F.lit(0))
+        # Bounds that several classes share are computed once.
+        known = F.struct(
+            (math.log2(WINDOW) - total / WINDOW).alias("entropy"),
+            *(
+                (F.call_function("div", sorts, F.lit(1 << 8 * n)) % 256).alias(name)
+                for n, name in enumerate(("upper", "lower", "digit", "hex"))
+            ),
+        )
+        hits = _let(known, _classes)
+        bit = F.get(bits, i - (WINDOW - 1))
+        masks = F.zip_with(
+            state["masks"], hits, lambda mask, hit: mask + F.when(hit, bit).otherwise(0)
         )
-        closed = F.when(
-            hit & ~touches & (state["open"]["end"] > 0),
-            F.concat(state["done"], F.array(state["open"])),
-        ).otherwise(state["done"])
         return F.struct(
             total.alias("sum"),
-            *(counts[name].alias(name) for name in sorts),
-            F.when(hit, opened).otherwise(state["open"]).alias("open"),
-            closed.alias("done"),
+            counts.alias("counts"),
+            sorts.alias("sorts"),
+            F.when(i >= WINDOW - 1, masks).otherwise(state["masks"]).alias("masks"),
         )
 
-    pair = "struct<start:int,end:int>"
+    longs = "array<bigint>"
     first = F.struct(
         F.lit(0.0).alias("sum"),
-        *(F.lit(0).alias(name) for name in sorts),
-        F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")).cast(pair).alias("open"),
-        F.array().cast(f"array<{pair}>").alias("done"),
+        F.array_repeat(F.lit(0), _LONGS).cast(longs).alias("counts"),
+        F.lit(0).cast("long").alias("sorts"),
+        F.array_repeat(F.lit(0), len(ADDED_KINDS)).cast(longs).alias("masks"),
+    )
+    places = F.sequence(F.lit(0), F.size(codes) - 1)
+    return F.aggregate(places, first, step, lambda s: s["masks"])
+
+
+def _classes(w: Column) -> Column:
+    """Which of the added kinds a window is, by its counts and its entropy."""
+    not_hex = w["hex"] < WINDOW
+    return F.array(
+        (w["hex"] == WINDOW) & (w["entropy"] >= HEX_LIMIT),
+        (w["digit"] >= 2) & (w["upper"] >= 1) & (w["lower"] >= 1) & (w["entropy"] >= MIXED_LIMIT),
+        *(
+            not_hex
+            & (w[case] + w["digit"] == WINDOW)
+            & (F.least(w[case], w["digit"]) >= 4)
+            & (w["entropy"] >= ONE_CASE_LIMIT)
+            for case in ("lower", "upper")
+        ),
+        (w["upper"] + w["lower"] == WINDOW)
+        & (F.least(w["upper"], w["lower"]) >= 5)
+        & (w["entropy"] >= LETTERS_LIMIT),
+    )
+
+
+def _pieces(said: Column) -> Column:
+    """(text, masks) per piece of a candidate, in order."""
+
+    def piece(parts: Column) -> Column:
+        def one(part: Column, n: Column) -> Column:
+            after = F.substring(F.coalesce(F.get(parts, n + 1), F.lit("")), 1, WINDOW - 1)
+            return F.concat(part, after)
+
+        def masked(text: Column) -> Column:
+            codes = F.transform(
+                F.split(text, "", -1), lambda c: F.instr(F.lit(_ALPHABET), c) - 1
+            )
+            # A split at nothing may end in an empty string, whose code is no code.
+            codes = F.slice(codes, F.lit(1), F.char_length(text))
+            return F.struct(text.alias("text"), _let(codes, _masks).alias("masks"))
+
+        return F.transform(F.transform(parts, one), masked)
+
+    return _let(F.regexp_extract_all(said, F.lit(f".{{1,{PIECE}}}"), F.lit(0)), piece)
+
+
+def _merged(starts: Column) -> Column:
+    """(start, end) of touching windows that begin at ascending starts."""
+    opens = F.filter(
+        starts, lambda s, i: (i == 0) | (s > F.get(starts, i - 1) + WINDOW)
     )
-    places = F.sequence(F.lit(0), F.char_length(said) - 1)
-    return F.aggregate(
-        places,
-        first,
-        step,
-        lambda s: F.when(
-            s["open"]["end"] > 0, F.concat(s["done"], F.array(s["open"]))
-        ).otherwise(s["done"]),
+    ends = F.filter(
+        starts, lambda s, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > s + WINDOW)
     )
+    return F.zip_with(
+        opens, ends, lambda a, b: F.struct(a.alias("start"), (b + WINDOW).alias("end"))
+    )
+
 
+def _windows(pieces: Column, kind: str) -> Column:
+    """Merged spans of a kind in a candidate's pieces; the allow list is asked per window."""
+    n = ADDED_KINDS.index(kind)
+    bits = _table([1 << i for i in range(PIECE)])
 
-def _entropy_spans(candidates: Column, kind: str) -> Column:
+    def starts(piece: Column, place: Column) -> Column:
+        mask = F.get(piece["masks"], F.lit(n))
+        hit = F.filter(
+            F.sequence(F.lit(0), F.lit(PIECE - 1)),
+            lambda i: (F.call_function("div", mask, F.get(bits, i)) % 2 == 1)
+            & ~F.substring(piece["text"], i + 1, F.lit(WINDOW)).rlike(ALLOWED_INSIDE),
+        )
+        return F.when(mask != 0, F.transform(hit, lambda i: place * PIECE + i)).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    return _let(F.flatten(F.transform(pieces, starts)), _merged)
+
+
+def _entropy_spans(candidates: Column) -> Column:
     def allowed(said: Column) -> Column:
         out = F.lit(False)
         for pattern in ALLOWED:
             out = out | said.rlike(pattern)
         return out
 
-    found = F.transform(
-        F.filter(candidates, lambda m: ~allowed(m["said"])),
-        lambda m: F.transform(
-            _windows(m["said"], kind),
-            lambda w: F.struct(
-                (m["start"] + w["start"]).alias("start"),
-                F.lit(KINDS.index(kind)).alias("rank"),
-                (m["start"] + w["end"]).alias("end"),
-            ),
-        ),
-    )
+    def spans(match: Column) -> Column:
+        def of_kinds(pieces: Column) -> Column:
+            return F.concat(
+                *(
+                    F.transform(
+                        _windows(pieces, kind),
+                        lambda w: F.struct(
+                            (match["start"] + w["start"]).alias("start"),
+                            F.lit(KINDS.index(kind)).alias("rank"),  # noqa: B023
+                            (match["start"] + w["end"]).alias("end"),
+                        ),
+                    )
+                    for kind in ADDED_KINDS
+                )
+            )
+
+        return _let(_pieces(match["said"]), of_kinds)
+
+    found = F.transform(F.filter(candidates, lambda m: ~allowed(m["said"])), spans)
     return F.coalesce(F.flatten(found), F.array().cast(_SPANS))
 
 
@@ -227,9 +352,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     with_base = matched.withColumn("base", F.concat(*BASE_KINDS))
     added = F.when(
         F.col("candidates").isNull(), F.array().cast(_SPANS)
-    ).otherwise(
-        F.concat(*(_entropy_spans(F.col("candidates"), k) for k in KINDS if k not in BASE_KINDS))
-    )
+    ).otherwise(_entropy_spans(F.col("candidates")))
     outside = F.filter(
         "added",
         lambda a: ~F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])),

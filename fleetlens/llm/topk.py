@@ -10,7 +10,7 @@ Queries and candidates are cut into blocks of bounded size and every pair of blo
 group of its own, so neither side is broadcast or gathered.  Each group returns at most k
 rows per query, and a limit per query merges them.
 
-Defined results: vectors that are null, empty or hold null, NaN or infinite components take
+Defined results: an empty vector scores 0; vectors that are null or hold null, NaN or infinite components take
 no part; a shorter vector counts as zero in the dimensions it lacks; ties go to the smaller
 id and then null ids; a null id is never a query; rows that repeat are candidates of their
 own and only the query's own row is left out; scores must fit a long.
@@ -42,7 +42,7 @@ def whole_vectors(df: DataFrame, key: str, vector: str, scale: int = SCALE) -> D
         vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf"))
     )
     return written_table(
-        df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~odd).select(
+        df.filter(F.col(vector).isNotNull() & ~odd).select(
             F.monotonically_increasing_id().alias("row_id"),
             F.col(key).cast("long").alias("vec_id"),
             F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias(
@@ -66,7 +66,7 @@ def _rest(squares: np.ndarray, starts: Iterator[int]) -> np.ndarray:
 
 def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """At most k best candidates of a block for each query of a block."""
-    width = max(max(map(len, queries["values"])), max(map(len, candidates["c_values"])))
+    width = max(1, *map(len, queries["values"]), *map(len, candidates["c_values"]))
     columns = _matrix(candidates["c_values"], width).T
     asked = _matrix(queries["values"], width)
     # Dimensions that carry most of the mass come first.

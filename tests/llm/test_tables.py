@@ -152,7 +152,7 @@ def test_shards_odd_rows(spark, odd, empty):
 def plain_top(rows, k=10):
     vectors = []
     for n, (i, v) in enumerate(rows):
-        if v and all(x is not None and math.isfinite(x) for x in v):
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
             vectors.append((n, i, [math.floor(1024 * x) for x in v]))
     out = []
     for n, i, q in vectors:

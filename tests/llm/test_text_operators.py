@@ -129,21 +129,24 @@ def plain_entropy(text, base):
         said = m[0]
         if any(re.search(p, said) for p in secrets.ALLOWED):
             continue
-        for rank in (3, 4):
+        for rank in range(3, 8):
             spans = []
             for i in range(len(said) - secrets.WINDOW + 1):
                 w = said[i : i + secrets.WINDOW]
                 counts = collections.Counter(w).values()
                 entropy = math.log2(len(w)) - sum(c * math.log2(c) for c in counts) / len(w)
-                if rank == 3:
-                    hit = re.fullmatch("[0-9A-Fa-f]+", w) and entropy >= secrets.HEX_LIMIT
-                else:
-                    hit = (
-                        len(re.findall("[0-9]", w)) >= 2
-                        and re.search("[A-Z]", w)
-                        and re.search("[a-z]", w)
-                        and entropy >= secrets.MIXED_LIMIT
-                    )
+                upper, lower, digit = (len(re.findall(p, w)) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+                is_hex = bool(re.fullmatch("[0-9A-Fa-f]+", w))
+                hit = {
+                    3: is_hex and entropy >= secrets.HEX_LIMIT,
+                    4: digit >= 2 and upper and lower and entropy >= secrets.MIXED_LIMIT,
+                    5: not is_hex and lower + digit == 20 and min(lower, digit) >= 4
+                    and entropy >= secrets.ONE_CASE_LIMIT,
+                    6: not is_hex and upper + digit == 20 and min(upper, digit) >= 4
+                    and entropy >= secrets.ONE_CASE_LIMIT,
+                    7: upper + lower == 20 and min(upper, lower) >= 5
+                    and entropy >= secrets.LETTERS_LIMIT,
+                }[rank] and not re.search(secrets.ALLOWED_INSIDE, w)
                 if hit and spans and i <= spans[-1][1]:
                     spans[-1][1] = i + secrets.WINDOW
                 elif hit:
@@ -168,6 +171,12 @@ SECRETS = [
     "aaaaaaaaaaaaaaaaaaaa1 thisisonelongword12 some-slug-made-of-words-2024",
     "123e4567-e89b-12d3-a456-426614174000 X" + "Ab3" * 12,
     "Zk4mQ9xT1bV7nR2pW8sL" + "a" * 30 + "J5hG3fD6kM0qX9zC1vB8",
+    "k3j9x0q2m7v5b8n1c4z6p8w2r5t7y9",
+    "7QK3ZP9XW2MV5TB8RN4CJ6LD1H",
+    "/sample/9Qw3ErT7yUi0pLkJhGf5dS2aZx81",
+    "qWbTzRkLpXmNvCsDfGhJyUtE getElementsByTagNameForUser internationalization2024",
+    "".join(f"K{i * 7919 % 99991}q" for i in range(120)),
+    " ".join(f"token=abcdef{i}" for i in range(700)),
 ]
 
 
@@ -189,15 +198,40 @@ def test_secrets_equal_plain(spark, odd, empty):
         assert r["base_sha256"] == hashlib.sha256(said_spans(base).encode()).hexdigest()
         for k, name in enumerate(("n_assign", "n_access", "n_hex")):
             assert r[name] == sum(s[1] == k for s in base)
-    assert all(kinds[k] for k in range(5))
+    assert all(kinds[k] for k in range(8))
+    for text, kind in zip(SECRETS[11:14], ("lower", "upper", "mixed"), strict=True):
+        assert any(secrets.KINDS[k] == f"entropy_{kind}" for _, k, _ in plain_entropy(text, []))
+    assert not plain_entropy("getElementsByTagNameForUser internationalization2024", [])
     assert secrets.span_digests(secrets.scan(odd)).count() == len(odd_rows())
     assert secrets.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["ab-" * 350_000 + "12", "9Qw3ErT7yUi0pLkJhGf5dS2aZx81" * 36_000, "word " * 200_000 + "x1" * 9000],
+    ids=["slug", "key", "words"],
+)
+def test_secrets_in_a_megabyte(spark, text):
+    """No deep recursion and no time that grows with the square of a candidate."""
+    import time
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = secrets.span_digests(secrets.scan(docs)).first()
+    assert time.monotonic() - start < 60
+    mixed = text.startswith("9Qw")
+    assert row["spans"] == (f"entropy_mixed:0:{len(text)}" if mixed else "")
+
+
 # Lines
 
 
-def plain_lines(rows, min_sites):
+def plain_lines(rows, min_sites=None):
+    """With no limit given: 3 sites for lines of 8 words and more, 5 for others."""
+
+    def limit(line):
+        return min_sites or (3 if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= 8 else 5)
+
     sites, first = collections.defaultdict(set), {}
     for doc_id, text, _, source, _ in rows:
         for pos, line in enumerate((text or "").split("\n")):
@@ -212,7 +246,7 @@ def plain_lines(rows, min_sites):
         kept = [
             x
             for pos, x in enumerate(lines)
-            if len(sites[x.strip(" ")]) < min_sites
+            if len(sites[x.strip(" ")]) < limit(x)
             or first[x.strip(" ")] == (doc_id is None, doc_id, pos)
         ]
         cleaned = None if text is None else "\n".join(kept)
