@@ -50,6 +50,7 @@ SEED = 7
 _STEPS = 1 << 12  # random bits of a character repeat after so many steps
 _CELLS = 1 << 22  # characters walked at once
 _CHARS = 1 << 22  # characters of texts held at once
+_ROWS = 1 << 14  # and rows, as many texts may be empty
 
 
 @functools.cache
@@ -197,7 +198,7 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(key)
             texts.append(text)
             held += len(text)
-            if held > _CHARS and len(keys) > 1:
+            if (held > _CHARS or len(keys) > _ROWS) and len(keys) > 1:
                 yield _compared(keys, texts)
                 keys, texts = keys[-1:], texts[-1:]
                 held = len(texts[0])

@@ -150,12 +150,16 @@ def plan_mix(
         .agg(F.min(F.struct(F.abs(F.col("sum") - F.col("extra")), "sum", "limit")).alias("best"))
     )
     return written_table(
-        targets.join(nearest, same(targets, nearest), "left").select(
+        targets.alias("targets").join(nearest, same(targets, nearest), "left").select(
             targets["source"],
             "source_size",
             "target",
             "passes",
-            F.coalesce(F.col("best.limit"), F.lit(0)).cast("long").alias("limit"),
+            # Without a part pass no place is low enough, that of a wordless document neither.
+            F.when(F.col("targets.extra") > 0, F.coalesce("best.limit", F.lit(0)))
+            .otherwise(0)
+            .cast("long")
+            .alias("limit"),
         )
     )
 

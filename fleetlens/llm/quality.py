@@ -33,7 +33,6 @@ from fleetlens.llm.labelled import MAX_LABELLED, labelled_sample
 
 BLOCK = 512  # bytes compressed at once
 DICTIONARY = 1 << 16  # bytes
-SAMPLES = 20_000  # blocks from which a dictionary is built
 STEADY = 64  # bytes added to a text's length
 LEVEL = 3
 
@@ -54,7 +53,6 @@ def _blocks(text: str) -> list[bytes]:
 def _dictionary(texts: list[str]) -> bytes:
     blocks = [b for t in texts for b in _blocks(t)]
     random.Random(1).shuffle(blocks)
-    blocks = blocks[:SAMPLES]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself

@@ -17,7 +17,7 @@ QUERIES, ORACLES = queries.queries(), queries.oracle_sql()
 
 
 def test_all_are_offered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
 
@@ -31,6 +31,30 @@ def test_equals_sql(spark, duck, name):
     assert spark_bag(df) == bag(columns, cursor.fetchall())
 
 
+def test_simhash_equals_plain(spark):
+    from tests.llm.test_simhash import plain_components, plain_print
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r["doc_id"]: plain_print(r["text"]) for r in docs}
+    root = plain_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {}
+    for doc_id, p in prints.items():
+        first[root[p]] = min(first.get(root[p], doc_id), doc_id)
+    expected = [(i, f"{p:016x}", first[root[p]]) for i, p in prints.items()]
+    assert sorted(map(tuple, queries.op1_simhash(spark, SMALL).collect())) == sorted(expected)
+
+
+def test_mix_takes_no_row_thrice(spark):
+    from fleetlens.llm import mixing
+
+    rows = [(i, "two words" if i % 4 else "", "en", "abc"[min(i % 9, 2)], 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixing.mix(docs).groupBy("row.source").agg(
+        F.max("times").alias("most"), F.max(F.col("target") / F.col("source_size")).alias("epochs")
+    )
+    assert all(r["most"] <= 2 for r in found.collect()) and found.filter("epochs = 2").count()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_one_row_per_document(spark, name):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -82,7 +106,7 @@ def test_pipeline_stages(spark):
 
     clean, lines = after("line dedup", mild)
     assert clean.columns == columns
-    assert [(r[0], r[1]) for r in lines] == [x[:2] for x in plain_lines(rows, 10)]
+    assert [(r[0], r[1]) for r in lines] == [x[:2] for x in plain_lines(rows)]
     assert all(r[4] == len(r[1]) for r in lines)
 
     single, kept = after("near duplicates", clean)
