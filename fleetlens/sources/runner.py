@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from fleetlens.model import Tables
+from fleetlens.sources.admission import RefusedText, admitted
 from fleetlens.sources.checkpoints import checkpoint_dir
 from fleetlens.sources.results import (
     GENERATED,
@@ -32,28 +33,21 @@ TIME_LIMIT = 600.0  # seconds for one text
 CONCURRENT = 4  # texts that run at the same time
 BATCH = 1000  # outcomes that the driver holds before it writes them
 
-# The functions that call methods of the JVM.
-_REFLECTIVE = re.compile(r"\b(try_reflect|reflect|java_method)\b`?\s*\(", re.IGNORECASE)
-_LITERAL_OR_COMMENT = re.compile(
-    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL
-)
-
-
-class RefusedText(ValueError):
-    """A text that is not run because of what it would reach."""
+GRACE = 20.0  # seconds in which a stopped text may end by itself
 
 
 class QueryRunner:
     """Runs SQL texts in a session of its own, where the tables are views.
 
     `open_tables` takes the session and returns the tables; the caller's views and
-    settings stay untouched.  Only queries run: a text has to parse inside a subquery
-    and inside a table expression, which commands, several statements, empty text and
-    unbalanced brackets do not.  Functions that call JVM methods and files named as
-    tables are refused, so a text reaches the given tables only.
-
-    A text that runs longer than `time_limit` seconds is cancelled.  Up to `concurrent`
-    texts run at once.
+    settings stay untouched.  Only queries over these views run, made of the relational
+    operators and built-in functions that `admission` lists: no commands, no programs, no
+    methods of the JVM, no files named as tables, no functions of a session's own.
+
+    A text that runs longer than `time_limit` seconds is stopped for good: its jobs are
+    cancelled, those that it would start later are refused, and one that is stuck between
+    jobs for `grace` seconds more, in planning say, is left behind.  Up to `concurrent` texts
+    run at once.
     """
 
     def __init__(
@@ -62,22 +56,21 @@ class QueryRunner:
         open_tables: Callable[[SparkSession], Tables],
         time_limit: float = TIME_LIMIT,
         concurrent: int = CONCURRENT,
+        grace: float = GRACE,
     ):
         self.spark = spark.newSession()
-        self.time_limit, self.concurrent = time_limit, concurrent
+        self.time_limit, self.concurrent, self.grace = time_limit, concurrent, grace
         # A new session starts from the defaults of the context.
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             self.spark.conf.set(key, spark.conf.get(key))
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        for name, df in open_tables(self.spark).items():
+        tables = dict(open_tables(self.spark).items())
+        for name, df in tables.items():
             df.createOrReplaceTempView(name)
+        self.views = frozenset(name.lower() for name in tables)
 
     def query(self, text: str) -> DataFrame:
-        body = text.strip().removesuffix(";")
-        if found := _REFLECTIVE.search(_LITERAL_OR_COMMENT.sub(" ", body)):
-            raise RefusedText(f"function {found[1].lower()} is not allowed")
-        self.spark.sql(f"WITH checked AS (\n{body}\n) SELECT 1")
-        return self.spark.sql(f"SELECT * FROM (\n{body}\n)")
+        return admitted(self.spark, text.strip().removesuffix(";"), self.views)
 
     def store(
         self, queries: Iterable[tuple[str, int, str, str | DataFrame]], directory: str
@@ -141,32 +134,42 @@ class QueryRunner:
         return found
 
     def _store_one(self, query: str | DataFrame, path: str) -> tuple[str | None, list[str]]:
-        context, group = self.spark.sparkContext, f"text-{uuid.uuid4().hex}"
-        late = threading.Event()
-
-        def stop() -> None:
-            late.set()
-            context.cancelJobGroup(group)
-
-        timer = threading.Timer(self.time_limit, stop)
-        timer.daemon = True
-        context.setJobGroup(group, "query text", interruptOnCancel=True)
-        timer.start()
+        """Error and columns of a query that runs in a thread of its own."""
+        group, found = f"text-{uuid.uuid4().hex}", []
+        thread = InheritableThread(
+            target=lambda: found.append(self._stored(query, path, group)), session=self.spark
+        )
+        thread.daemon = True
+        thread.start()
+        thread.join(self.time_limit)
+        if not thread.is_alive():
+            return found[0] if found else ("the text could not be run", [])
+        end = time.monotonic() + self.grace
+        while thread.is_alive() and time.monotonic() < end:
+            self._stop(group)  # again each time: a broadcast has jobs of its own
+            thread.join(min(1.0, self.grace))
+        said = found[0][0] if found and found[0][0] else "no answer to the cancellation"
+        return f"stopped after {self.time_limit:g} seconds: {said}", []
+
+    def _stop(self, group: str) -> None:
+        self.spark.interruptTag(group)
+        self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+    def _stored(self, query: str | DataFrame, path: str, group: str) -> tuple[str | None, list[str]]:
+        self.spark.addTag(group)
+        self.spark.sparkContext.setJobGroup(group, "query text", interruptOnCancel=True)
         try:
             result = self.query(query) if isinstance(query, str) else query
             result_rows(result, "", 0, "").select("row_no", "cells").write.parquet(path)
             return None, result.columns
         except PySparkException as error:
-            said = error.getMessage() or str(error)
+            return error.getMessage() or str(error), []
         except Py4JJavaError as error:
-            said = str(error.java_exception)
+            return str(error.java_exception), []
         except RefusedText as error:
-            said = str(error)
+            return str(error), []
         finally:
-            timer.cancel()
-        if late.is_set():
-            said = f"stopped after {self.time_limit:g} seconds: {said}"
-        return said, []
+            self.spark.removeTag(group)
 
     def _read(
         self, outcomes: DataFrame, run: str, known: Mapping[str, tuple[str | None, list[str]]]
