@@ -50,13 +50,18 @@ def evaluate_responses(
     whose ranked reports need no window over the whole table."""
     truth = {e.query_id: e.sql for e in entries} if truth is None else truth
     answers = written_table(
-        responses.select("model", "query_id", extract_sql(F.col("raw")).alias("sql"))
+        responses.select(
+            "model", "query_id", F.coalesce(extract_sql(F.col("raw")), F.lit("")).alias("sql")
+        ).withColumn("key", F.sha2("sql", 256))
     )
+    # Models that answer a question alike are run and compared once.
+    distinct = answers.select("key", "query_id", "sql").distinct()
     runner = QueryRunner(spark, open_tables)
-    texts = ((r["model"], r["query_id"], r["sql"]) for r in answers.toLocalIterator())
+    texts = ((r["key"], r["query_id"], r["sql"]) for r in distinct.toLocalIterator())
     outcomes, rows = score_texts(runner, truth, texts)
-    scores = score_pairs(outcomes, rows)
-    return query_results(catalogue_table(spark, entries), answers, scores)
+    scored = written_table(score_pairs(outcomes, rows).withColumnRenamed("model", "key"))
+    scores = answers.select("model", "key", "query_id").join(scored, ["key", "query_id"]).drop("key")
+    return query_results(catalogue_table(spark, entries), answers.drop("key"), scores)
 
 
 def reward_completions(

@@ -8,6 +8,7 @@ the SQL derives it the same way.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from fleetlens.model import (
 )
 from fleetlens.operators import chat, compare, integrity, ranking, rewards
 from fleetlens.plans import definitions, evaluation, scoreboard
-from fleetlens.plans.catalogue import EVAL, ansi_days, spark_days
+from fleetlens.plans.catalogue import EVAL, TRAIN, CatalogueQuery, ansi_days, spark_days
 from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import results, runner
 from fleetlens.sources.binding import AS_OF, bind, read_warehouse, with_binding
@@ -347,80 +348,6 @@ def _question_overlap(spark: SparkSession, directory: str) -> DataFrame:
     return chat.overlapping_questions(train, held_out, "text").select("doc_id")
 
 
-# Outcomes of running each distinct sql, and verdicts on it, by rule from its length.
-_RAN = "LENGTH(sql) % 4 <> 0"
-_VERDICT = "CASE LENGTH(sql) % 3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) " \
-    "ELSE CAST(0 AS DOUBLE) END"
-_REWARDS_SQL = f"""{_CLEANED_SQL},
-rewarded AS (
-  SELECT conv_id AS prompt_id, turn AS sample_no, sql,
-         CASE WHEN UPPER({_trim_sql("sql")}) LIKE 'SELECT%' THEN 0.25 ELSE 0.0 END::DOUBLE
-           AS format_reward,
-         CASE WHEN sql <> '' AND {_RAN} THEN 0.5 ELSE 0.0 END::DOUBLE AS execution_reward,
-         CASE WHEN sql <> '' AND {_RAN} THEN {_VERDICT} ELSE 0.0 END::DOUBLE AS correctness_reward
-  FROM cleaned
-)"""
-
-
-def _rewarded(spark: SparkSession, directory: str) -> DataFrame:
-    # Extracted once; outcomes, verdicts and rewards all start from the sql.
-    completions = written_table(
-        rewards.with_format_reward(
-            _responses(spark, directory).select(
-                F.col("conv_id").alias("prompt_id"),
-                F.col("turn").alias("sample_no"),
-                F.col("raw").alias("text"),
-            )
-        ).drop("text")
-    )
-    executions = completions.select("sql").distinct().select("sql", F.expr(_RAN).alias("ok"))
-    verdicts = (
-        completions.select("prompt_id", "sql")
-        .distinct()
-        .filter(_RAN)
-        .select("prompt_id", "sql", F.expr(_VERDICT).alias("result_match"))
-    )
-    rewarded = rewards.with_execution_reward(completions, executions)
-    return rewards.with_total_reward(rewards.with_correctness_reward(rewarded, verdicts))
-
-
-@_query(
-    "b05_completion_rewards",
-    f"""
-WITH {_REWARDS_SQL}
-SELECT prompt_id, sample_no, format_reward, execution_reward, correctness_reward,
-       format_reward + execution_reward + correctness_reward AS reward
-FROM rewarded""",
-)
-def _completion_rewards(spark: SparkSession, directory: str) -> DataFrame:
-    return _rewarded(spark, directory).select(
-        "prompt_id",
-        "sample_no",
-        "format_reward",
-        "execution_reward",
-        "correctness_reward",
-        "reward",
-    )
-
-
-@_query(
-    "b08_group_rewards",
-    f"""
-WITH {_REWARDS_SQL}, totals AS (
-  SELECT prompt_id, format_reward + execution_reward + correctness_reward AS reward FROM rewarded
-)
-SELECT prompt_id, COUNT(*) AS samples, ROUND(AVG(reward), 6) AS mean_reward,
-       ROUND(STDDEV_SAMP(reward), 6) AS std_reward, MIN(reward) AS min_reward,
-       MAX(reward) AS max_reward
-FROM totals GROUP BY prompt_id""",
-)
-def _group_rewards(spark: SparkSession, directory: str) -> DataFrame:
-    groups = rewards.group_statistics(_rewarded(spark, directory))
-    return groups.withColumns(
-        {c: F.round(c, 6) for c in ("mean_reward", "std_reward")}
-    )
-
-
 # --- Scoreboard ---------------------------------------------------------------------
 
 # Scored results: a document is one answer, its source the model, its length in thousands
@@ -778,10 +705,11 @@ def _edge_pairs(spark: SparkSession, directory: str) -> DataFrame:
 
 # --- From raw responses to scores and rewards ----------------------------------------
 
-# Every nation of the customers is a model that answers one catalogue question.  What it
-# answers follows from the number of its customers: right, partly, wrongly, unparsable
-# text, text that fails while it runs, nothing.
-_ASKED = 7
+# Every customer is a model that answers one question, or a sample of one prompt.  Which, and
+# what it answers, follow from its key: right, partly, wrongly, unparsable text, text that
+# fails while it runs, nothing.  All of these questions name customers and compare exactly.
+_ASKED = ((EVAL, (7, 9, 18, 20)), (TRAIN, (1, 13, 16, 22, 25, 26)))
+_TRAINING_FROM = 100  # numbers of training questions, which else are those of others
 _PART = "name NOT LIKE '%7'"
 _ANSWERS = (
     "Sure:\n```sql\n{truth};\n```",
@@ -791,51 +719,70 @@ _ANSWERS = (
     "SELECT name FROM customers WHERE id = (SELECT id FROM customers)",
     "",
 )
-_ANSWERED_SQL = f"""
-  SELECT a.*, n, m
-  FROM (SELECT c_nationkey AS nation, COUNT(*) % {len(_ANSWERS)} AS answer FROM customer
-        GROUP BY c_nationkey) AS a
-  CROSS JOIN (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE {_PART}) AS m
-              FROM (\n{_text_of(_ASKED, ansi_days)}\n) AS truth) AS t"""
-_ANSWER_VERDICT = """CAST(CASE answer WHEN 0 THEN 1
-       WHEN 1 THEN CASE WHEN m = n THEN 1 WHEN m * 2 > n THEN 0.5 ELSE 0 END ELSE 0 END AS DOUBLE)"""
 
 
-def _answers(spark: SparkSession, directory: str) -> DataFrame:
-    """nation and raw text of its answer (null: none)."""
-    truth = _text_of(_ASKED, spark_days)
-    texts = F.array(*(F.lit(a.format(truth=truth)) for a in _ANSWERS))
-    customers = read_warehouse(spark, directory, "customer")
-    counted = customers.groupBy(F.col("c_nationkey").alias("nation")).count()
-    place = (F.col("count") % len(_ANSWERS) + 1).cast("int")
-    return counted.select("nation", F.nullif(F.element_at(texts, place), F.lit("")).alias("raw"))
+def _asked(days) -> list[CatalogueQuery]:
+    """The questions asked, numbered apart."""
+    numbers = dict(_ASKED)
+    return [
+        replace(e, query_id=e.query_id + (0 if e.split == EVAL else _TRAINING_FROM))
+        for e in warehouse_catalogue(days)
+        if e.query_id in numbers[e.split]
+    ]
+
 
+_QUESTIONS = sorted(e.query_id for e in _asked(ansi_days))
+_QUESTION = f"c_custkey % {len(_QUESTIONS)}"
+_ANSWER = f"CAST(FLOOR(c_custkey / {len(_QUESTIONS)}e0) AS BIGINT) % {len(_ANSWERS)}"
+_ANSWERED_SQL = f"""answered AS (
+  SELECT c_custkey AS customer, query_id, answer, opens, n, m
+  FROM (SELECT c_custkey, {_QUESTION} AS place, {_ANSWER} AS answer FROM customer) AS a
+  JOIN (
+    {" UNION ALL ".join(
+        f"SELECT {_QUESTIONS.index(e.query_id)} AS place, CAST({e.query_id} AS INT) AS query_id, "
+        f"{e.sql.strip().upper().startswith('SELECT')} AS opens, COUNT(*) AS n, COUNT(*) FILTER (WHERE {_PART}) AS m FROM ({e.sql}) AS t{e.query_id}"
+        for e in _asked(ansi_days)
+    )}
+  ) AS t ON t.place = a.place
+)"""
+_ANSWER_VERDICT = """CAST(CASE WHEN answer = 0 THEN 1
+       WHEN answer = 1 AND m = n THEN 1 WHEN answer = 1 AND m * 2 > n THEN 0.5 ELSE 0 END AS DOUBLE)"""
 
-def _asked() -> list:
-    entries = warehouse_catalogue(spark_days)
-    return [e for e in entries if e.split == EVAL and e.query_id == _ASKED]
+
+def _answers(spark: SparkSession, directory: str) -> DataFrame:
+    """customer, query_id and the raw text of the answer (null: none)."""
+    truth = {e.query_id: e.sql for e in _asked(spark_days)}
+    texts = [F.lit(a.format(truth=truth[q])) for q in _QUESTIONS for a in _ANSWERS]
+    place = F.expr(f"CAST({_QUESTION} * {len(_ANSWERS)} + {_ANSWER} + 1 AS INT)")
+    numbers = F.array(*map(F.lit, _QUESTIONS))
+    return read_warehouse(spark, directory, "customer").select(
+        F.col("c_custkey").alias("customer"),
+        F.element_at(numbers, F.expr(f"CAST({_QUESTION} + 1 AS INT)")).alias("query_id"),
+        F.nullif(F.element_at(F.array(*texts), place), F.lit("")).alias("raw"),
+    )
 
 
 @_query(
     "r13_score_responses",
     with_binding(f"""
-SELECT 'model' || nation AS model, answer < 3 AS execution_success,
+WITH {_ANSWERED_SQL}
+SELECT 'model' || customer AS model, query_id, answer < 3 AS execution_success,
        n AS ground_truth_row_count,
        CASE answer WHEN 0 THEN n WHEN 1 THEN m WHEN 2 THEN 1 ELSE 0 END AS generated_row_count,
        {_ANSWER_VERDICT} AS result_match
-FROM ({_ANSWERED_SQL}) AS r"""),
+FROM answered"""),
 )
 def _score_responses(spark: SparkSession, directory: str) -> DataFrame:
+    """Ten questions of both splits, one response per customer."""
     responses = _answers(spark, directory).select(
-        F.concat(F.lit("model"), "nation").alias("model"),
-        F.lit(_ASKED).alias("query_id"),
-        "raw",
+        F.concat(F.lit("model"), "customer").alias("model"), "query_id", "raw"
     )
     scored = evaluation.evaluate_responses(
-        spark, lambda session: bind(session, directory), _asked(), responses
+        spark, lambda session: bind(session, directory), _asked(spark_days), responses
     )
     return scored.select(
         F.col("model_name").alias("model"),
+        "query_id",
         "execution_success",
         "ground_truth_row_count",
         "generated_row_count",
@@ -843,26 +790,67 @@ def _score_responses(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+_REWARDS_SQL = f"""{_ANSWERED_SQL}, rewarded AS (
+  SELECT query_id AS prompt_id, customer AS sample_no,
+         CAST(CASE WHEN answer IN (1, 2, 4) OR answer = 0 AND opens THEN 0.25 ELSE 0 END AS DOUBLE)
+           AS format_reward,
+         CAST(CASE WHEN answer < 3 THEN 0.5 ELSE 0 END AS DOUBLE) AS execution_reward,
+         {_ANSWER_VERDICT} AS correctness_reward
+  FROM answered
+)"""
+
+
+def _rewarded(spark: SparkSession, directory: str) -> DataFrame:
+    """Rewards of completions of ten prompts, whose texts are run and compared."""
+    completions = _answers(spark, directory).select(
+        F.col("query_id").alias("prompt_id"),
+        F.col("customer").alias("sample_no"),
+        F.coalesce("raw", F.lit("")).alias("text"),
+    )
+    return evaluation.reward_completions(
+        spark, lambda session: bind(session, directory), _asked(spark_days), completions
+    )
+
+
+@_query(
+    "b05_completion_rewards",
+    with_binding(f"""
+WITH {_REWARDS_SQL}
+SELECT prompt_id, sample_no, format_reward + execution_reward + correctness_reward AS reward
+FROM rewarded"""),
+)
+def _completion_rewards(spark: SparkSession, directory: str) -> DataFrame:
+    return _rewarded(spark, directory).select("prompt_id", "sample_no", "reward")
+
+
 @_query(
     "b06_completion_runs",
     with_binding(f"""
-SELECT nation AS sample_no,
-       CAST(CASE WHEN answer IN (0, 1, 2, 4) THEN 0.25 ELSE 0 END AS DOUBLE) AS format_reward,
-       CAST(CASE WHEN answer < 3 THEN 0.5 ELSE 0 END AS DOUBLE) AS execution_reward,
-       {_ANSWER_VERDICT} AS correctness_reward
-FROM ({_ANSWERED_SQL}) AS r"""),
+WITH {_REWARDS_SQL}
+SELECT prompt_id, sample_no, format_reward, execution_reward, correctness_reward FROM rewarded"""),
 )
 def _completion_runs(spark: SparkSession, directory: str) -> DataFrame:
-    """Rewards of completions whose texts are run and compared."""
-    completions = _answers(spark, directory).select(
-        F.lit(_ASKED).alias("prompt_id"),
-        F.col("nation").alias("sample_no"),
-        F.coalesce("raw", F.lit("")).alias("text"),
-    )
-    rewarded = evaluation.reward_completions(
-        spark, lambda session: bind(session, directory), _asked(), completions
+    """The parts of each completion's reward."""
+    return _rewarded(spark, directory).select(
+        "prompt_id", "sample_no", "format_reward", "execution_reward", "correctness_reward"
     )
-    return rewarded.select("sample_no", "format_reward", "execution_reward", "correctness_reward")
+
+
+@_query(
+    "b08_group_rewards",
+    with_binding(f"""
+WITH {_REWARDS_SQL}, totals AS (
+  SELECT prompt_id, format_reward + execution_reward + correctness_reward AS reward FROM rewarded
+)
+SELECT prompt_id, COUNT(*) AS samples, ROUND(AVG(reward), 6) AS mean_reward,
+       ROUND(STDDEV_SAMP(reward), 6) AS std_reward, MIN(reward) AS min_reward,
+       MAX(reward) AS max_reward
+FROM totals GROUP BY prompt_id"""),
+)
+def _group_rewards(spark: SparkSession, directory: str) -> DataFrame:
+    """Statistics over the samples of each prompt, from verdicts of real runs."""
+    groups = rewards.group_statistics(_rewarded(spark, directory))
+    return groups.withColumns({c: F.round(c, 6) for c in ("mean_reward", "std_reward")})
 
 
 # --- Constraints --------------------------------------------------------------------
