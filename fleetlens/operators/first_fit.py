@@ -32,8 +32,80 @@ def close_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ~(np.abs(a - b) > limit)
 
 
+def close_ranges(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per asked number, where the ascending values close to it begin and end.
+
+    Finite values close to a number lie side by side around it, so both ends are found
+    by halving, for all numbers at once."""
+
+    def close(places: np.ndarray) -> np.ndarray:
+        return close_matrix(values[np.minimum(places, len(values) - 1)], asked)
+
+    middle = np.searchsorted(values, asked, "left")
+    low, begin = np.zeros_like(middle), middle.copy()
+    while (open_ := low < begin).any():
+        half = (low + begin) // 2
+        hit = close(half)
+        begin = np.where(open_ & hit, half, begin)
+        low = np.where(open_ & ~hit, half + 1, low)
+    end, high = middle.copy(), np.full_like(middle, len(values))
+    while (open_ := end < high).any():
+        half = (end + high) // 2
+        hit = close(half)
+        end = np.where(open_ & hit, half + 1, end)
+        high = np.where(open_ & ~hit, half, high)
+    return begin, end
+
+
+def first_fit_of_one(truth: np.ndarray, generated: np.ndarray) -> list[tuple[int, int]]:
+    """Positions matched, for finite numbers, in n log n.
+
+    A segment tree over the generated numbers in order of value holds the least free
+    position of each stretch of values."""
+    order = np.argsort(generated, kind="stable")
+    begins, ends = close_ranges(generated[order], truth)
+    n = len(generated)
+    size = 1 << max(n - 1, 0).bit_length()
+    level = np.full(size, n, dtype=np.int64)
+    level[:n] = order
+    levels = [level]
+    while len(level) > 1:
+        level = level.reshape(-1, 2).min(axis=1)
+        levels.append(level)
+    tree = [n, *np.concatenate(levels[::-1]).tolist()]
+    leaf = np.empty(n, dtype=np.int64)
+    leaf[order] = np.arange(n) + size
+    leaf_of, matches = leaf.tolist(), []
+    for i, (left, right) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        least, left, right = n, left + size, right + size
+        while left < right:
+            if left & 1:
+                least = min(least, tree[left])
+                left += 1
+            if right & 1:
+                right -= 1
+                least = min(least, tree[right])
+            left >>= 1
+            right >>= 1
+        if least == n:
+            continue
+        matches.append((i, least))
+        at = leaf_of[least]
+        tree[at] = n
+        while at > 1:
+            at >>= 1
+            now = min(tree[2 * at], tree[2 * at + 1])
+            if tree[at] == now:
+                break
+            tree[at] = now
+    return matches
+
+
 def first_fit(truth: np.ndarray, generated: np.ndarray) -> list[tuple[int, int]]:
     """Positions matched, for 2-d arrays of numbers with one row per result row."""
+    if truth.shape[1] == 1 and len(truth) and len(generated):
+        if np.isfinite(truth).all() and np.isfinite(generated).all():
+            return first_fit_of_one(truth[:, 0], generated[:, 0])
     order = np.argsort(generated[:, 0], kind="stable")
     sorted_first = generated[order, 0]
     margin = np.maximum(np.abs(truth[:, 0]), FLOOR) * LINEAR_BIN
@@ -56,6 +128,17 @@ def _rows_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.asarray(values, dtype=float).reshape(-1, width)
 
 
+def matched_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """block_no, matched: of the rows (block_no, is_truth, row_no, value) of one block."""
+    rows = rows.sort_values("row_no")
+    truth, generated = (
+        rows.loc[rows["is_truth"] == side, "value"].to_numpy(dtype=float).reshape(-1, 1)
+        for side in (True, False)
+    )
+    found = len(first_fit(truth, generated))
+    return pd.DataFrame({"block_no": rows["block_no"].iloc[:1], "matched": [found]})
+
+
 @F.pandas_udf(T.LongType())
 def matched_count(truth: pd.Series, generated: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series(

@@ -8,7 +8,9 @@ be equal.
 Rows are cut into blocks that cannot match across, which leaves the outcome unchanged:
 first by all cells that must be equal and, where such a block is large, by gaps along
 one numeric column.  A block whose rows are all alike needs no matching at all, and
-blocks of ordinary size are matched one by one inside tasks.  A block still too large
+blocks of ordinary size are matched one by one inside tasks.  So are much larger ones
+whose rows have one number: a segment tree over the sorted numbers finds each row's first
+free partner, so the cost is n log n.  A block still too large
 is cut into ordered chunks on both sides and solved cell by cell: a truth row prefers
 any generated row of an earlier chunk to one of a later chunk, so chunk a of the truth
 meets chunk p of the generated rows once a has met p - 1 and p has met a - 1.  All cells
@@ -29,6 +31,7 @@ from fleetlens.operators.first_fit import (
     LINEAR_BIN,
     TOLERANCE,
     matched_count,
+    matched_in_block,
     matched_rows,
 )
 from fleetlens.operators.numbering import row_number_within
@@ -40,6 +43,7 @@ from fleetlens.sources.results import GENERATED, TRUTH
 _LOG_BIN = 0.0207
 
 BLOCK_LIMIT = 2_000  # rows per side of a block that one call matches
+DENSE_LIMIT = 250_000  # rows per side of a block of one number that one task matches
 CHUNK_ROWS = 20_000  # rows per side of a cell of a larger block
 
 _GROUP = ["pair", "signature"]
@@ -162,14 +166,34 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
         blocks = written_table(_with_components(rows.join(large, _GROUP, "left_semi")))
         sizes = _sizes(blocks, _BLOCK)
         parts += [_at_once(sizes), _one_call_each(blocks, sizes, _BLOCK)]
-        oversize = sizes.filter("oversize").select(*_BLOCK)
-        if not oversize.isEmpty():
-            parts.append(_match_in_chunks(blocks.join(oversize, _BLOCK, "left_semi")))
+        one_number = (F.size("low") == 1) & (F.greatest("gt_n", "gen_n") <= DENSE_LIMIT)
+        oversize = sizes.filter("oversize").select(*_BLOCK, one_number.alias("dense"))
+        kinds = {r["dense"] for r in oversize.select("dense").distinct().collect()}
+        if True in kinds:
+            parts.append(_match_dense(blocks, oversize.filter("dense").drop("dense")))
+        if False in kinds:
+            rest = oversize.filter("NOT dense").drop("dense")
+            parts.append(_match_in_chunks(blocks.join(rest, _BLOCK, "left_semi")))
     return reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
         F.sum("matched").alias("matched")
     )
 
 
+def _match_dense(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks of one number, one at a time in a task, all in one job."""
+    numbered = written_table(blocks.withColumn("block_no", F.monotonically_increasing_id()))
+    values = rows.join(numbered, _BLOCK).select(
+        "block_no",
+        (F.col("side") == TRUTH).alias("is_truth"),
+        "row_no",
+        F.get("numbers", F.lit(0)).alias("value"),
+    )
+    found = values.groupBy("block_no").applyInPandas(
+        matched_in_block, "block_no long, matched long"
+    )
+    return numbered.join(found, "block_no").select("pair", "matched")
+
+
 def _match_in_chunks(rows: DataFrame) -> DataFrame:
     """Exact matching of oversize blocks, one job per diagonal of chunk pairs."""
     side_block = ["side", *_BLOCK]

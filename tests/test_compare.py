@@ -177,6 +177,33 @@ def counts(spark, cases):
     return {i: found.get(i, 0) for i in range(len(cases))}
 
 
+@pytest.mark.parametrize("scale", [0.05, 1.0, 3.0, 1e6])
+def test_one_number_like_plain_first_fit(scale):
+    draw = np.random.default_rng(int(scale * 100))
+    for _ in range(150):
+        sides = []
+        for _ in range(2):
+            values = draw.normal(draw.choice([0, 1, 50, -1]), scale, draw.integers(1, 40))
+            tied = draw.random(len(values)) < 0.4
+            values[tied] = draw.choice([1.0, 1.02, 0.98, -1, 0, 50, 51], tied.sum())
+            sides.append(values.reshape(-1, 1))
+        assert first_fit(*sides) == slow_first_fit(*(x.tolist() for x in sides))
+
+
+def test_a_dense_block_is_one_job_for_its_size(spark, monkeypatch):
+    """Neither chunks nor diagonals for 30,000 rows a side; the same number as in chunks."""
+    rows = spark.range(60_000).selectExpr(
+        "'p' AS pair", "IF(id % 2 = 0, 'gt', 'gen') AS side", "id div 2 AS row_no", "'s' AS signature",
+        "'num' AS pattern", "array(DOUBLE(pmod(hash(id), 200000) / 10000)) AS numbers",
+    )
+    chunks = tolerant._match_in_chunks
+    monkeypatch.setattr(tolerant, "_match_in_chunks", None)
+    found = tolerant.tolerant_match_counts(rows).first()["matched"]
+    monkeypatch.setattr(tolerant, "_match_in_chunks", chunks)
+    monkeypatch.setattr(tolerant, "DENSE_LIMIT", 10)
+    assert tolerant.tolerant_match_counts(rows).first()["matched"] == found > 29_000
+
+
 def test_blocks_like_plain_first_fit(spark):
     cases = random_cases(random.Random(8), 150, 9)
     assert counts(spark, cases) == slow_counts(cases)
