@@ -216,8 +216,16 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     store = manifest.store
     groups = manifest.groups.join(requests.select("group").distinct(), "group", "left_semi")
     starts = manifest.tops.withColumn("path", F.array().cast(_PATH))
-    named = groups.select(F.lit("").alias("group"), "rank", F.col("group").alias("name"),
-                          F.col("height").alias("below"), F.col("digest").alias("top"))
+    # Written, so that the one group of all groups is a column to join on and no constant.
+    named = written_table(
+        groups.select(
+            F.lit("").alias("group"),
+            "rank",
+            F.col("group").alias("name"),
+            F.col("height").alias("below"),
+            F.col("digest").alias("top"),
+        )
+    )
     reached = _descend(starts, store.filter("part = 'root'"), named)
     inner = written_table(
         reached.select(F.col("name").alias("group"), F.col("below").alias("height"),
