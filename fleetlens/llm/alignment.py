@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes, by whitespace-token anchors.
 
-A is a byte-level BPE file (JSON), B a SentencePiece model that puts a space before a text;
-A gets that space too.  After full tokenisation with both libraries an anchor is a byte
+A is a byte-level BPE file (JSON, ids in merge order), B a SentencePiece model that puts a space
+before a text; A gets that space too.  After full tokenisation with both libraries an anchor is a byte
 offset at which tokens of both end and space-marked tokens of both begin.  Anchors are
 verified: the bytes of all tokens, joined, must be the text's own, so equal offsets are equal
 places.  They cut a text into windows of token ids, mostly one word long.  What aligning a
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -34,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +44,8 @@ from fleetlens.llm.columns import quoted
 from fleetlens.sources.checkpoints import written_table
 
 SPACE = "▁"
+# Fixed value: the words of byte-level files that name no pattern of their own.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_WINDOWS = 300_000
 MEMO_TOKENS = 48  # windows of more tokens are not kept
 BATCH_CHARS = 1 << 20  # characters tokenised in one call; a longer text has one of its own
@@ -89,16 +91,22 @@ class Vocabulary:
 
 class Aligner:
     def __init__(self, bytes_json: bytes, piece_model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        self.a = tokenizers.Tokenizer.from_str(bytes_json.decode())
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        spec = json.loads(bytes_json)
+        vocab, pre = spec["model"]["vocab"], spec["pre_tokenizer"]
+        rules = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        made = [vocab[u + v] for u, v in rules]
+        plain = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        if not plain or spec["normalizer"] or made != sorted(made):
+            raise ValueError("not a byte-level file whose ids are ranks")
         value = {s: b for b, s in enumerate(byte_symbols())}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.of_a = Vocabulary(
-            [bytes(value[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(value.get, t)): i for t, i in vocab.items() if t not in special}
+        # The same merges by rank, several times as quick as from the file itself.
+        self.a = tiktoken.Encoding(
+            "given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
+        names = {i: data for data, i in ranks.items()}
+        self.of_a = Vocabulary([names.get(i, b"") for i in range(max(names) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.of_b = Vocabulary([self._piece_bytes(i) for i in range(self.b.get_piece_size())])
         self.memo: dict[tuple[bytes, bytes], Window] = {}
@@ -109,35 +117,39 @@ class Aligner:
 
     def window(self, a: Sequence[int], b: Sequence[int]) -> Window:
         """Both walked side by side; they span the same bytes."""
-        size_a, size_b = self.of_a.size_list, self.of_b.size_list
-        said_a, said_b = self.of_a.said, self.of_b.said
-        groups, pairs = [], array("q")
-        i = j = open_a = open_b = 0
-        ahead = size_a[a[0]] - size_b[b[0]]  # end of the A token less end of the B token
+        size_a, size_b, said_a, said_b = (
+            self.of_a.size_list, self.of_b.size_list, self.of_a.said, self.of_b.said
+        )
+        i, j, last = 0, 0, len(a) - 1
+        x, y = a[0], b[0]
+        left, right = said_a[x], said_b[y]
+        ahead = size_a[x] - size_b[y]  # end of the A token less end of the B token
+        groups, pairs = [], [x << _B_BITS | y]
         while True:
-            pairs.append(a[i] << _B_BITS | b[j])
             if ahead == 0:
-                i, j = i + 1, j + 1
-                if i - open_a == j - open_b == 1:
-                    groups.append(f"{said_a[a[open_a]]}|{said_b[b[open_b]]}")
-                else:
-                    left = ",".join([said_a[x] for x in a[open_a:i]])
-                    groups.append(left + "|" + ",".join([said_b[x] for x in b[open_b:j]]))
-                if i == len(a):
+                groups.append(f"{left}|{right}")
+                if i == last:
                     break
-                open_a, open_b = i, j
-                ahead = size_a[a[i]] - size_b[b[j]]
+                i, j = i + 1, j + 1
+                x, y = a[i], b[j]
+                left, right = said_a[x], said_b[y]
+                ahead = size_a[x] - size_b[y]
             elif ahead < 0:
                 i += 1
-                ahead += size_a[a[i]]
+                x = a[i]
+                left += "," + said_a[x]
+                ahead += size_a[x]
             else:
                 j += 1
-                ahead -= size_b[b[j]]
-        return Window(len(groups), ";".join(groups).encode(), pairs.tobytes())
+                y = b[j]
+                right += "," + said_b[y]
+                ahead -= size_b[y]
+            pairs.append(x << _B_BITS | y)
+        return Window(len(groups), ";".join(groups).encode(), array("q", pairs).tobytes())
 
     def _new_window(self, ids: tuple[bytes, bytes]) -> Window:
         """The window of two packed id tuples, kept unless it is long."""
-        found = self.window(array("I", ids[0]), array("I", ids[1]))
+        found = self.window(array("I", ids[0]).tolist(), array("I", ids[1]).tolist())
         if sum(map(len, ids)) <= MEMO_TOKENS * _ID_BYTES:
             if len(self.memo) >= MEMO_WINDOWS:
                 self.memo.clear()
@@ -183,10 +195,10 @@ class Aligner:
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
-            of_a = self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
             of_b = self.b.encode(part, num_threads=1)
-            for text, a, b in zip(part, of_a, of_b, strict=True):
-                yield self.document(b" " + text.encode(), a.ids, b) if text else _NONE
+            for text, b in zip(part, of_b, strict=True):
+                a = self.a.encode_ordinary(" " + text)
+                yield self.document(b" " + text.encode(), a, b) if text else _NONE
             at = end
 
 
