@@ -64,21 +64,45 @@ def duplicate_keys(df: DataFrame, table: str, *columns: str) -> DataFrame:
     )
 
 
-def orphan_keys(
-    child: DataFrame, parent: DataFrame, table: str, column: str, parent_column: str = "id"
-) -> DataFrame:
-    """Rows whose non-null key has no parent.  Child keys are counted first, so a key
-    held by very many rows meets the parent table once."""
-    keys = (
-        child.select(F.col(column).alias("child_key"))
-        .dropna()
-        .groupBy("child_key")
-        .agg(F.count(F.lit(1)).alias("n"))
+def orphan_keys(t: Tables, keys: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Rows whose non-null key has no parent, for all (child, column, parent) at once.
+
+    A table is read once for all keys that it holds, and once if it is a parent.  Keys are
+    counted before they meet the parents, so one held by very many rows meets them once."""
+    held = []
+    for child in dict.fromkeys(child for child, _, _ in keys):
+        of_child = [
+            F.struct(
+                F.lit(n).alias("n"), F.lit(parent).alias("parent"),
+                F.col(column).cast("bigint").alias("key"),
+            )
+            for n, (name, column, parent) in enumerate(keys)
+            if name == child
+        ]
+        held.append(getattr(t, child).select(F.inline(F.array(*of_child))))
+    counted = (
+        reduce(DataFrame.unionByName, held)
+        .filter(F.col("key").isNotNull())
+        .groupBy("n", "parent", "key")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    parents = parent.select(F.col(parent_column).alias("parent_key"))
-    orphans = keys.join(parents, F.expr("child_key = parent_key"), "left_anti")
-    return _named(
-        orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bad")), table, "foreign_key", column
+    parents = [
+        getattr(t, name).select(F.lit(name).alias("parent"), F.col("id").cast("bigint").alias("key"))
+        for name in dict.fromkeys(parent for _, _, parent in keys)
+    ]
+    # An anti join would be pushed below the union and read every parent for every child.
+    known = reduce(DataFrame.unionByName, parents).withColumn("known", F.lit(True))
+    orphans = counted.join(known, ["parent", "key"], "left").filter(F.col("known").isNull())
+    found = orphans.groupBy("n").agg(F.sum("rows").alias("bad"))
+    declared = orphans.sparkSession.createDataFrame(
+        [(n, child, column) for n, (child, column, _) in enumerate(keys)],
+        "n int, table_name string, column_name string",
+    )
+    return declared.join(found, "n", "left").select(
+        "table_name",
+        F.lit("foreign_key").alias("check_name"),
+        "column_name",
+        F.coalesce("bad", F.lit(0)).cast("bigint").alias("bad"),
     )
 
 
@@ -114,11 +138,8 @@ def all_violations(t: Tables, kinds: Sequence[str] = CHECKS) -> DataFrame:
             if name in have
         ]
     if "foreign_key" in kinds:
-        checks += [
-            orphan_keys(getattr(t, child), getattr(t, parent), child, column)
-            for child, column, parent in FOREIGN_KEYS
-            if child in have and parent in have
-        ]
+        keys = [k for k in FOREIGN_KEYS if k[0] in have and k[2] in have]
+        checks += [orphan_keys(t, keys)] if keys else []
     if "derived_total" in kinds:
         checks += [
             total_violations(getattr(t, header), getattr(t, lines), header, key, amount, total)

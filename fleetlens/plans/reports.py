@@ -751,11 +751,14 @@ def sales_per_product_type(t: Tables, as_of: date) -> DataFrame:
     return (
         t.order_lines.join(completed, F.col("order_id") == F.col("header_id"))
         .join(goods, F.col("product_id") == F.col("goods_id"))
+        # One row per type and buyer first, so that no line is kept twice for the distinct count.
+        .groupBy("product_type", "customer_id")
+        .agg(F.sum("quantity").alias("quantity"), F.sum("line_value").alias("line_value"))
         .groupBy("product_type")
         .agg(
             F.sum("quantity").alias("total_quantity"),
             F.round(F.sum("line_value"), 2).alias("total_revenue"),
-            F.count_distinct("customer_id").alias("distinct_buyers"),
+            F.count("customer_id").alias("distinct_buyers"),
         )
         .orderBy(F.desc("total_revenue"), "product_type")
     )

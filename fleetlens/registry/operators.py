@@ -31,6 +31,7 @@ from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import results, runner
 from fleetlens.sources.binding import AS_OF, bind, read_warehouse, with_binding
 from fleetlens.sources.checkpoints import checkpoint_dir, written_table
+from fleetlens.sources.tables import create_empty_tables, read_tables, write_tables
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -460,6 +461,49 @@ def _detail_table(spark: SparkSession, directory: str) -> DataFrame:
     return scoreboard.detail_table(_results(spark, directory))
 
 
+@_query(
+    "s03_stored_tables",
+    with_binding(
+        "\nUNION ALL\n".join(
+            f"SELECT '{name}' AS table_name, COUNT(*) AS n_rows, CAST(COALESCE(SUM("
+            f"{'id' if 'id' in SCHEMAS[name].names else SCHEMAS[name].names[0]}), 0) AS BIGINT) AS keys "
+            f"FROM {name}"
+            for name in SCHEMAS
+            if name != "quote_lines"
+        )
+        + "\nUNION ALL\nSELECT 'quote_lines' AS table_name, 0 AS n_rows, 0 AS keys"
+    ),
+)
+def _stored_tables(spark: SparkSession, directory: str) -> DataFrame:
+    """Empty tables are created, the bound ones written in their place, all read back."""
+    folder = f"{checkpoint_dir(spark)}/business-{uuid.uuid4().hex}"
+    create_empty_tables(spark, folder)
+    write_tables(bind(spark, directory), folder, mode="overwrite")
+    counted = []
+    for name, df in read_tables(spark, folder).items():
+        key = "id" if "id" in df.columns else df.columns[0]
+        counted.append(
+            df.agg(
+                F.count(F.lit(1)).alias("n_rows"),
+                F.coalesce(F.sum(key), F.lit(0)).cast("bigint").alias("keys"),
+            ).select(F.lit(name).alias("table_name"), "n_rows", "keys")
+        )
+    return reduce(DataFrame.unionByName, counted)
+
+
+@_query(
+    "f21_padded_labels",
+    "SELECT c_custkey AS id, 'customer-' || CASE WHEN c_custkey < 100000 "
+    "THEN LPAD(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END AS label "
+    "FROM customer",
+)
+def _padded_labels(spark: SparkSession, directory: str) -> DataFrame:
+    return read_warehouse(spark, directory, "customer").select(
+        F.col("c_custkey").alias("id"),
+        text.padded_label("customer-", 5, F.col("c_custkey")).alias("label"),
+    )
+
+
 @_query(
     "s06_score_files",
     f"""

@@ -59,3 +59,14 @@ def test_unread_dimension_columns_cost_no_join(spark):
 def test_aggregates_stay_hash_based(spark):
     text = plan(reports.uncontracted_value(bind(spark, SMALL), AS_OF))
     assert "SortAggregate" not in text
+
+
+def test_all_foreign_keys_read_a_table_twice_at_most(spark, stored):
+    from fleetlens.operators import integrity
+
+    tables = read_tables(spark, stored)
+    plan = integrity.all_violations(tables, kinds=("foreign_key",))._jdf.queryExecution()
+    scans = str(plan.optimizedPlan().toString()).count("Relation [")
+    children = {"customers", "machines", "service_contracts", "orders", "order_lines", "quotes"}
+    parents = {"account_managers", "customers", "products", "machines", "orders", "quotes"}
+    assert 0 < scans <= len(children) + len(parents) + 1
