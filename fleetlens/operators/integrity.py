@@ -69,11 +69,12 @@ def orphan_keys(t: Tables, keys: Sequence[tuple[str, str, str]]) -> DataFrame:
 
     A table is read once for all keys that it holds, and once if it is a parent.  Keys are
     counted before they meet the parents, so one held by very many rows meets them once."""
+    number = {name: i for i, name in enumerate(dict.fromkeys(parent for _, _, parent in keys))}
     held = []
     for child in dict.fromkeys(child for child, _, _ in keys):
         of_child = [
             F.struct(
-                F.lit(n).alias("n"), F.lit(parent).alias("parent"),
+                F.lit(n).alias("n"), F.lit(number[parent]).alias("parent"),
                 F.col(column).cast("bigint").alias("key"),
             )
             for n, (name, column, parent) in enumerate(keys)
@@ -87,8 +88,8 @@ def orphan_keys(t: Tables, keys: Sequence[tuple[str, str, str]]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     parents = [
-        getattr(t, name).select(F.lit(name).alias("parent"), F.col("id").cast("bigint").alias("key"))
-        for name in dict.fromkeys(parent for _, _, parent in keys)
+        getattr(t, name).select(F.lit(i).alias("parent"), F.col("id").cast("bigint").alias("key"))
+        for name, i in number.items()
     ]
     # An anti join would be pushed below the union and read every parent for every child.
     known = reduce(DataFrame.unionByName, parents).withColumn("known", F.lit(True))
