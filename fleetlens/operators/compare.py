@@ -78,6 +78,38 @@ def _bag_counts(rows: DataFrame, *cells: str) -> DataFrame:
     )
 
 
+def _bag_sums(*cells: str) -> list[Column]:
+    """Rows of each side, and whether their bags may be equal: signed sums of two row hashes.
+
+    Equal rows hash alike, so a sum other than 0 proves the bags unequal.  The sums fold on the
+    map side, and of each row only a hash is looked at; no cells are shuffled.  24 bits of
+    a hash keep a sum within a long for 10^11 rows."""
+    sign = F.when(F.col("side") == TRUTH, 1).otherwise(-1)
+
+    def surplus(seed: int) -> Column:
+        return F.sum(sign * F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cells), 40))
+
+    gt_rows, gen_rows = (F.count_if(F.col("side") == side) for side in (TRUTH, GENERATED))
+    return [
+        gt_rows.alias("gt_rows"),
+        gen_rows.alias("gen_rows"),
+        ((gt_rows == gen_rows) & (surplus(0) == 0) & (surplus(1) == 0)).alias("may_be_equal"),
+    ]
+
+
+def _equal_bags(rows: DataFrame, sums: DataFrame, *cells: str) -> DataFrame:
+    """The pairs whose two bags are equal.  Only those that the sums leave open are grouped by
+    their cells."""
+    open_pairs = sums.filter("may_be_equal AND gt_rows > 0").select(*PAIR)
+    return (
+        _bag_counts(rows.join(open_pairs, PAIR, "left_semi"), *cells)
+        .groupBy(*PAIR)
+        .agg(F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("equal"))
+        .filter("equal")
+        .select(*PAIR)
+    )
+
+
 def bags_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row, one column `equal`: do two results hold the same rows as bags?"""
     names = [f"c{i}" for i in range(len(left.columns))]
@@ -115,43 +147,40 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         of(GENERATED, "error").alias("gen_error"),
     )
     # One row per pair; written, because each later step asks which pairs are open.
-    whole = written_table(
-        _bag_counts(rows, "cells")
-        .groupBy(*PAIR)
-        .agg(
-            F.sum("gt_n").alias("gt_rows"),
-            F.sum("gen_n").alias("gen_rows"),
-            F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("whole_equal"),
-        )
-    )
+    sums = written_table(rows.groupBy(*PAIR).agg(*_bag_sums("cells")))
+    found = _equal_bags(rows, sums, "cells").withColumn("whole_equal", F.lit(True))
+    whole = written_table(sums.drop("may_be_equal").join(found, PAIR, "left"))
     # A few column indexes per pair.
     mapping = (
         column_mapping(outcomes, canonical=not training)
         .groupBy(*PAIR)
         .agg(F.array_sort(F.collect_list(F.struct("gt_index", "gen_index"))).alias("mapping"))
     )
-    undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND NOT whole_equal").select(*PAIR)
-    projected = written_table(
-        _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR), training)
-    )
-    exact = written_table(
-        _bag_counts(projected, "signature", "numbers")
-        .groupBy(*PAIR)
-        .agg(
-            F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("mapped_equal"),
-            F.sum(F.when(F.col("gen_n") > 0, F.col("gt_n")).otherwise(0)).alias("members"),
+    undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND whole_equal IS NULL").select(*PAIR)
+    projected = _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR), training)
+    compared = ("signature", "numbers")
+    if training:  # membership needs all rows grouped, which tells equal bags too
+        exact = (
+            _bag_counts(projected, *compared)
+            .groupBy(*PAIR)
+            .agg(
+                F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("mapped_equal"),
+                F.sum(F.when(F.col("gen_n") > 0, F.col("gt_n")).otherwise(0)).alias("close"),
+            )
         )
-    )
+    else:
+        projected = written_table(projected)
+        sums = written_table(projected.groupBy(*PAIR).agg(*_bag_sums(*compared)))
+        found = _equal_bags(projected, sums, *compared)
+        exact = written_table(found.withColumn("mapped_equal", F.lit(True)))
     scored = (
         ran.join(whole, PAIR, "left")
         .join(mapping, PAIR, "left")
         .join(exact, PAIR, "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gt_rows", "gen_rows")})
     )
-    if training:
-        scored = scored.withColumn("close", F.col("members"))
-    else:
-        near = projected.join(exact.filter("NOT mapped_equal").select(*PAIR), PAIR, "left_semi")
+    if not training:
+        near = projected.join(exact, PAIR, "left_anti")
         counts = tolerant_match_counts(near.withColumn("pair", F.struct(*PAIR)))
         scored = scored.join(counts.select("pair.*", F.col("matched").alias("close")), PAIR, "left")
 
@@ -206,7 +235,7 @@ def _matchable(rows: DataFrame, exact: bool) -> DataFrame:
         *PAIR,
         "side",
         "row_no",
-        F.sha2(fixed, 256).alias("signature"),
+        F.unhex(F.sha2(fixed, 256)).alias("signature"),
         F.array_join(F.transform("cells", lambda c: c["kind"]), ",").alias("pattern"),
         F.transform(numeric, lambda c: c["num"]).alias("numbers"),
     )

@@ -126,14 +126,30 @@ def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
     # Rows that are all alike, or all close to each other, match as far as they go.  In
     # a block of one row a side, low and high are those two rows.
     simple = (F.col("low") == F.col("high")) | (largest == 1) | _one_number_all_close()
+    counts = [
+        F.count_if(F.col("side") == TRUTH).alias("gt_n"),
+        F.count_if(F.col("side") == GENERATED).alias("gen_n"),
+    ]
+    # All rows of a block have as many numbers.  One number at most is the common case, and
+    # plain doubles can be aggregated by hashing, which arrays cannot.
+    first, width = F.get("numbers", F.lit(0)), F.size("numbers")
+
+    def alone(number: str) -> Column:
+        return F.filter(F.array(number), lambda c: c.isNotNull()).alias(number)
+
+    narrow = (
+        rows.filter(width <= 1)
+        .groupBy(*keys)
+        .agg(*counts, F.min(first).alias("low"), F.max(first).alias("high"))
+        .select(*keys, "gt_n", "gen_n", alone("low"), alone("high"))
+    )
+    wide = (
+        rows.filter(width > 1)
+        .groupBy(*keys)
+        .agg(*counts, F.min("numbers").alias("low"), F.max("numbers").alias("high"))
+    )
     return written_table(
-        rows.groupBy(*keys)
-        .agg(
-            F.count_if(F.col("side") == TRUTH).alias("gt_n"),
-            F.count_if(F.col("side") == GENERATED).alias("gen_n"),
-            F.min("numbers").alias("low"),
-            F.max("numbers").alias("high"),
-        )
+        narrow.unionByName(wide)
         .filter("gt_n > 0 AND gen_n > 0")
         .withColumns({"simple": simple, "oversize": ~simple & (largest > BLOCK_LIMIT)})
     )
@@ -154,18 +170,26 @@ def _one_call_each(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+def _small_blocks(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """What all but oversize blocks match.  Where none needs a call, no row is shuffled."""
+    parts = [_at_once(sizes)]
+    if not sizes.filter("NOT simple AND NOT oversize").isEmpty():
+        parts.append(_one_call_each(rows, sizes, keys))
+    return parts
+
+
 def tolerant_match_counts(rows: DataFrame) -> DataFrame:
     """pair, matched: truth rows served by first fit, for every pair with any.
 
     `rows` has pair (any type), side, row_no, signature (equal for rows that may
     match), pattern (the kinds of cells) and numbers (the numeric cells in order)."""
     sizes = _sizes(rows, _GROUP)
-    parts = [_at_once(sizes), _one_call_each(rows, sizes, _GROUP)]
+    parts = _small_blocks(rows, sizes, _GROUP)
     large = sizes.filter("oversize").select(*_GROUP)
     if not large.isEmpty():
         blocks = written_table(_with_components(rows.join(large, _GROUP, "left_semi")))
         sizes = _sizes(blocks, _BLOCK)
-        parts += [_at_once(sizes), _one_call_each(blocks, sizes, _BLOCK)]
+        parts += _small_blocks(blocks, sizes, _BLOCK)
         one_number = (F.size("low") == 1) & (F.greatest("gt_n", "gen_n") <= DENSE_LIMIT)
         oversize = sizes.filter("oversize").select(*_BLOCK, one_number.alias("dense"))
         kinds = {r["dense"] for r in oversize.select("dense").distinct().collect()}

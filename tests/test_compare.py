@@ -304,3 +304,40 @@ def test_large_whole_numbers_are_exact_in_training(spark):
 
     assert verdicts(True) == {1: 0.0, 2: 1.0}
     assert verdicts(False) == {1: 1.0, 2: 1.0}
+
+
+def test_sums_prove_bags_unequal(spark):
+    """Only pairs that the signed hash sums leave open are grouped by their cells."""
+    rng = random.Random(12)
+    cases = []
+    for _ in range(40):
+        truth = [(rng.choice("xyz"), float(rng.randint(0, 2))) for _ in range(6)]
+        generated = rng.sample(truth, len(truth))
+        if rng.random() < 0.6:
+            generated[0] = (rng.choice("xyz"), float(rng.randint(0, 2)))
+        cases.append((truth, generated + truth[: rng.choice((0, 0, 1))]))
+    cases.append(([("x", 0.0)], [("x", -0.0)]))
+    cases.append(([("x", 1.0)] * 3 + [("y", 1.0)], [("x", 1.0)] + [("y", 1.0)] * 3))
+    rows = spark.createDataFrame(
+        [
+            ("m", n, side, cells[0], [cells[1]])
+            for n, case in enumerate(cases)
+            for side, bag in zip((TRUTH, GENERATED), case)
+            for cells in bag
+        ],
+        "model string, query_id int, side string, signature string, numbers array<double>",
+    )
+    compared = ("signature", "numbers")
+    sums = rows.groupBy(*compare.PAIR).agg(*compare._bag_sums(*compared))
+    expected = {n for n, (a, b) in enumerate(cases) if sorted(a) == sorted(b)}
+    assert 0 < len(expected) < len(cases)
+    assert {r["query_id"] for r in sums.filter("may_be_equal").collect()} == expected
+    equal = compare._equal_bags(rows, sums, *compared)
+    assert {r["query_id"] for r in equal.collect()} == expected
+    # Sums that prove nothing leave the answer to the cells.
+    open_sums = sums.withColumn("may_be_equal", F.lit(True))
+    assert {r["query_id"] for r in compare._equal_bags(rows, open_sums, *compared).collect()} == expected
+    # One row a pair leaves the map side: no cells in the exchange of the sums.
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    exchange = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchange and not any("numbers" in line for line in exchange)
