@@ -6,7 +6,7 @@ queries return is written, compared and rolled up by the executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +26,19 @@ OpenTables = Callable[[SparkSession], Tables]
 
 
 def report_truth(
-    tables: Tables, as_of: date, split: str = EVAL, **parameters: dict
+    tables: Tables,
+    as_of: date,
+    split: str = EVAL,
+    only: Collection[int] | None = None,
+    **parameters: dict,
 ) -> dict[int, DataFrame]:
-    """The reports of a split as truth, by query id; parameters go by report name."""
+    """The reports of a split, all or `only` some, as truth, by query id; parameters go by
+    report name."""
     chosen = EVAL_REPORTS if split == EVAL else TRAINING_REPORTS
     return {
         number: report(tables, as_of, **parameters.get(report.__name__, {}))
         for number, report in chosen.items()
+        if only is None or number in only
     }
 
 

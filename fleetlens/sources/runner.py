@@ -7,13 +7,15 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from functools import reduce
+from functools import partial
 from itertools import batched
+from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark import InheritableThread
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.model import Tables
@@ -35,6 +37,9 @@ BATCH = 1000  # outcomes that the driver holds before it writes them
 
 GRACE = 20.0  # seconds in which a stopped text may end by itself
 
+#: What is done with a query's name and result.
+Action = Callable[[str, DataFrame], Any]
+
 
 class QueryRunner:
     """Runs SQL texts in a session of its own, where the tables are views.
@@ -91,7 +96,10 @@ class QueryRunner:
                 if key not in names:
                     names[key] = uuid.uuid4().hex
                     new[names[key]] = query
-            known |= self._store_all(new, run)
+            known |= {
+                name: (error, columns or [])
+                for name, (error, columns) in self.run_all(new, partial(_keep, run)).items()
+            }
             outcomes = [
                 (*outcome_row(m, q, side, known[names[_key(query)]][1], known[names[_key(query)]][0]),
                  names[_key(query)])
@@ -106,11 +114,13 @@ class QueryRunner:
         outcomes = self.spark.read.parquet(f"{run}/outcomes")
         return outcomes.select(*OUTCOME_SCHEMA.names), self._read(outcomes, run, known)
 
-    def _store_all(
-        self, queries: Mapping[str, str | DataFrame], run: str
-    ) -> dict[str, tuple[str | None, list[str]]]:
-        """Error and columns by name, several queries at once."""
-        found: dict[str, tuple[str | None, list[str]]] = {}
+    def run_all(
+        self, queries: Mapping[str, str | DataFrame], action: Action
+    ) -> dict[str, tuple[str | None, Any]]:
+        """What `action` returns for each query's name and result, or the error, by name.
+
+        Several queries run at once, each in a job group of its own with the time limit."""
+        found: dict[str, tuple[str | None, Any]] = {}
         waiting: Iterator[tuple[str, str | DataFrame]] = iter(list(queries.items()))
         lock = threading.Lock()
 
@@ -120,7 +130,7 @@ class QueryRunner:
                     entry = next(waiting, None)
                 if entry is None:
                     return
-                found[entry[0]] = self._store_one(entry[1], f"{run}/rows/result={entry[0]}")
+                found[entry[0]] = self._run_one(*entry, action)
 
         # Each thread has local properties of its own, so a job group is one text's.
         threads = [
@@ -133,41 +143,44 @@ class QueryRunner:
             thread.join()
         return found
 
-    def _store_one(self, query: str | DataFrame, path: str) -> tuple[str | None, list[str]]:
-        """Error and columns of a query that runs in a thread of its own."""
+    def _run_one(
+        self, name: str, query: str | DataFrame, action: Action
+    ) -> tuple[str | None, Any]:
+        """Error and outcome of a query that runs in a thread of its own."""
         group, found = f"text-{uuid.uuid4().hex}", []
         thread = InheritableThread(
-            target=lambda: found.append(self._stored(query, path, group)), session=self.spark
+            target=lambda: found.append(self._done(name, query, action, group)),
+            session=self.spark,
         )
         thread.daemon = True
         thread.start()
         thread.join(self.time_limit)
         if not thread.is_alive():
-            return found[0] if found else ("the text could not be run", [])
+            return found[0] if found else ("the text could not be run", None)
         end = time.monotonic() + self.grace
         while thread.is_alive() and time.monotonic() < end:
             self._stop(group)  # again each time: a broadcast has jobs of its own
             thread.join(min(1.0, self.grace))
         said = found[0][0] if found and found[0][0] else "no answer to the cancellation"
-        return f"stopped after {self.time_limit:g} seconds: {said}", []
+        return f"stopped after {self.time_limit:g} seconds: {said}", None
 
     def _stop(self, group: str) -> None:
         self.spark.interruptTag(group)
         self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
-    def _stored(self, query: str | DataFrame, path: str, group: str) -> tuple[str | None, list[str]]:
+    def _done(
+        self, name: str, query: str | DataFrame, action: Action, group: str
+    ) -> tuple[str | None, Any]:
         self.spark.addTag(group)
         self.spark.sparkContext.setJobGroup(group, "query text", interruptOnCancel=True)
         try:
-            result = self.query(query) if isinstance(query, str) else query
-            result_rows(result, "", 0, "").select("row_no", "cells").write.parquet(path)
-            return None, result.columns
+            return None, action(name, self.query(query) if isinstance(query, str) else query)
         except PySparkException as error:
-            return error.getMessage() or str(error), []
+            return error.getMessage() or str(error), None
         except Py4JJavaError as error:
-            return str(error.java_exception), []
+            return str(error.java_exception), None
         except RefusedText as error:
-            return str(error), []
+            return str(error), None
         finally:
             self.spark.removeTag(group)
 
@@ -192,17 +205,41 @@ def _key(query: str | DataFrame) -> str | int:
     return id(query)
 
 
+def _keep(run: str, name: str, result: DataFrame) -> list[str]:
+    """Write a result to its own folder of a run; its columns."""
+    rows = result_rows(result, "", 0, "").select("row_no", "cells")
+    rows.write.parquet(f"{run}/rows/result={name}")
+    return result.columns
+
+
+def _observed_rows(name: str, result: DataFrame) -> int:
+    """Run a query to its last row and column; the tasks count the rows on the way."""
+    seen = Observation(name)
+    result.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.format("noop").mode(
+        "overwrite"
+    ).save()
+    return seen.get["n_rows"]
+
+
 def row_counts(
-    spark: SparkSession, open_tables: Callable[[SparkSession], Tables], texts: Mapping[int, str]
+    spark: SparkSession,
+    open_tables: Callable[[SparkSession], Tables],
+    queries: Mapping[int, str | DataFrame],
+    concurrent: int = 2 * CONCURRENT,
 ) -> DataFrame:
-    """query_id, n_rows: how many rows each query of a catalogue returns, as one plan."""
-    runner = QueryRunner(spark, open_tables)
-    counts = [
-        runner.query(text).selectExpr(f"CAST({number} AS INT) AS query_id", "1 AS one")
-        .groupBy("query_id").count()
-        for number, text in texts.items()
-    ]
-    return reduce(DataFrame.unionByName, counts).withColumnRenamed("count", "n_rows")
+    """query_id, n_rows, error: how many rows each query of a catalogue returns.
+
+    Every query runs whole, in jobs of its own, and counts as it runs: no query is planned
+    together with others and none is read twice.  A query is a text, or a DataFrame such as a
+    report, whose ranks need no window over the whole table.  Give tables that are stored;
+    bound ones would be derived again by each query.  A query that fails has its error and no
+    count."""
+    found = QueryRunner(spark, open_tables, concurrent=concurrent).run_all(
+        {str(number): query for number, query in queries.items()}, _observed_rows
+    )
+    schema = "query_id int, n_rows long, error string"
+    rows = [(int(number), n_rows, error) for number, (error, n_rows) in found.items()]
+    return spark.createDataFrame(rows, schema)
 
 
 def score_texts(

@@ -15,15 +15,19 @@ from fleetlens.model import SCHEMAS, Tables
 OPTIONAL = "quote_lines"
 
 
-def read_tables(spark: SparkSession, directory: str) -> Tables:
+def read_tables(spark: SparkSession, directory: str, optional: bool = True) -> Tables:
     """The Parquet tables of a directory with their declared schemas.
 
-    A table is opened when it is first used.  The optional one is left out if it is absent."""
+    A table is opened when it is first used.  The optional one is left out if it is absent,
+    or unasked for."""
 
     def opened(name: str) -> Callable[[], DataFrame]:
         return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}")
 
     tables: dict[str, DataFrame | Callable[[], DataFrame]] = {n: opened(n) for n in SCHEMAS}
+    if not optional:
+        del tables[OPTIONAL]
+        return Tables(tables)
     try:
         tables[OPTIONAL] = opened(OPTIONAL)()
     except AnalysisException as error:

@@ -1,5 +1,6 @@
 """Stored tables, the catalogue over them, and what the constraint checks find."""
 
+import re
 from datetime import date
 
 import pytest
@@ -9,8 +10,9 @@ from fleetlens.model import SCHEMAS, Tables
 from fleetlens.operators.integrity import all_violations
 from fleetlens.plans import reports
 from fleetlens.plans.catalogue import EVAL, TRAIN, catalogue, catalogue_table
+from fleetlens.plans.evaluation import report_truth
 from fleetlens.sources.binding import AS_OF, bind
-from fleetlens.sources.runner import row_counts
+from fleetlens.sources.runner import QueryRunner, row_counts
 from fleetlens.sources.tables import create_empty_tables, read_tables
 
 
@@ -34,7 +36,51 @@ def test_every_catalogue_query_runs(spark, stored):
         texts = {e.query_id: e.sql for e in entries if e.split == split}
         assert len(texts) == number
         counts = row_counts(spark, lambda session: read_tables(session, stored), texts)
-        assert {r["query_id"] for r in counts.collect()} <= set(texts)
+        rows = counts.collect()
+        assert {r["query_id"] for r in rows} == set(texts)
+        assert all(r["error"] is None and r["n_rows"] >= 0 for r in rows)
+
+
+def test_counts_of_reports_texts_and_failures(spark, stored, tables):
+    found = row_counts(
+        spark,
+        lambda session: read_tables(session, stored, optional=False),
+        {
+            1: "SELECT id FROM customers ORDER BY id",
+            2: "SELECT id FROM customers WHERE 1 = 0",
+            3: reports.lifetime_spend_rank(tables, AS_OF),
+            4: "SELECT no_column FROM customers",
+            5: "SELECT id FROM no_table",
+        },
+    )
+    rows = {r["query_id"]: r for r in found.collect()}
+    assert rows[1]["n_rows"] == tables.customers.count() and rows[2]["n_rows"] == 0
+    assert rows[3]["n_rows"] == reports.lifetime_spend_rank(tables, AS_OF).count() > 0
+    assert [rows[n]["n_rows"] for n in (4, 5)] == [None, None]
+    assert "no_column" in rows[4]["error"] and rows[5]["error"]
+
+
+def test_only_the_asked_reports_are_truth(spark, tables):
+    assert set(report_truth(tables, AS_OF, TRAIN, only=[23, 27])) == {23, 27}
+    assert set(report_truth(tables, AS_OF)) == set(range(1, 21))
+
+
+def test_counted_queries_rank_in_no_single_partition(spark, stored, tables):
+    """Texts 6, 23 and 27 have a window over all rows, and no other text has.  The report
+    counted instead of 6 has one over the row counts (__n) of its ranges only."""
+    lone = r"Window (\[.*)\n.*\n?.*SinglePartition"
+    for split, ranked in ((EVAL, {6}), (TRAIN, {23, 27})):
+        runner = QueryRunner(spark, lambda session: read_tables(session, stored, optional=False))
+        wide = set()
+        for e in catalogue(AS_OF):
+            if e.split == split:
+                plan = runner.query(e.sql)._jdf.queryExecution().executedPlan().toString()
+                if re.search(lone, plan):
+                    wide.add(e.query_id)
+        assert wide == ranked
+    for report in report_truth(tables, AS_OF, EVAL, only=[6]).values():
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert all("(__n#" in window for window in re.findall(lone, plan))
 
 
 def test_catalogue_is_pinned_to_its_date(spark):
