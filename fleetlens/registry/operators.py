@@ -29,7 +29,7 @@ from fleetlens.plans import definitions, evaluation, scoreboard
 from fleetlens.plans.catalogue import EVAL, TRAIN, CatalogueQuery, ansi_days, spark_days
 from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import results, runner
-from fleetlens.sources.binding import AS_OF, bind, read_warehouse, with_binding
+from fleetlens.sources.binding import AS_OF, bind, bind_once, read_warehouse, with_binding
 from fleetlens.sources.checkpoints import checkpoint_dir, written_table
 from fleetlens.sources.tables import create_empty_tables, read_tables, write_tables
 
@@ -869,7 +869,7 @@ def _rewarded(spark: SparkSession, directory: str) -> DataFrame:
         F.coalesce("raw", F.lit("")).alias("text"),
     )
     return evaluation.reward_completions(
-        spark, lambda session: bind(session, directory), _asked(spark_days), completions
+        spark, bind_once(spark, directory), _asked(spark_days), completions
     )
 
 

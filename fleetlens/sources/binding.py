@@ -8,14 +8,17 @@ region.  `bind` derives the business tables from it as lazy DataFrames, and
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.model import Tables
+from fleetlens.sources.checkpoints import checkpoint_dir
 
 # The date at which the warehouse is looked at, and the first day on
 # which a quote may have been created or sent.
@@ -47,13 +50,41 @@ def read_warehouse(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bind(spark: SparkSession, directory: str) -> Tables:
+#: Takes a session, a name and what it stands for; returns the same rows in that session.
+Kept = Callable[[SparkSession, str, DataFrame], DataFrame]
+
+
+def bind_once(spark: SparkSession, directory: str) -> Callable[[SparkSession], Tables]:
+    """The business tables in any session, for many queries over the same warehouse.
+
+    What takes joins of large tables is derived and written by the first session that binds,
+    and read from there by it and by all others."""
+    folder = f"{checkpoint_dir(spark)}/bound-{uuid.uuid4().hex}"
+    schemas: dict[str, T.StructType] = {}
+
+    def kept(session: SparkSession, name: str, df: DataFrame) -> DataFrame:
+        if name not in schemas:
+            df.write.parquet(f"{folder}/{name}")
+            schemas[name] = df.schema
+        return session.read.schema(schemas[name]).parquet(f"{folder}/{name}")
+
+    return lambda session: bind(session, directory, kept)
+
+
+def bind(spark: SparkSession, directory: str, kept: Kept | None = None) -> Tables:
     """The business tables over a warehouse directory; each is built when first used.
 
     Status and type columns are nested two-way choices over null-safe tests, because a
     filter on the chosen value then simplifies to a plain predicate for the scan.
+
+    `kept` is given what takes joins of large tables, the customers and the installed
+    equipment, by name; see `bind_once`.  All other tables are projections of the warehouse's
+    files.
     """
 
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        return kept(spark, name, df) if kept else df
+
     def raw(name: str) -> DataFrame:
         return read_warehouse(spark, directory, name)
 
@@ -82,7 +113,8 @@ def bind(spark: SparkSession, directory: str) -> Tables:
         first_order = raw("orders").groupBy("o_custkey").agg(
             F.min("o_orderdate").alias("first_ts")
         )
-        return (
+        return stored(
+            "customers",
             raw("customer")
             .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
             .join(first_order, F.expr("c_custkey = o_custkey"), "left")
@@ -97,7 +129,7 @@ def bind(spark: SparkSession, directory: str) -> Tables:
                 "CAST(first_ts AS DATE) AS acquisition_date",
                 "IF(c_acctbal < 0, 'churned', IF(c_acctbal < 500, 'inactive', 'active')) "
                 "AS status",
-            )
+            ),
         )
 
     def products() -> DataFrame:
@@ -132,6 +164,7 @@ def bind(spark: SparkSession, directory: str) -> Tables:
             "l_extendedprice AS line_value",
         )
 
+    @cache
     def installed() -> DataFrame:
         """One row per (order, line number) of urgent equipment lines.
 
@@ -142,7 +175,8 @@ def bind(spark: SparkSession, directory: str) -> Tables:
         """
         urgent = raw("orders").filter(F.col("o_orderpriority") == URGENT)
         equipment = raw("part").filter(F.col("p_type").isin(*EQUIPMENT_TYPES))
-        return (
+        return stored(
+            "installed",
             raw("lineitem")
             .join(urgent, F.expr("l_orderkey = o_orderkey"))
             .join(equipment, F.expr("l_partkey = p_partkey"))
@@ -157,7 +191,7 @@ def bind(spark: SparkSession, directory: str) -> Tables:
                     "AS is_open"
                 ),
             )
-            .withColumn("id", F.expr("l_orderkey * 10 + l_linenumber"))
+            .withColumn("id", F.expr("l_orderkey * 10 + l_linenumber")),
         )
 
     def machines() -> DataFrame:

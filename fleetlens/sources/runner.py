@@ -75,7 +75,7 @@ class QueryRunner:
         self.views = frozenset(name.lower() for name in tables)
 
     def query(self, text: str) -> DataFrame:
-        return admitted(self.spark, text.strip().removesuffix(";"), self.views)
+        return admitted(self.spark, _statement(text), self.views)
 
     def store(
         self, queries: Iterable[tuple[str, int, str, str | DataFrame]], directory: str
@@ -198,10 +198,16 @@ class QueryRunner:
         return stored.join(uses, "result").select(*ROW_SCHEMA.names)
 
 
+def _statement(text: str) -> str:
+    """What is run of a text: without white space around it and the semicolon at its end."""
+    return text.strip().removesuffix(";")
+
+
 def _key(query: str | DataFrame) -> str | int:
-    """Equal texts have equal keys of fixed size; a DataFrame is itself."""
+    """Texts that run as the same statement have equal keys of fixed size; a DataFrame is
+    itself."""
     if isinstance(query, str):
-        return hashlib.sha256(query.encode()).hexdigest()
+        return hashlib.sha256(_statement(query).encode()).hexdigest()
     return id(query)
 
 
