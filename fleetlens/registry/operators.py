@@ -839,7 +839,7 @@ def _score_responses(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("model"), "customer").alias("model"), "query_id", "raw"
     )
     scored = evaluation.evaluate_responses(
-        spark, lambda session: bind(session, directory), _asked(spark_days), responses
+        spark, bind_once(spark, directory), _asked(spark_days), responses
     )
     return scored.select(
         F.col("model_name").alias("model"),
