@@ -89,19 +89,16 @@ _RANKED = {EVAL: [6], TRAIN: [23, 27]}
     ),
 )
 def _catalogue_row_counts(spark: SparkSession, directory: str) -> DataFrame:
-    # Each table is bound once; all texts read the stored ones.
-    folder = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
-    write_tables(bind(spark, directory), folder)
-    tables = read_tables(spark, folder, optional=False)
+    # What binding derives by joins is stored once; all texts read it.
+    open_tables = bind_once(spark, directory)
+    tables = open_tables(spark)
     counted = []
     for split, ranked in _RANKED.items():
         asked: dict[int, str | DataFrame] = {
             e.query_id: e.sql for e in warehouse_catalogue(spark_days) if e.split == split
         }
         truth = evaluation.report_truth(tables, AS_OF, split, only=ranked)
-        counts = runner.row_counts(
-            spark, lambda session: read_tables(session, folder, optional=False), asked | truth
-        )
+        counts = runner.row_counts(spark, open_tables, asked | truth)
         counted.append(counts.select(F.lit(split).alias("split"), "query_id", "n_rows"))
     return reduce(DataFrame.unionByName, counted)
 
