@@ -99,10 +99,10 @@ def _bag_sums(*cells: str) -> list[Column]:
 
 def _equal_bags(rows: DataFrame, sums: DataFrame, *cells: str) -> DataFrame:
     """The pairs whose two bags are equal.  Only those that the sums leave open are grouped by
-    their cells."""
+    their cells; a join shuffled by pair would leave all rows of a pair to one task."""
     open_pairs = sums.filter("may_be_equal AND gt_rows > 0").select(*PAIR)
     return (
-        _bag_counts(rows.join(open_pairs, PAIR, "left_semi"), *cells)
+        _bag_counts(rows.join(F.broadcast(open_pairs), PAIR, "left_semi"), *cells)
         .groupBy(*PAIR)
         .agg(F.bool_and(F.col("gt_n") == F.col("gen_n")).alias("equal"))
         .filter("equal")
@@ -157,7 +157,10 @@ def score_pairs(outcomes: DataFrame, rows: DataFrame, training: bool = False) ->
         .agg(F.array_sort(F.collect_list(F.struct("gt_index", "gen_index"))).alias("mapping"))
     )
     undecided = whole.filter("gt_rows > 0 AND gen_rows > 0 AND whole_equal IS NULL").select(*PAIR)
-    projected = _matchable(rows.join(mapping.join(undecided, PAIR, "left_semi"), PAIR), training)
+    # One row per pair, so its size is that of the outcomes, which the driver has held.  Spark
+    # cannot tell, and rows shuffled by pair would all be grouped in one task per pair.
+    asked = F.broadcast(mapping.join(undecided, PAIR, "left_semi"))
+    projected = _matchable(rows.join(asked, PAIR), training)
     compared = ("signature", "numbers")
     if training:  # membership needs all rows grouped, which tells equal bags too
         exact = (

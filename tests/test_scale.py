@@ -1,10 +1,13 @@
 """What is done once, whatever asks for it."""
 
+import re
 from datetime import datetime
 from pathlib import Path
 
 import pytest
 
+from fleetlens.operators import compare
+from fleetlens.registry.operators import _stored_pairs
 from fleetlens.sources.binding import bind, bind_once
 from fleetlens.sources.checkpoints import checkpoint_dir
 from fleetlens.sources.runner import QueryRunner
@@ -73,3 +76,15 @@ def test_texts_of_one_statement_run_once(spark, warehouse, tmp_path):
     outcomes, rows = runner.store(entries, str(tmp_path))
     assert len(list(tmp_path.glob("run-*/rows/result=*"))) == 1
     assert outcomes.filter("ok").count() == 2 and rows.count() == 4
+
+
+def test_rows_of_a_pair_are_grouped_by_many_tasks(spark):
+    results = [
+        (1, spark.range(50).selectExpr("concat('k', id) AS name"),
+         spark.range(40).selectExpr("concat('k', id) AS name", "id AS more"))
+    ]
+    outcomes, rows = _stored_pairs(spark, results)
+    scored = compare.score_pairs(outcomes, rows, training=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(model#\d+, query_id#\d+, signature", plan)
+    assert [(r["matched"], r["result_match"]) for r in scored.collect()] == [(40, 0.5)]
