@@ -16,10 +16,11 @@ is 0; repeated rows get equal scores; an empty table gives no rows; inputs other
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,17 @@ def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def coordinates(text: str) -> np.ndarray:
+    """The distinct coordinates of a text and the bias, four bytes each."""
+    return np.append(np.unique(features(text)), np.int32(_BIAS))
+
+
+def fit(texts: Iterable[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates with weights other than zero, the last of all being the bias."""
+    return _fit_rows(list(map(coordinates, texts)), labels)
+
+
+def _fit_rows(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
     l1 = np.full(_BIAS + 1, L1)
     l1[_BIAS] = 0.0
@@ -78,7 +88,6 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
             np.abs(z[i]) <= l1[i], 0.0, -shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
         )
 
-    rows = [np.append(np.unique(features(t)), _BIAS) for t in texts]
     for _ in range(EPOCHS):
         for i, y in zip(rows, labels, strict=True):
             w = weights(i)
@@ -91,12 +100,17 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return kept, w[kept]
 
 
-def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat([pd.DataFrame({"text": [], "label": []}), *batches])
-    labels = rows["label"].astype(int).tolist()
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are taken one at a time; of each only its coordinates stay."""
+    rows, labels = [], []
+    for batch in batches:
+        rows += [coordinates(text.as_py()) for text in batch.column(0)]
+        labels += batch.column(1).to_pylist()
     if 0 < sum(labels) < len(labels):
-        at, weight = fit(rows["text"].tolist(), labels)
-        yield pd.DataFrame({"at": at, "weight": weight})
+        at, weight = _fit_rows(rows, labels)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int64()), pa.array(weight, pa.float64())], names=["at", "weight"]
+        )
 
 
 def fit_model(
@@ -115,7 +129,7 @@ def fit_model(
         sample.repartition(1)
         .sortWithinPartitions("order", "key")
         .select("text", "label")
-        .mapInPandas(_fit_batches, "at long, weight double")
+        .mapInArrow(_fit_batches, "at long, weight double")
     )
     return [(r["at"], r["weight"]) for r in fitted.collect()]
 

@@ -4,8 +4,11 @@ import re
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from fleetlens.llm import toxicity
 from fleetlens.operators import compare
 from fleetlens.registry.operators import _stored_pairs
 from fleetlens.sources.binding import bind, bind_once
@@ -88,3 +91,14 @@ def test_rows_of_a_pair_are_grouped_by_many_tasks(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(model#\d+, query_id#\d+, signature", plan)
     assert [(r["matched"], r["result_match"]) for r in scored.collect()] == [(40, 0.5)]
+
+
+def test_fitting_holds_four_bytes_a_coordinate():
+    assert toxicity.coordinates("some words of a text").dtype == np.int32
+    texts, labels = ["bad word here", "good text there"] * 40, [1, 0] * 40
+    one = toxicity.fit(texts, labels)
+    halves = [pa.RecordBatch.from_pydict({"text": texts[i : i + 40], "label": labels[i : i + 40]})
+              for i in (0, 40)]
+    (found,) = toxicity._fit_batches(iter(halves))
+    assert found.column(0).to_pylist() == one[0].tolist() != []
+    assert found.column(1).to_pylist() == one[1].tolist()
