@@ -13,7 +13,8 @@ pair.  A character outside the vocabulary counts one token per byte.
 
 No piece goes on behind its space marks with another one, so the counts of a text are those
 of its words strung together.  Words repeat a lot and their counts are kept in a bounded
-table.  Long texts are taken a segment at a time, long words a character at a time.
+table.  New words are cut where no piece holds the two characters side by side; what is between
+cuts repeats too, and is kept likewise.  Long texts are taken a segment at a time, long words a character at a time.
 
 The result of a text is its prefix table: per code point, the change of the count as one
 signed byte (a longer prefix can have fewer tokens).  `tokens_before` and `longest_within`
@@ -64,6 +65,8 @@ class PrefixCounter:
         self.score = {library.id_to_piece(i): library.get_score(i) for i in plain}
         self.longest = max(map(len, self.score))
         joined = {c for piece in self.score if len(piece) > 1 for c in piece}
+        # Neighbours inside some piece; no merge goes over any others.
+        self.joins = {piece[i : i + 2] for piece in self.score for i in range(len(piece) - 1)}
         if any(a != SPACE and b == SPACE for p in self.score for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece goes on with a space mark")
         inside = "".join(map(re.escape, sorted(joined - {SPACE})))
@@ -80,6 +83,7 @@ class PrefixCounter:
             node[""] = number
         self.beside: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.memo_parts: dict[str, bytes] = {}
         for probe in _PROBES:
             if sum(np.frombuffer(self.table(probe), np.int8)) != len(library.encode(probe)):
                 raise ValueError("not a BPE model with byte fallback and texts as they are")
@@ -151,14 +155,29 @@ class PrefixCounter:
                 del last[: -self.longest], count[: -self.longest]
         return bytes(out)
 
-    def _known(self, word: str) -> bytes:
-        found = self.word(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = found
+    def _parts(self, word: str) -> list[str]:
+        """A word cut between neighbours that no piece holds side by side."""
+        joins, at, parts = self.joins, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joins:
+                parts.append(word[at:i])
+                at = i
+        parts.append(word[at:])
+        return parts
+
+    @staticmethod
+    def _kept(memo: dict[str, bytes], said: str, found: bytes) -> bytes:
+        if len(said) <= MEMO_CHARS:
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
+            memo[said] = found
         return found
 
+    def _known(self, word: str) -> bytes:
+        known, keep = self.memo_parts.get, self._kept
+        found = [known(p) or keep(self.memo_parts, p, self.word(p)) for p in self._parts(word)]
+        return keep(self.memo, word, b"".join(found))
+
     def table(self, text: str) -> bytes:
         """The prefix table of a text: one signed byte per code point."""
         if not text:

@@ -7,8 +7,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 
-from fleetlens.llm import toxicity
+from fleetlens.llm import token_counts, toxicity
+from fleetlens.llm.queries import tokenizer_path
 from fleetlens.operators import compare
 from fleetlens.registry.operators import _stored_pairs
 from fleetlens.sources.binding import bind, bind_once
@@ -102,3 +104,17 @@ def test_fitting_holds_four_bytes_a_coordinate():
     (found,) = toxicity._fit_batches(iter(halves))
     assert found.column(0).to_pylist() == one[0].tolist() != []
     assert found.column(1).to_pylist() == one[1].tolist()
+
+
+def test_parts_of_a_word_are_counted_once():
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as file:
+        source = file.read()
+    counter = token_counts.PrefixCounter(source)
+    library = sentencepiece.SentencePieceProcessor(model_proto=source)
+    counted = []
+    word, counter.word = counter.word, lambda part: (counted.append(part), word(part))[1]
+    cut = next(a + b for a in "xyz" for b in "qjk" if a + b not in counter.joins)
+    for text in (f"the{cut}then", f"then{cut}the", f"{cut}{cut} é{cut}\U00012000{cut}", "plain"):
+        table = np.frombuffer(counter.table(text), np.int8)
+        assert sum(table) == len(library.encode(text)) and len(table) == len(text)
+    assert len(counted) == len(set(counted)) and not any(cut in part for part in counted)
