@@ -8,8 +8,8 @@ vocabulary that may stand behind the last piece of what comes before it, and
 
     count(prefix) = count(prefix without its last piece) + 1.
 
-Whether two pieces may stand side by side is found by merging their few characters, once per
-pair.  A character outside the vocabulary counts one token per byte.
+Whether two pieces may stand side by side is found once per pair, by going through the merges
+that make either of them and asking whether one over the boundary would come first.  A character outside the vocabulary counts one token per byte.
 
 No piece goes on behind its space marks with another one, so the counts of a text are those
 of its words strung together.  Words repeat a lot and their counts are kept in a bounded
@@ -29,8 +29,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -52,6 +54,36 @@ _ID = 22  # bits of a piece's number in a pair
 _PROBES = ("a", "  a b ", "the quick\n\nbrown fox", "<s>x</s>", "éß́ \U00012000\t\x00", SPACE + "x")
 
 
+def _automaton(pieces: list[str]) -> tuple[list[dict[str, int]], list[int], list[tuple]]:
+    """By state: the next by character, the one to fall back to, and the pieces that end here.
+
+    A state is the longest end of the text read that begins a piece.  Pieces come the longest
+    first, as (minus their length, number)."""
+    goto, own, depth = [{}], [0], [0]
+    for number, piece in enumerate(pieces[1:], 1):
+        state = 0
+        for c in piece:
+            to = goto[state].get(c)
+            if to is None:
+                to = goto[state][c] = len(goto)
+                goto.append({})
+                own.append(0)
+                depth.append(depth[state] + 1)
+            state = to
+        own[state] = number
+    fail, ends, queue = [0] * len(goto), [()] * len(goto), [0]
+    for state in queue:
+        for c, to in goto[state].items():
+            back = fail[state]
+            while back and c not in goto[back]:
+                back = fail[back]
+            fail[to] = goto[back].get(c, 0) if state else 0
+            here = ((-depth[to], own[to]),) if own[to] else ()
+            ends[to] = here + ends[fail[to]]
+            queue.append(to)
+    return goto, fail, ends
+
+
 class PrefixCounter:
     """Prefix tables for one model file."""
 
@@ -73,14 +105,10 @@ class PrefixCounter:
         # A word with its space marks; marks alone; characters that no longer piece holds.
         self.words = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{SPACE}{inside}]+")
         self.cut = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-        # Pieces by number (0: nothing before), and by their characters from the last one on.
+        # Pieces by number; 0: nothing before.
         self.pieces = ["", *self.score]
-        self.endings: dict = {}
-        for number, piece in enumerate(self.pieces[1:], 1):
-            node = self.endings
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = number
+        self.goto, self.fail, self.ends = _automaton(self.pieces)
+        self.making: dict[int, tuple | None] = {}
         self.beside: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.memo_parts: dict[str, bytes] = {}
@@ -88,17 +116,20 @@ class PrefixCounter:
             if sum(np.frombuffer(self.table(probe), np.int8)) != len(library.encode(probe)):
                 raise ValueError("not a BPE model with byte fallback and texts as they are")
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text: best score first, then leftmost."""
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
+        """The pieces of a short text: best score first, then leftmost.
+
+        `steps` gets of each merge its score, and the text's first and last piece after it."""
         score = self.score.get
         piece, after = list(text), list(range(1, len(text) + 1))
         before = list(range(-1, len(text) - 1))
+        end = len(text) - 1
         heap = [
             (-s, i, p) for i in range(len(text) - 1) if (s := score(p := text[i : i + 2])) is not None
         ]
         heapq.heapify(heap)
         while heap:
-            _, i, p = heapq.heappop(heap)
+            s, i, p = heapq.heappop(heap)
             j = after[i]
             if not piece[i] or j >= len(text) or piece[i] + piece[j] != p:
                 continue
@@ -106,6 +137,10 @@ class PrefixCounter:
             after[i] = k = after[j]
             if k < len(text):
                 before[k] = i
+            else:
+                end = i
+            if steps is not None:
+                steps.append((-s, piece[0], piece[end]))
             for left, right in ((before[i], i), (i, k)):
                 if left >= 0 and right < len(text):
                     joined = piece[left] + piece[right]
@@ -113,12 +148,49 @@ class PrefixCounter:
                         heapq.heappush(heap, (-s, left, joined))
         return [p for p in piece if p]
 
+    def _made(self, number: int) -> tuple[str, str, list] | None:
+        """First and last character of a piece and the steps that make it, then a least
+        score; None if merging does not make it."""
+        if number in self.making:
+            return self.making[number]
+        piece, steps = self.piece(number), []
+        whole = self.merged(piece, steps) == [piece]
+        found = (piece[0], piece[-1], [*steps, (-math.inf, "", "")]) if whole else None
+        if number < len(self.pieces):
+            self.making[number] = found
+        return found
+
+    def _apart(self, before: int, last: int) -> bool:
+        """Whether no merge goes over the boundary of two pieces while they are made.
+
+        Up to such a merge each is made as if alone, and the better next step comes first."""
+        a, b = self._made(before), self._made(last)
+        if a is None or b is None:
+            return False
+        score = self.score.get
+        left, steps, right, others = a[1], iter(a[2]), b[0], iter(b[2])
+        step, other, over = next(steps), next(others), score(left + right)
+        while True:
+            mine, its = step[0], other[0]
+            if over is not None and over > mine and over >= its:  # a tie goes to the left
+                return False
+            if mine == its == -math.inf:
+                return True
+            if mine >= its:
+                edge, step = step[2], next(steps)
+                if edge != left:
+                    left, over = edge, score(edge + right)
+            else:
+                edge, other = other[1], next(others)
+                if edge != right:
+                    right, over = edge, score(left + edge)
+
     def _may_stand(self, before: int, last: int) -> bool:
         """Whether merging leaves two pieces apart and each of them whole."""
         if len(self.beside) >= MEMO_PAIRS:
             self.beside.clear()
-        pair = [self.piece(i) for i in (before, last) if i]
-        found = self.beside[before << _ID | last] = self.merged("".join(pair)) == pair
+        found = self._apart(before, last) if before else self._made(last) is not None
+        self.beside[before << _ID | last] = found
         return found
 
     def piece(self, number: int) -> str:
@@ -126,20 +198,15 @@ class PrefixCounter:
 
     def word(self, word: str) -> bytes:
         """Change of the count at each character of a word, as signed bytes."""
-        beside, root, none = self.beside.get, self.endings, len(self.pieces)
+        beside, none = self.beside.get, len(self.pieces)
+        goto, fail, ends, state = self.goto, self.fail, self.ends, 0
         last, count = [0], [0]  # of the prefixes that a piece can still go back to
         out = bytearray()
         for i, c in enumerate(word):
-            # The pieces that end here, the shortest first.
-            ends, node, back = [], root, -1
-            while (node := node.get(c)) is not None:
-                if (number := node.get("")) is not None:
-                    ends.append((back, number))
-                if i + back < 0:
-                    break
-                c = word[i + back]
-                back -= 1
-            for back, number in reversed(ends):
+            while (to := goto[state].get(c)) is None and state:
+                state = fail[state]
+            state = to or 0
+            for back, number in ends[state]:
                 before = last[back]
                 stands = beside(before << _ID | number)
                 if stands or stands is None and self._may_stand(before, number):
@@ -158,6 +225,8 @@ class PrefixCounter:
     def _parts(self, word: str) -> list[str]:
         """A word cut between neighbours that no piece holds side by side."""
         joins, at, parts = self.joins, 0, []
+        if joins.issuperset(map(add, word, word[1:])):
+            return [word]
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in joins:
                 parts.append(word[at:i])

@@ -118,3 +118,23 @@ def test_parts_of_a_word_are_counted_once():
         table = np.frombuffer(counter.table(text), np.int8)
         assert sum(table) == len(library.encode(text)) and len(table) == len(text)
     assert len(counted) == len(set(counted)) and not any(cut in part for part in counted)
+
+
+def test_neighbours_are_told_from_the_steps_of_their_pieces():
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as file:
+        source = file.read()
+    counter = token_counts.PrefixCounter(source)
+    asked, merged = [], counter.merged
+    counter.merged = lambda text, *more: (asked.append(text), merged(text, *more))[1]
+    counter.table("their own words, newly joined, and unjoinable thenthethatof")
+    assert all(text in counter.score or len(text) == 1 for text in asked)
+    assert len(asked) == len(set(asked))
+    rng = np.random.default_rng(7)
+    short = [i for i in range(1, len(counter.pieces)) if len(counter.pieces[i]) < 4]
+    pairs = [*rng.integers(1, len(counter.pieces), (2000, 2)), *rng.choice(short, (4000, 2))]
+    found = []
+    for before, last in pairs:
+        pair = [counter.piece(before), counter.piece(last)]
+        found.append(counter._may_stand(int(before), int(last)))
+        assert found[-1] == (merged("".join(pair)) == pair)
+    assert {True, False} == set(found)
