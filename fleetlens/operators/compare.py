@@ -234,11 +234,14 @@ def _matchable(rows: DataFrame, exact: bool) -> DataFrame:
         ",",
     )
     numeric = F.filter("cells", lambda c: c["kind"] == "num")
-    return aligned.select(
+    # A text shorter than a digest stands for itself.
+    digest = F.unhex(F.sha2("fixed", 256))
+    signature = F.when(F.octet_length("fixed") < 32, F.col("fixed").cast("binary")).otherwise(digest)
+    return aligned.withColumn("fixed", fixed).select(
         *PAIR,
         "side",
         "row_no",
-        F.unhex(F.sha2(fixed, 256)).alias("signature"),
-        F.array_join(F.transform("cells", lambda c: c["kind"]), ",").alias("pattern"),
-        F.transform(numeric, lambda c: c["num"]).alias("numbers"),
+        signature.alias("signature"),
+        F.array_join(F.col("cells")["kind"], ",").alias("pattern"),
+        numeric["num"].alias("numbers"),
     )

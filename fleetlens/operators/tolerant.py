@@ -50,20 +50,14 @@ _GROUP = ["pair", "signature"]
 _BLOCK = [*_GROUP, "component"]
 
 
-def _all_close(left: str, right: str) -> Column:
-    def close(a: Column, b: Column) -> Column:
-        limit = F.greatest(F.abs(a), F.abs(b), F.lit(FLOOR)) * TOLERANCE
-        return F.abs(a - b) <= limit
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b), F.lit(FLOOR)) * TOLERANCE
 
-    return F.forall(F.zip_with(left, right, close), lambda c: c)
 
-
-def _one_number_all_close() -> Column:
-    """Rows of one number whose whole span is within the tolerance of the smallest."""
-    low, high = F.get("low", F.lit(0)), F.get("high", F.lit(0))
+def _span_is_close(low: Column, high: Column) -> Column:
+    """Whether numbers from low to high are all within the tolerance of the smallest."""
     smallest = F.when(low * high > 0, F.least(F.abs(low), F.abs(high))).otherwise(0.0)
-    span_is_close = high - low <= F.greatest(smallest, F.lit(FLOOR)) * TOLERANCE
-    return (F.size("low") == 1) & F.coalesce(span_is_close, F.lit(False))
+    return high - low <= F.greatest(smallest, F.lit(FLOOR)) * TOLERANCE
 
 
 def tolerance_bin(value: Column) -> Column:
@@ -121,43 +115,59 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
 
 
 def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per block with rows on both sides: counts, and how to solve it."""
-    largest = F.greatest("gt_n", "gen_n")
-    # Rows that are all alike, or all close to each other, match as far as they go.  In
-    # a block of one row a side, low and high are those two rows.
-    simple = (F.col("low") == F.col("high")) | (largest == 1) | _one_number_all_close()
+    """One row per block with rows on both sides: counts, how many numbers a row has, how to
+    solve the block, and what it serves if that needs no matching."""
     counts = [
         F.count_if(F.col("side") == TRUTH).alias("gt_n"),
         F.count_if(F.col("side") == GENERATED).alias("gen_n"),
     ]
     # All rows of a block have as many numbers.  One number at most is the common case, and
-    # plain doubles can be aggregated by hashing, which arrays cannot.
+    # plain doubles can be aggregated by hashing and compared in compiled code, which arrays
+    # cannot.
     first, width = F.get("numbers", F.lit(0)), F.size("numbers")
-
-    def alone(number: str) -> Column:
-        return F.filter(F.array(number), lambda c: c.isNotNull()).alias(number)
-
+    low, high = F.col("low"), F.col("high")
     narrow = (
         rows.filter(width <= 1)
         .groupBy(*keys)
         .agg(*counts, F.min(first).alias("low"), F.max(first).alias("high"))
-        .select(*keys, "gt_n", "gen_n", alone("low"), alone("high"))
+        .select(
+            *keys,
+            "gt_n",
+            "gen_n",
+            low.isNotNull().cast("int").alias("width"),
+            # Rows that are all alike, or all close to each other, match as far as they go.
+            (low.isNull() | (low == high) | _span_is_close(low, high)).alias("alike"),
+            (low.isNull() | _close(low, high)).alias("close"),
+        )
     )
     wide = (
         rows.filter(width > 1)
         .groupBy(*keys)
         .agg(*counts, F.min("numbers").alias("low"), F.max("numbers").alias("high"))
+        .select(
+            *keys,
+            "gt_n",
+            "gen_n",
+            F.size(low).alias("width"),
+            (low == high).alias("alike"),
+            F.forall(F.zip_with(low, high, _close), lambda c: c).alias("close"),
+        )
     )
+    # In a block of one row a side, low and high are those two rows.
+    largest = F.greatest("gt_n", "gen_n")
+    simple = F.col("alike") | (largest == 1)
+    served = F.when(F.col("close"), F.least("gt_n", "gen_n")).otherwise(0)
     return written_table(
         narrow.unionByName(wide)
         .filter("gt_n > 0 AND gen_n > 0")
         .withColumns({"simple": simple, "oversize": ~simple & (largest > BLOCK_LIMIT)})
+        .withColumn("served", F.when(F.col("simple"), served))
+        .drop("alike", "close")
     )
 
 
 def _at_once(sizes: DataFrame) -> DataFrame:
-    served = F.when(_all_close("low", "high"), F.least("gt_n", "gen_n")).otherwise(0)
-    return sizes.filter("simple").select("pair", served.alias("matched"))
+    return sizes.filter("simple").select("pair", F.col("served").alias("matched"))
 
 
 def _one_call_each(rows: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,7 +200,7 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
         blocks = written_table(_with_components(rows.join(large, _GROUP, "left_semi")))
         sizes = _sizes(blocks, _BLOCK)
         parts += _small_blocks(blocks, sizes, _BLOCK)
-        one_number = (F.size("low") == 1) & (F.greatest("gt_n", "gen_n") <= DENSE_LIMIT)
+        one_number = (F.col("width") == 1) & (F.greatest("gt_n", "gen_n") <= DENSE_LIMIT)
         oversize = sizes.filter("oversize").select(*_BLOCK, one_number.alias("dense"))
         kinds = {r["dense"] for r in oversize.select("dense").distinct().collect()}
         if True in kinds:

@@ -30,7 +30,7 @@ from fleetlens.plans.catalogue import EVAL, TRAIN, CatalogueQuery, ansi_days, sp
 from fleetlens.registry.reports import Query, warehouse_catalogue
 from fleetlens.sources import results, runner
 from fleetlens.sources.binding import AS_OF, bind, bind_once, read_warehouse, with_binding
-from fleetlens.sources.checkpoints import checkpoint_dir, written_table
+from fleetlens.sources.checkpoints import checkpoint_dir
 from fleetlens.sources.tables import create_empty_tables, read_tables, write_tables
 
 _QUERIES: dict[str, Query] = {}
@@ -580,9 +580,8 @@ def _pairs(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
             f"o_totalprice * {scale} AS VALUE", "o_custkey AS buyer", _TRUTH_ROW[0]
         )
         pairs.append((number, truth, copy))
-    outcomes, rows = _stored_pairs(spark, pairs)
-    # Written once: the comparer reads the rows more than once.
-    return outcomes, written_table(rows)
+    # Not written: the comparer reads the rows twice, which costs less than writing their cells.
+    return _stored_pairs(spark, pairs)
 
 
 def _scores_sql(close: str) -> str:

@@ -2,19 +2,23 @@
 
 import re
 from datetime import datetime
+from decimal import ROUND_HALF_EVEN, Decimal
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import half_even_2
 from fleetlens.llm import token_counts, toxicity
 from fleetlens.llm.queries import tokenizer_path
-from fleetlens.operators import compare
-from fleetlens.registry.operators import _stored_pairs
+from fleetlens.operators import compare, tolerant
+from fleetlens.registry.operators import _pairs, _stored_pairs
 from fleetlens.sources.binding import bind, bind_once
 from fleetlens.sources.checkpoints import checkpoint_dir
+from fleetlens.sources.results import GENERATED, ROW_SCHEMA, TRUTH
 from fleetlens.sources.runner import QueryRunner
 
 
@@ -138,3 +142,60 @@ def test_neighbours_are_told_from_the_steps_of_their_pieces():
         found.append(counter._may_stand(int(before), int(last)))
         assert found[-1] == (merged("".join(pair)) == pair)
     assert {True, False} == set(found)
+
+
+def test_result_rows_are_compared_without_writing_their_cells(spark, warehouse):
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    outcomes, rows = _pairs(spark, warehouse)
+    assert set(folder.rglob("part-*")) == before
+    assert rows.count() == 10 and outcomes.count() == 12  # one order, kept by four copies
+
+
+def test_signatures_are_no_longer_than_short_texts(spark):
+    texts = ["x", "a,1:b", "1:x", None, "s" * 27, "s" * 28, "s" * 80, "é" * 14, "s" * 27]
+    cells = [("null" if t is None else "str", None, t) for t in texts]
+    rows = spark.createDataFrame(
+        [("m", 1, TRUTH, i, [c, ("num", 2.0, None)]) for i, c in enumerate(cells)], ROW_SCHEMA
+    ).selectExpr("*", "array(struct(0 AS gt_index, 0 AS gen_index)) AS mapping")
+    found = compare._matchable(rows, exact=False).orderBy("row_no").collect()
+    signatures = [bytes(r["signature"]) for r in found]
+    sizes = [len(s) for s in signatures]
+    assert sizes == [3, 7, 5, 4, 30, 31, 32, 31, 30]
+    assert signatures[4] == signatures[8] and len(set(signatures)) == len(texts) - 1
+    assert [r["pattern"] for r in found[2:4]] == ["str", "null"]
+
+
+def test_blocks_are_sized_without_arrays(spark):
+    data = [
+        ("alone", TRUTH, [1.0]), ("alone", GENERATED, [1.01]),
+        ("apart", TRUTH, [1.0]), ("apart", GENERATED, [3.0]),
+        ("texts", TRUTH, []), ("texts", TRUTH, []), ("texts", GENERATED, []),
+        ("near", TRUTH, [100.0]), ("near", TRUTH, [101.0]), ("near", GENERATED, [101.5]),
+        ("mixed", TRUTH, [1.0]), ("mixed", TRUTH, [9.0]), ("mixed", GENERATED, [9.0]),
+        ("wide", TRUTH, [1.0, 2.0]), ("wide", GENERATED, [1.0, 2.01]),
+        ("one side", TRUTH, [1.0]),
+    ]
+    rows = spark.createDataFrame(
+        [("p", s, side, i, n) for i, (s, side, n) in enumerate(data)],
+        "pair string, signature string, side string, row_no long, numbers array<double>",
+    )
+    sizes = tolerant._sizes(rows, ["pair", "signature"])
+    assert not [c for c, kind in sizes.dtypes if "array" in kind]
+    found = {r["signature"]: (r["width"], r["simple"], r["served"]) for r in sizes.collect()}
+    assert found == {
+        "alone": (1, True, 1), "apart": (1, True, 0), "texts": (0, True, 1), "near": (1, True, 1),
+        "mixed": (1, False, None), "wide": (2, True, 1),
+    }
+
+
+def test_rounding_away_from_ties_is_the_number_format(spark):
+    rng = np.random.default_rng(5)
+    values = [2.675, -2.675, 0.125, 0.375, -0.001, 1e9, 999999999.995, -123456789.125, 1e15]
+    values += [float(v) for k in range(-3, 13) for v in rng.normal(0, 10.0**k, 50)]
+    column = half_even_2(F.col("v"))
+    plan = spark.createDataFrame([(v,) for v in values], "v double").select("v", column.alias("r"))
+    assert "rint" in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    for row in plan.collect():
+        exact = Decimal(row["v"]).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+        assert str(row["r"]) == str(float(exact) + 0.0)
