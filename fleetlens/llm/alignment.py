@@ -4,11 +4,12 @@ A is a byte-level BPE file (JSON, ids in merge order), B a SentencePiece model t
 before a text; A gets that space too.  After full tokenisation with both libraries an anchor is a byte
 offset at which tokens of both end and space-marked tokens of both begin.  Anchors are
 verified: the bytes of all tokens, joined, must be the text's own, so equal offsets are equal
-places.  They cut a text into windows of token ids, mostly one word long.  What aligning a
-window gives depends on its ids alone, so it is memoised by the pair of id tuples.
+places.  They cut a text into windows, mostly one word long.
 
-Inside a window A and B are walked together: where both end a token, a group closes; each
-pair of tokens whose bytes overlap is a link.
+A window with a single token of A or of B is one group, and that token is linked with all of
+the other side's.  Inside the other windows A and B are walked together, all windows of a text
+at once: where both end a token, a group closes; from one end to the next, of either side, lies
+the overlap of one pair of tokens, a link.
 
 How many documents hold a linked id pair is counted over the corpus, and each document is
 given the counts of its pairs.  Both work on distinct pairs per document.  The counts that
@@ -27,7 +28,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -46,20 +46,10 @@ from fleetlens.sources.checkpoints import written_table
 SPACE = "▁"
 # Fixed value: the words of byte-level files that name no pattern of their own.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_WINDOWS = 300_000
-MEMO_TOKENS = 48  # windows of more tokens are not kept
 BATCH_CHARS = 1 << 20  # characters tokenised in one call; a longer text has one of its own
 FREQUENT_PAIRS = 1_000_000  # pairs with their counts that are broadcast at most
-_ID_BYTES = 4
 _B_BITS = 32  # of the B id in a pair
-
-
-class Window(NamedTuple):
-    """What aligning gives: number of groups, their text, and the linked pairs as packed longs."""
-
-    groups: int
-    said: bytes
-    pairs: bytes
+_SAID = 11  # bytes of an id's decimal digits and the mark behind them
 
 
 class Document(NamedTuple):
@@ -76,13 +66,16 @@ _NONE = Document(0, 0, 0, 0, b"", np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 class Vocabulary:
-    """Bytes of each id, their lengths, and whether they begin with a space."""
+    """Bytes of each id, their lengths, and whether they begin with a space.
+
+    `said` has two rows an id: what a group says of it, before another token and as the last
+    of its side, which `closing` follows."""
 
-    def __init__(self, tokens: Sequence[bytes]):
+    def __init__(self, tokens: Sequence[bytes], closing: str):
         self.tokens = list(tokens)
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.size_list = self.sizes.tolist()  # quicker for single ids
-        self.said = [str(i) for i in range(len(self.tokens))]
+        said = [f"{i}{mark}" for i in range(len(self.tokens)) for mark in f",{closing}"]
+        self.said = np.array(said, dtype=f"S{_SAID}")
         self.opens = np.array([t[:1] == b" " for t in tokens], dtype=bool)
 
     def joined(self, ids: Sequence[int]) -> bytes:
@@ -106,85 +99,74 @@ class Aligner:
             "given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         names = {i: data for data, i in ranks.items()}
-        self.of_a = Vocabulary([names.get(i, b"") for i in range(max(names) + 1)])
+        self.of_a = Vocabulary([names.get(i, b"") for i in range(max(names) + 1)], "|")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
-        self.of_b = Vocabulary([self._piece_bytes(i) for i in range(self.b.get_piece_size())])
-        self.memo: dict[tuple[bytes, bytes], Window] = {}
+        self.of_b = Vocabulary([self._piece_bytes(i) for i in range(self.b.get_piece_size())], ";")
+        self.said = np.concatenate([self.of_a.said, self.of_b.said])
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def window(self, a: Sequence[int], b: Sequence[int]) -> Window:
-        """Both walked side by side; they span the same bytes."""
-        size_a, size_b, said_a, said_b = (
-            self.of_a.size_list, self.of_b.size_list, self.of_a.said, self.of_b.said
-        )
-        i, j, last = 0, 0, len(a) - 1
-        x, y = a[0], b[0]
-        left, right = said_a[x], said_b[y]
-        ahead = size_a[x] - size_b[y]  # end of the A token less end of the B token
-        groups, pairs = [], [x << _B_BITS | y]
-        while True:
-            if ahead == 0:
-                groups.append(f"{left}|{right}")
-                if i == last:
-                    break
-                i, j = i + 1, j + 1
-                x, y = a[i], b[j]
-                left, right = said_a[x], said_b[y]
-                ahead = size_a[x] - size_b[y]
-            elif ahead < 0:
-                i += 1
-                x = a[i]
-                left += "," + said_a[x]
-                ahead += size_a[x]
-            else:
-                j += 1
-                y = b[j]
-                right += "," + said_b[y]
-                ahead -= size_b[y]
-            pairs.append(x << _B_BITS | y)
-        return Window(len(groups), ";".join(groups).encode(), array("q", pairs).tobytes())
-
-    def _new_window(self, ids: tuple[bytes, bytes]) -> Window:
-        """The window of two packed id tuples, kept unless it is long."""
-        found = self.window(array("I", ids[0]).tolist(), array("I", ids[1]).tolist())
-        if sum(map(len, ids)) <= MEMO_TOKENS * _ID_BYTES:
-            if len(self.memo) >= MEMO_WINDOWS:
-                self.memo.clear()
-            self.memo[ids] = found
-        return found
-
-    def _starts(self, vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(vocabulary.sizes[ids])
-        return np.concatenate([[0], ends])
-
-    def document(self, data: bytes, a: list[int], b: list[int]) -> Document:
+    def _walked(self, ids_a, ends_a, ids_b, ends_b) -> tuple[np.ndarray, np.ndarray]:
+        """Shared ends and links of the tokens of windows, all walked together by their ends."""
+        if not len(ids_a):
+            return _NONE.pairs, _NONE.pairs
+        sides = np.zeros(ends_a[-1] + 1, dtype=np.int8)  # at each offset, whose tokens end
+        sides[ends_a] = 1
+        sides[ends_b] += 2
+        ends = np.flatnonzero(sides)
+        sides = sides[ends]
+        # The token that spans the bytes before an end has as many ends of its side before it.
+        of_a, of_b = sides & 1, sides >> 1
+        i, j = np.cumsum(of_a, dtype=np.int64) - of_a, np.cumsum(of_b, dtype=np.int64) - of_b
+        return ends[sides == 3], ids_a[i] << _B_BITS | ids_b[j]
+
+    def document(self, data: bytes, a: Sequence[int], b: Sequence[int]) -> Document:
         """The alignment of the tokens `a` and `b` of a text's bytes."""
         if self.of_a.joined(a) != data or self.of_b.joined(b) != data:
             return _NONE
-        ids_a, ids_b = np.array(a, dtype="<u4"), np.array(b, dtype="<u4")
-        from_a, from_b = self._starts(self.of_a, ids_a), self._starts(self.of_b, ids_b)
-        anchors = np.intersect1d(
-            from_a[:-1][self.of_a.opens[ids_a]],
-            from_b[:-1][self.of_b.opens[ids_b]],
-            assume_unique=True,
+        ids_a, ids_b = (np.fromiter(ids, dtype=np.int64, count=len(ids)) for ids in (a, b))
+        ends_a, ends_b = np.cumsum(self.of_a.sizes[ids_a]), np.cumsum(self.of_b.sizes[ids_b])
+        # Anchors: both end a token there, and both begin one marked by a space.
+        opens = np.zeros(len(data) + 1, dtype=np.int8)
+        opens[ends_a[:-1]] = self.of_a.opens[ids_a[1:]]
+        opens[ends_b[:-1]] += 2 * self.of_b.opens[ids_b[1:]]
+        cuts = np.append(np.flatnonzero(opens == 3), len(data))
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        one_b = size_b == 1
+        one_a = (size_a == 1) & ~one_b
+        several = ~(one_a | one_b)
+        in_a, in_b = np.repeat(several, size_a), np.repeat(several, size_b)
+        shared, links = self._walked(ids_a[in_a], ends_a[in_a], ids_b[in_b], ends_b[in_b])
+        packed_a = ids_a << _B_BITS
+        links = np.concatenate(
+            [
+                packed_a[np.repeat(one_b, size_a)] | np.repeat(ids_b[to_b[one_b] - 1], size_a[one_b]),
+                np.repeat(packed_a[to_a[one_a] - 1], size_b[one_a]) | ids_b[np.repeat(one_a, size_b)],
+                links,
+            ]
         )
-        cuts = np.concatenate([anchors[anchors > 0], from_a[-1:]])
-        to_a = (np.searchsorted(from_a, cuts) * _ID_BYTES).tolist()
-        to_b = (np.searchsorted(from_b, cuts) * _ID_BYTES).tolist()
-        bytes_a, bytes_b = ids_a.tobytes(), ids_b.tobytes()
-        windows = [
-            (bytes_a[i:k], bytes_b[j:m])
-            for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)
-        ]
-        known = self.memo.get
-        found = [known(w) or self._new_window(w) for w in windows]
-        groups, said, packed = zip(*found, strict=True)
-        links = np.frombuffer(b"".join(packed), np.int64)
+        closes = np.zeros(len(data) + 1, dtype=bool)
+        closes[cuts] = closes[shared] = True
         pairs, times = np.unique(links, return_counts=True)
-        return Document(len(a), len(b), sum(groups), len(links), b";".join(said), pairs, times)
+        groups, said = self._groups(ids_a, closes[ends_a], ids_b, closes[ends_b])
+        return Document(len(ids_a), len(ids_b), groups, len(links), said, pairs, times)
+
+    def _groups(self, ids_a, last_a, ids_b, last_b) -> tuple[int, bytes]:
+        """Number and text of the groups; `last_a` and `last_b` mark the last token of each."""
+        to_a, to_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        # Before an A token stand the B tokens of earlier groups, before a B token the A
+        # tokens of earlier groups and of its own.
+        before = np.concatenate([[0], to_b[:-1]])
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        rows = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        rows[np.arange(len(ids_a)) + np.repeat(before, size_a)] = 2 * ids_a + last_a
+        rows[np.arange(len(ids_b)) + np.repeat(to_a, size_b)] = (
+            len(self.of_a.said) + 2 * ids_b + last_b
+        )
+        return len(to_a), self.said[rows].tobytes().translate(None, b"\0")[:-1]
 
     def documents(self, texts: list[str]) -> Iterator[Document]:
         """One per text, in order; texts are tokenised together up to BATCH_CHARS."""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -119,3 +120,23 @@ def test_query_equals_the_plain_version(spark, spans):
             assert (row[:5], row[7]) == (expected[row[0]][:5], expected[row[0]][7])
     whole = {r[0] for r in rows if r[1]}
     assert whole >= {i for i, t in few if t and "▁" not in t}
+
+
+def test_steps_do_not_grow_with_windows():
+    with open(BYTES, "rb") as one, open(PIECES, "rb") as other:
+        aligner = alignment.Aligner(one.read(), other.read())
+    draw = random.Random(11)
+
+    def steps(n):
+        text = " ".join("".join(draw.choices("abcdeinorst", k=9)) for _ in range(n))
+        a, b = aligner.a.encode_ordinary(" " + text), aligner.b.encode(text)
+        seen = []
+        sys.setprofile(lambda frame, event, value: seen.append(event))
+        try:
+            found = aligner.document(b" " + text.encode(), a, b)
+        finally:
+            sys.setprofile(None)
+        assert found.n_groups >= n and found.n_links == len(a) + len(b) - found.n_groups
+        return len(seen)
+
+    assert steps(5000) < 2 * steps(50)
