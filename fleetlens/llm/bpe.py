@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
@@ -46,6 +47,7 @@ WORD_END = "</w>"
 SEGMENT = 1 << 16  # characters of a text looked at together
 MEMO_WORDS = 300_000
 MEMO_BYTES = 64  # longer words are not kept
+PART_BYTES = 1 << 20  # of the texts encoded before their results are handed on
 _FEW = 48  # symbols up to which a plain search for the lowest rank is quicker than a heap
 _PAIR = 24  # bits of an id in a pair
 _NEVER = 1 << 40
@@ -345,6 +347,15 @@ RESULTS = {
 }
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART_BYTES of text, so that results do not pile up for a whole batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+    part = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(start, end - start)
+
+
 def encode_documents(
     docs: DataFrame, tokenizer: str, text: str = "text", results: tuple[str, ...] = ("n_tokens", "ids")
 ) -> DataFrame:
@@ -359,8 +370,9 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(source.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, len(kept))):
             found: dict[str, list] = {name: [] for name in results}
+            offsets = [0]
             for value in batch.column(len(kept)):
                 pieces = list(machine.encode(value.as_py() or ""))
                 n_bytes = sum(map(len, pieces))
@@ -377,12 +389,16 @@ def encode_documents(
                         digest.update(said.encode())
                     found["decoded_sha256"].append(digest.hexdigest())
                 if "ids" in found:
-                    found["ids"].append(np.frombuffer(b"".join(pieces), "<u4").astype("int32"))
+                    found["ids"] += pieces
+                    offsets.append(offsets[-1] + n_bytes // 4)
             columns = [batch.column(i) for i in range(len(kept))]
             for name in results:
-                kind = pa.list_(pa.int32()) if name == "ids" else None
-                kind = kind or (pa.int64() if name == "n_tokens" else pa.string())
-                columns.append(pa.array(found[name], kind))
+                if name == "ids":
+                    ids = pa.array(np.frombuffer(b"".join(found[name]), "<i4"))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids))
+                else:
+                    kind = pa.int64() if name == "n_tokens" else pa.string()
+                    columns.append(pa.array(found[name], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     schema = T.StructType(

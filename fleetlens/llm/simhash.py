@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from fleetlens.llm.columns import whole
 from fleetlens.llm.components import components
@@ -66,11 +66,11 @@ def fingerprint(text: str) -> int:
 def simhash(text: str) -> Column:
     """The fingerprint as a long with the same bits."""
 
-    @pandas_udf("long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
-            yield pd.Series(found.view(np.int64))
+            found = (fingerprint(text.as_py()) for text in texts)
+            yield pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
     return prints(whole(text))
 

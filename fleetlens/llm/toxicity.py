@@ -16,15 +16,15 @@ is 0; repeated rows get equal scores; an empty table gives no rows; inputs other
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from fleetlens.llm.columns import whole
 from fleetlens.llm.labelled import MAX_LABELLED, labelled_sample
@@ -39,7 +39,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)  # any large odd number
 
 
 class _Hashes(dict):
-    """Word hashes, kept for the words of a task up to a bound."""
+    """Word hashes, kept for the words of a task up to a bound; a task clears them at its end,
+    since workers live on."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _MEMO:
@@ -95,19 +96,23 @@ def _fit_rows(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
-    w = weights(np.arange(_BIAS + 1))
-    kept = np.flatnonzero(w)
-    return kept, w[kept]
+    seen = np.flatnonzero(z)  # the others have no weight
+    w = weights(seen)
+    return seen[w != 0], w[w != 0]
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts are taken one at a time; of each only its coordinates stay."""
-    rows, labels = [], []
+    """Texts are taken one at a time; of each only its coordinates stay, all in one block that
+    the process gives back whole."""
+    found, ends, labels = array("i"), [], []
     for batch in batches:
-        rows += [coordinates(text.as_py()) for text in batch.column(0)]
+        for text in batch.column(0):
+            found.frombytes(coordinates(text.as_py()).tobytes())
+            ends.append(len(found))
         labels += batch.column(1).to_pylist()
+    _HASHES.clear()
     if 0 < sum(labels) < len(labels):
-        at, weight = _fit_rows(rows, labels)
+        at, weight = _fit_rows(np.split(np.frombuffer(found, np.int32), ends[:-1]), labels)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int64()), pa.array(weight, pa.float64())], names=["at", "weight"]
         )
@@ -144,16 +149,17 @@ def score(model: list[tuple[int, float]], text: str) -> Column:
     at = np.flatnonzero(table)
     weight = table[at]
 
-    @pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         full = np.zeros(_BIAS + 1)
         full[at] = weight
         for texts in batches:
             sums = []
             for t in texts:
-                found = features(t)
+                found = features(t.as_py())
                 found = np.unique(found[full[found] != 0.0])
                 sums.append(full[found].sum() + full[_BIAS])
-            yield pd.Series(_sigmoid(np.array(sums, dtype=float)))
+            yield pa.array(_sigmoid(np.array(sums, dtype=float)), pa.float64())
+        _HASHES.clear()
 
     return scored(whole(text))

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import half_even_2
-from fleetlens.llm import token_counts, toxicity
+from fleetlens.llm import bpe, token_counts, toxicity
 from fleetlens.llm.queries import tokenizer_path
 from fleetlens.operators import compare, tolerant
 from fleetlens.registry.operators import _pairs, _stored_pairs
@@ -110,6 +110,27 @@ def test_fitting_holds_four_bytes_a_coordinate():
     assert found.column(1).to_pylist() == one[1].tolist()
 
 
+def test_workers_keep_no_hashes_after_a_task():
+    batch = pa.RecordBatch.from_pydict({"text": ["bad word", "good text"] * 40, "label": [1, 0] * 40})
+    assert list(toxicity._fit_batches(iter([batch])))
+    assert not toxicity._HASHES
+
+
+def test_encoded_texts_are_handed_on_before_the_batch_ends(spark):
+    rows = [(i, ("some words of a text " * 5000) if i % 10 else None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    encoded = bpe.encode_documents(docs, tokenizer_path(), results=("n_tokens", "ids"))
+
+    found = encoded.select("id", "n_tokens", F.size("ids").alias("n_ids")).collect()
+    assert {r["id"]: r["n_tokens"] for r in found} == {i: 25_000 if t else 0 for i, t in rows}
+    assert all(r["n_tokens"] == r["n_ids"] for r in found)
+    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    parts = list(bpe._parts(batch, 1))
+    assert len(parts) >= 3 and max(p.column(1).nbytes for p in parts) < 2 * bpe.PART_BYTES
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in bpe._parts(batch.slice(0, 0), 1)] == [0]
+
+
 def test_parts_of_a_word_are_counted_once():
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as file:
         source = file.read()
