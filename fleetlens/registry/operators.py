@@ -98,7 +98,7 @@ def _catalogue_row_counts(spark: SparkSession, directory: str) -> DataFrame:
             e.query_id: e.sql for e in warehouse_catalogue(spark_days) if e.split == split
         }
         truth = evaluation.report_truth(tables, AS_OF, split, only=ranked)
-        counts = runner.row_counts(spark, open_tables, asked | truth)
+        counts = runner.row_counts(spark, open_tables, asked | truth, all_or_none=True)
         counted.append(counts.select(F.lit(split).alias("split"), "query_id", "n_rows"))
     return reduce(DataFrame.unionByName, counted)
 

@@ -51,15 +51,15 @@ class QueryRunner:
 
     A text that runs longer than `time_limit` seconds is stopped for good: its jobs are
     cancelled, those that it would start later are refused, and one that is stuck between
-    jobs for `grace` seconds more, in planning say, is left behind.  Up to `concurrent` texts
-    run at once.
+    jobs for `grace` seconds more, in planning say, is left behind.  None is no limit.  Up to
+    `concurrent` texts run at once.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         open_tables: Callable[[SparkSession], Tables],
-        time_limit: float = TIME_LIMIT,
+        time_limit: float | None = TIME_LIMIT,
         concurrent: int = CONCURRENT,
         grace: float = GRACE,
     ):
@@ -119,8 +119,10 @@ class QueryRunner:
     ) -> dict[str, tuple[str | None, Any]]:
         """What `action` returns for each query's name and result, or the error, by name.
 
-        Several queries run at once, each in a job group of its own with the time limit."""
+        Several queries run at once, each in a job group of its own with the time limit.
+        What keeps the runner itself from running them is raised."""
         found: dict[str, tuple[str | None, Any]] = {}
+        broken: list[Exception] = []
         waiting: Iterator[tuple[str, str | DataFrame]] = iter(list(queries.items()))
         lock = threading.Lock()
 
@@ -130,7 +132,11 @@ class QueryRunner:
                     entry = next(waiting, None)
                 if entry is None:
                     return
-                found[entry[0]] = self._run_one(*entry, action)
+                try:
+                    found[entry[0]] = self._run_one(*entry, action)
+                except Exception as error:
+                    broken.append(error)
+                    return
 
         # Each thread has local properties of its own, so a job group is one text's.
         threads = [
@@ -141,6 +147,8 @@ class QueryRunner:
             thread.start()
         for thread in threads:
             thread.join()
+        if broken:
+            raise broken[0]
         return found
 
     def _run_one(
@@ -148,10 +156,14 @@ class QueryRunner:
     ) -> tuple[str | None, Any]:
         """Error and outcome of a query that runs in a thread of its own."""
         group, found = f"text-{uuid.uuid4().hex}", []
-        thread = InheritableThread(
-            target=lambda: found.append(self._done(name, query, action, group)),
-            session=self.spark,
-        )
+
+        def run() -> None:
+            try:
+                found.append(self._done(name, query, action, group))
+            except Exception as error:  # of neither Spark nor the rules for texts
+                found.append((f"the text could not be run: {error!r}", None))
+
+        thread = InheritableThread(target=run, session=self.spark)
         thread.daemon = True
         thread.start()
         thread.join(self.time_limit)
@@ -232,17 +244,21 @@ def row_counts(
     open_tables: Callable[[SparkSession], Tables],
     queries: Mapping[int, str | DataFrame],
     concurrent: int = 2 * CONCURRENT,
+    all_or_none: bool = False,
 ) -> DataFrame:
     """query_id, n_rows, error: how many rows each query of a catalogue returns.
 
-    Every query runs whole, in jobs of its own, and counts as it runs: no query is planned
-    together with others and none is read twice.  A query is a text, or a DataFrame such as a
-    report, whose ranks need no window over the whole table.  Give tables that are stored;
-    bound ones would be derived again by each query.  A query that fails has its error and no
-    count."""
-    found = QueryRunner(spark, open_tables, concurrent=concurrent).run_all(
+    Every query runs whole, however long, in jobs of its own, and counts as it runs: no query
+    is planned together with others and none is read twice.  A query is a text, or a DataFrame
+    such as a report, whose ranks need no window over the whole table.  Give tables that are
+    stored; bound ones would be derived again by each query.  A query that fails has its error
+    and no count; with `all_or_none`, it is raised instead."""
+    found = QueryRunner(spark, open_tables, time_limit=None, concurrent=concurrent).run_all(
         {str(number): query for number, query in queries.items()}, _observed_rows
     )
+    failed = [f"query {number}: {error}" for number, (error, _) in found.items() if error is not None]
+    if all_or_none and failed:
+        raise RuntimeError(f"{len(failed)} queries have no count: {'; '.join(failed)}")
     schema = "query_id int, n_rows long, error string"
     rows = [(int(number), n_rows, error) for number, (error, n_rows) in found.items()]
     return spark.createDataFrame(rows, schema)

@@ -1,6 +1,7 @@
 """Stored tables, the catalogue over them, and what the constraint checks find."""
 
 import re
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -11,6 +12,8 @@ from fleetlens.operators.integrity import all_violations
 from fleetlens.plans import reports
 from fleetlens.plans.catalogue import EVAL, TRAIN, catalogue, catalogue_table
 from fleetlens.plans.evaluation import report_truth
+from fleetlens.registry import operators
+from fleetlens.sources import runner
 from fleetlens.sources.binding import AS_OF, bind
 from fleetlens.sources.runner import QueryRunner, row_counts
 from fleetlens.sources.tables import create_empty_tables, read_tables
@@ -60,6 +63,46 @@ def test_counts_of_reports_texts_and_failures(spark, stored, tables):
     assert "no_column" in rows[4]["error"] and rows[5]["error"]
 
 
+def test_a_failed_count_is_no_result(spark, monkeypatch):
+    monkeypatch.setattr(operators, "_RANKED", {EVAL: [], TRAIN: []})
+    given = [replace(e, sql="SELECT name FROM customers") for e in catalogue(AS_OF)[19:22]]
+    monkeypatch.setattr(operators, "warehouse_catalogue", lambda days: given)
+    rows = operators._catalogue_row_counts(spark, SMALL).collect()
+    assert sorted((r["split"], r["query_id"]) for r in rows) == [(EVAL, 20), (TRAIN, 1), (TRAIN, 2)]
+    assert {r["n_rows"] for r in rows} == {bind(spark, SMALL).customers.count()}
+    given[1] = replace(given[1], sql="SELECT raise_error('second line') FROM customers")
+    with pytest.raises(RuntimeError, match="query 1: .*second line"):
+        operators._catalogue_row_counts(spark, SMALL)
+
+
+def test_counts_have_no_time_limit(spark, stored, monkeypatch):
+    limits = []
+
+    class Runner(QueryRunner):
+        def run_all(self, queries, action):
+            limits.append(self.time_limit)
+            return super().run_all(queries, action)
+
+    monkeypatch.setattr(runner, "QueryRunner", Runner)
+    found = row_counts(
+        spark, lambda session: read_tables(session, stored), {1: "SELECT 1 AS one"}
+    )
+    assert limits == [None] and found.first()["n_rows"] == 1
+
+
+def test_what_breaks_the_runner_is_raised_or_told(spark, stored, monkeypatch):
+    texts = QueryRunner(spark, lambda session: read_tables(session, stored))
+
+    def broken(*_):
+        raise KeyError("lost")
+
+    error, found = texts.run_all({"a": "SELECT 1 AS one"}, broken)["a"]
+    assert "lost" in error and found is None
+    monkeypatch.setattr(texts, "_run_one", broken)
+    with pytest.raises(KeyError, match="lost"):
+        texts.run_all({"a": "SELECT 1 AS one", "b": "SELECT 2 AS two"}, broken)
+
+
 def test_only_the_asked_reports_are_truth(spark, tables):
     assert set(report_truth(tables, AS_OF, TRAIN, only=[23, 27])) == {23, 27}
     assert set(report_truth(tables, AS_OF)) == set(range(1, 21))
