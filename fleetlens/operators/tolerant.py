@@ -8,9 +8,14 @@ be equal.
 Rows are cut into blocks that cannot match across, which leaves the outcome unchanged:
 first by all cells that must be equal and, where such a block is large, by gaps along
 one numeric column.  A block whose rows are all alike needs no matching at all, and
-blocks of ordinary size are matched one by one inside tasks.  So are much larger ones
-whose rows have one number: a segment tree over the sorted numbers finds each row's first
-free partner, so the cost is n log n.  A block still too large
+blocks of ordinary size are matched one by one inside tasks.  So are larger ones whose
+rows have one number: a tree over the sorted numbers of one side finds the first free
+partner of each row of the other side, which pass by in order, so the cost is n log n and a
+task holds the smaller side only.  The rule is the same from both sides: a pair is matched
+if neither row has an earlier partner.  If that side is too large for a task, a part of it
+is held at a time, in order, and what it leaves is asked of the next part.
+
+Any other large block
 is cut into ordered chunks on both sides and solved cell by cell: a truth row prefers
 any generated row of an earlier chunk to one of a later chunk, so chunk a of the truth
 meets chunk p of the generated rows once a has met p - 1 and p has met a - 1.  All cells
@@ -29,10 +34,14 @@ from pyspark.sql import functions as F
 from fleetlens.operators.first_fit import (
     FLOOR,
     LINEAR_BIN,
+    PACK_ROWS,
+    PACKED,
+    SERVED,
     TOLERANCE,
     matched_count,
-    matched_in_block,
     matched_rows,
+    pack_values,
+    serve_packed,
 )
 from fleetlens.operators.numbering import row_number_within
 from fleetlens.sources.checkpoints import written_table
@@ -43,7 +52,7 @@ from fleetlens.sources.results import GENERATED, TRUTH
 _LOG_BIN = 0.0207
 
 BLOCK_LIMIT = 2_000  # rows per side of a block that one call matches
-DENSE_LIMIT = 250_000  # rows per side of a block of one number that one task matches
+DENSE_LIMIT = 8_000_000  # rows of one number that a task holds, of the smaller side of a block
 CHUNK_ROWS = 20_000  # rows per side of a cell of a larger block
 
 _GROUP = ["pair", "signature"]
@@ -115,8 +124,9 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
 
 
 def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per block with rows on both sides: counts, how many numbers a row has, how to
-    solve the block, and what it serves if that needs no matching."""
+    """One row per block with rows on both sides: counts, how many numbers a row has, whether
+    it is one finite number, how to solve the block, and what it serves if that needs no
+    matching."""
     counts = [
         F.count_if(F.col("side") == TRUTH).alias("gt_n"),
         F.count_if(F.col("side") == GENERATED).alias("gen_n"),
@@ -138,6 +148,8 @@ def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
             # Rows that are all alike, or all close to each other, match as far as they go.
             (low.isNull() | (low == high) | _span_is_close(low, high)).alias("alike"),
             (low.isNull() | _close(low, high)).alias("close"),
+            # NaN is the greatest number.
+            (low.isNotNull() & (low > float("-inf")) & (high < float("inf"))).alias("one_number"),
         )
     )
     wide = (
@@ -151,6 +163,7 @@ def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.size(low).alias("width"),
             (low == high).alias("alike"),
             F.forall(F.zip_with(low, high, _close), lambda c: c).alias("close"),
+            F.lit(False).alias("one_number"),
         )
     )
     # In a block of one row a side, low and high are those two rows.
@@ -200,32 +213,75 @@ def tolerant_match_counts(rows: DataFrame) -> DataFrame:
         blocks = written_table(_with_components(rows.join(large, _GROUP, "left_semi")))
         sizes = _sizes(blocks, _BLOCK)
         parts += _small_blocks(blocks, sizes, _BLOCK)
-        one_number = (F.col("width") == 1) & (F.greatest("gt_n", "gen_n") <= DENSE_LIMIT)
-        oversize = sizes.filter("oversize").select(*_BLOCK, one_number.alias("dense"))
-        kinds = {r["dense"] for r in oversize.select("dense").distinct().collect()}
-        if True in kinds:
-            parts.append(_match_dense(blocks, oversize.filter("dense").drop("dense")))
-        if False in kinds:
-            rest = oversize.filter("NOT dense").drop("dense")
+        oversize = sizes.filter("oversize")
+        largest = oversize.groupBy("one_number").agg(
+            F.max(F.least("gt_n", "gen_n")).alias("held")
+        )
+        held = {r["one_number"]: r["held"] for r in largest.collect()}
+        if True in held:
+            parts.append(_match_one_number(blocks, oversize.filter("one_number"), held[True]))
+        if False in held:
+            rest = oversize.filter("NOT one_number").select(*_BLOCK)
             parts.append(_match_in_chunks(blocks.join(rest, _BLOCK, "left_semi")))
     return reduce(DataFrame.unionByName, parts).groupBy("pair").agg(
         F.sum("matched").alias("matched")
     )
 
 
-def _match_dense(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks of one number, one at a time in a task, all in one job."""
-    numbered = written_table(blocks.withColumn("block_no", F.monotonically_increasing_id()))
+def _match_one_number(rows: DataFrame, blocks: DataFrame, largest: int) -> DataFrame:
+    """Blocks of one finite number, each by one task at a time.
+
+    Rows are put in order and packed by many tasks; the last one of a block gets its values
+    as a few long rows.  `largest` is the number of rows of the largest smaller side."""
+    asks = F.when(F.col("gt_n") < F.col("gen_n"), F.lit(GENERATED)).otherwise(F.lit(TRUTH))
+    numbered = written_table(
+        blocks.select(*_BLOCK, asks.alias("asks"), F.monotonically_increasing_id().alias("block_no"))
+    )
+    order = ["block_no", "asks", "row_no"]
     values = rows.join(numbered, _BLOCK).select(
         "block_no",
-        (F.col("side") == TRUTH).alias("is_truth"),
+        (F.col("side") == F.col("asks")).alias("asks"),
         "row_no",
         F.get("numbers", F.lit(0)).alias("value"),
     )
-    found = values.groupBy("block_no").applyInPandas(
-        matched_in_block, "block_no long, matched long"
+    packs = (
+        values.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(pack_values, PACKED)
+    )
+    at_once = max(DENSE_LIMIT, PACK_ROWS)
+    passes = (largest - 1) // at_once + 1
+    if passes == 1:
+        found = _served(packs)
+    else:
+        packs = written_table(packs)
+        before = W.partitionBy("block_no").orderBy("first_no").rowsBetween(
+            W.unboundedPreceding, -1
+        )
+        # One row per pack, without its values.
+        parts = (
+            packs.filter("NOT asks")
+            .select("block_no", "first_no", "n")
+            .withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / at_once))
+            .drop("n")
+        )
+        held = written_table(packs.filter("NOT asks").join(parts, ["block_no", "first_no"]))
+        left, steps = packs.filter("asks"), []
+        for part in range(passes):
+            now = held.filter(F.col("part") == part).select(*PACKED.names)
+            steps.append(written_table(_served(now.unionByName(left))))
+            left = steps[-1].filter("n > 0").select(*PACKED.names)
+        found = reduce(DataFrame.unionByName, [s.select("block_no", "matched") for s in steps])
+    matched = found.groupBy("block_no").agg(F.sum("matched").alias("matched"))
+    return numbered.join(matched, "block_no").select("pair", "matched")
+
+
+def _served(packs: DataFrame) -> DataFrame:
+    return (
+        packs.repartition("block_no")
+        .sortWithinPartitions("block_no", "asks", "first_no")
+        .mapInArrow(serve_packed, SERVED)
     )
-    return numbered.join(found, "block_no").select("pair", "matched")
 
 
 def _match_in_chunks(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import compare, tolerant
+from fleetlens.operators import first_fit as kernels
 from fleetlens.operators.first_fit import first_fit
 from fleetlens.sources.results import (
     CELLS_TYPE,
@@ -204,6 +205,62 @@ def test_a_dense_block_is_one_job_for_its_size(spark, monkeypatch):
     assert tolerant.tolerant_match_counts(rows).first()["matched"] == found > 29_000
 
 
+def test_blocks_of_one_number_of_any_size_go_without_chunks(spark, monkeypatch):
+    rows = spark.range(520_000).selectExpr(
+        "'p' AS pair", "IF(id % 2 = 0, 'gt', 'gen') AS side", "id div 2 AS row_no", "'s' AS signature",
+        "'num' AS pattern", "array(DOUBLE(pmod(hash(id), 200000) / 10000)) AS numbers",
+    )
+    monkeypatch.setattr(tolerant, "_match_in_chunks", None)
+    found = tolerant.tolerant_match_counts(rows).first()["matched"]
+    sides = [
+        np.array(
+            [r["numbers"] for r in rows.filter(f"side = '{side}'").orderBy("row_no").collect()]
+        )
+        for side in (TRUTH, GENERATED)
+    ]
+    assert found == len(first_fit(*sides)) > 250_000
+
+
+def test_a_side_held_in_parts_like_plain_first_fit(spark, monkeypatch):
+    """Either side is the smaller one, and has many parts."""
+    monkeypatch.setattr(tolerant, "BLOCK_LIMIT", 4)
+    monkeypatch.setattr(tolerant, "DENSE_LIMIT", 30)
+    for module in (tolerant, kernels):
+        monkeypatch.setattr(module, "PACK_ROWS", 7)
+    monkeypatch.setattr(tolerant, "_match_in_chunks", None)
+    rng = random.Random(12)
+    make = lambda n: [("k", round(rng.choice([50, 51.5, 49]) * rng.uniform(0.95, 1.05), 1)) for _ in range(n)]
+    cases = [(make(n), make(m)) for n, m in ((90, 140), (140, 90), (65, 65), (6, 70), (1, 40))]
+    assert counts(spark, cases) == slow_counts(cases)
+    monkeypatch.setattr(tolerant, "DENSE_LIMIT", 1000)
+    assert counts(spark, cases) == slow_counts(cases)
+
+
+@pytest.mark.parametrize("scale", [0.02, 1.0, 40.0, 1e9])
+def test_numbers_are_taken_alike_from_both_sides(scale):
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (np.round(draw.normal(scale, scale, draw.integers(1, 300)), 2) for _ in range(2))
+        edge = min(len(a), len(b)) // 3
+        b[:edge] = a[:edge] / 0.98
+        free = kernels.FreeNumbers(b)
+        taken = [j for part in np.array_split(a, 4) for j in free.take(part)]
+        found = [(i, j) for i, j in enumerate(taken) if j >= 0]
+        assert found == slow_first_fit(a.reshape(-1, 1).tolist(), b.reshape(-1, 1).tolist())
+        assert sorted((i, j) for j, i in kernels.first_fit_of_one(b, a)) == found
+
+
+def test_ends_of_close_values_are_exact():
+    draw = np.random.default_rng(4)
+    asked = np.concatenate([draw.normal(0, s, 60) for s in (0.01, 1, 50, 1e6)] + [[0, 1, -1, 0.98, -0.98]])
+    values = [asked, asked / 0.98, asked * 0.98, asked + 0.02, asked - 0.02]
+    values += [np.nextafter(v, x) for v in values for x in (-np.inf, np.inf)]
+    values = np.unique(np.concatenate(values))
+    begin, end = kernels.close_ranges(values, asked)
+    for a, low, high in zip(asked, begin, end):
+        assert kernels.close_matrix(values, a).nonzero()[0].tolist() == list(range(low, high))
+
+
 def test_blocks_like_plain_first_fit(spark):
     cases = random_cases(random.Random(8), 150, 9)
     assert counts(spark, cases) == slow_counts(cases)
