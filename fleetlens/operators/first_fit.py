@@ -4,6 +4,7 @@ Spark ships these functions by value, so workers need no copy of the package.
 """
 
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ MATCHES = T.ArrayType(
 
 PACK_ROWS = 2_000  # rows of one number whose values travel as one row
 FAN_BITS = 4  # the tree of free numbers has branches of 16
+LISTED = 100_000  # leaves up to which it is kept as lists, which are quicker where they fit a cache
 
 #: Values of rows in order of their numbers: those that others ask for (asks is false) come
 #: before those that ask.
@@ -106,11 +108,11 @@ class FreeNumbers:
         self.next = memoryview(starts + 1)
         self.end = memoryview(np.append(starts[1:], kind(n)).astype(kind))
         level = order[starts].tolist()
-        self.levels = [level]
-        fan = 1 << FAN_BITS
+        fan, few, code = 1 << FAN_BITS, len(level) <= LISTED, np.dtype(kind).char
+        self.levels = [level if few else array(code, level)]
         while len(level) > fan:
             level = [min(level[i : i + fan]) for i in range(0, len(level), fan)]
-            self.levels.append(level)
+            self.levels.append(level if few else array(code, level))
 
     def take(self, asked: np.ndarray) -> list[int]:
         """Per asked number, in turn, the first free position close to it, which it takes, or

@@ -237,9 +237,10 @@ def test_a_side_held_in_parts_like_plain_first_fit(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("scale", [0.02, 1.0, 40.0, 1e9])
-def test_numbers_are_taken_alike_from_both_sides(scale):
+def test_numbers_are_taken_alike_from_both_sides(scale, monkeypatch):
     draw = np.random.default_rng(3)
-    for _ in range(60):
+    for listed in [0, 100_000] * 30:
+        monkeypatch.setattr(kernels, "LISTED", listed)
         a, b = (np.round(draw.normal(scale, scale, draw.integers(1, 300)), 2) for _ in range(2))
         edge = min(len(a), len(b)) // 3
         b[:edge] = a[:edge] / 0.98
